@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mailspark.llm import exact_dedup, sharding, url_filter
+from mailspark.llm import exact_dedup, language_id, sentencepiece_codec, sharding, url_filter
 from mailspark.llm.storage import table
 
 
@@ -23,5 +24,27 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
 
+def id_fold(folds: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.predict(table(spark, sf_dir, "documents"), learn=id_fold(5) != 0)
+    return found.select("doc_id", (id_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def piece_model() -> str:
+    """The public vocabulary file of the contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), piece_model(), columns=["doc_id"])
+    return coded.select("doc_id", F.col("_n_tokens").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_sharding, op8_exact_dedup)}
+    return {f.__name__: f for f in (op2_url_filter, op3_sharding, op7_language_id, op8_exact_dedup, op10_sentencepiece)}
