@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-WORDS_KEPT, PAIRS_KEPT = 250_000, 1_000_000
+WORDS_KEPT, PAIRS_KEPT = 400_000, 1_000_000
+NEVER = float("-inf")
 
 
 def load_vocabulary(path: str) -> dict:
@@ -49,7 +50,10 @@ class PrefixTable:
         self.ids = {p: i for i, (p, _, kind) in enumerate(self.rows) if kind == "piece"}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.rows) if kind == "byte"}
         self.byte_values = {i: b for b, i in self.byte_ids.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.score = {p: s for p, s, kind in self.rows if kind == "piece"}
+        self.numbers = {p: str(i) for p, i in self.ids.items()}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.pairs_kept = 0
         self.words: dict[str, tuple[str, int, str]] = {}
         self.matches = ahocorasick.Automaton()
         for piece in self.ids:
@@ -62,51 +66,70 @@ class PrefixTable:
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves; used on single tokens and pairs only."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = None
-            for i in range(len(parts) - 1):
-                piece = self.ids.get(parts[i] + parts[i + 1])
-                if piece is not None and (best is None or self.rows[piece][1] > best[0]):
-                    best = (self.rows[piece][1], i)
-            if best is None:
+        parts, score = list(text), self.score
+        scores = [score.get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores:
+            best = max(scores)
+            if best == NEVER:
                 break
-            i = best[1]
+            i = scores.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i < len(scores):
+                scores[i] = score.get(parts[i] + parts[i + 1], NEVER)
+            if i:
+                scores[i - 1] = score.get(parts[i - 1] + parts[i], NEVER)
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
+    def followers(self, left: str) -> dict[str, bool]:
+        """What is known of the tokens that may stand right of ``left``."""
+        known = self.pairs.get(left)
         if known is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            known = self.pairs[left] = {}
         return known
 
+    def compatible(self, left: str, right: str) -> bool:
+        self.pairs_kept += 1
+        if self.pairs_kept > PAIRS_KEPT:
+            for known in self.pairs.values():
+                known.clear()
+            self.pairs_kept = 0
+        found = self.followers(left)[right] = self.merged(left + right) == [left, right]
+        return found
+
     def tokens(self, text: str) -> list[str]:
         """The tokens of one segment (a piece each, or a character without one)."""
         last = [""] * (len(text) + 1)
-        pairs, compatible, at = self.pairs, self.compatible, 0
+        after: list[dict[str, bool] | None] = [None] * (len(text) + 1)
+        pairs = self.pairs
         for end, piece in self.matches.iter(text):
             end += 1
-            while at < end - 1:  # characters at which no piece ends
-                at += 1
-                last[at] = last[at] or text[at - 1]
             if last[end]:
                 continue
             start = end - len(piece)
-            if not start:
-                last[end] = piece
-            else:
-                before = last[start]
-                known = pairs.get((before, piece))
-                if known if known is not None else compatible(before, piece):
-                    last[end] = piece
+            if start:
+                known = after[start]
+                if known is None:
+                    before = last[start]
+                    if not before:  # a character at which no piece ends
+                        before = last[start] = text[start - 1]
+                    known = pairs.get(before)
+                    if known is None:
+                        known = self.followers(before)
+                    after[start] = known
+                fits = known.get(piece)
+                if fits is None:
+                    fits = self.compatible(last[start], piece)
+                if not fits:
+                    continue
+            last[end] = piece
         out, end = [], len(text)
         while end:
-            out.append(last[end] or text[end - 1])
-            end -= len(out[-1])
-        return out[::-1]
+            token = last[end] or text[end - 1]
+            out.append(token)
+            end -= len(token)
+        out.reverse()
+        return out
 
     def ids_of(self, tokens: list[str]) -> list[int]:
         out = []
@@ -148,6 +171,16 @@ class PrefixTable:
         flush()
         return "".join(out)
 
+    def word(self, word: str) -> tuple[str, int, str]:
+        """(ids, how many, their text) of one segment."""
+        tokens = self.tokens(word)
+        try:
+            numbers = [self.numbers[t] for t in tokens]
+            return " ".join(numbers), len(numbers), "".join(tokens).replace(SPACE, " ")
+        except KeyError:  # a character that becomes bytes
+            ids = self.ids_of(tokens)
+            return " ".join(map(str, ids)), len(ids), self.decode(ids, first=False)
+
     def codec(self, text: str | None) -> tuple[str, int, str]:
         """(decimal ids joined by one space, with the end id; how many; the ids' text)."""
         if not text:
@@ -157,8 +190,7 @@ class PrefixTable:
         for word in self.segment.findall(SPACE + text.replace(" ", SPACE)):
             known = words.get(word)
             if known is None:
-                numbers = self.ids_of(self.tokens(word))
-                known = (" ".join(map(str, numbers)), len(numbers), self.decode(numbers, first=False))
+                known = self.word(word)
                 if len(word) <= 64:
                     if len(words) >= WORDS_KEPT:
                         words.clear()
