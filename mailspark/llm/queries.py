@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspark.llm import exact_dedup, language_id, sentencepiece_codec, sharding, url_filter
+from mailspark.llm import decontaminate, exact_dedup, language_id, sentencepiece_codec, sharding, url_filter
 from mailspark.llm.storage import table
 
 
@@ -29,6 +29,12 @@ def id_fold(folds: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.predict(table(spark, sf_dir, "documents"), learn=id_fold(5) != 0)
     return found.select("doc_id", (id_fold(5) == 0).alias("held_out"), "lang_pred", "score")
@@ -47,4 +53,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_sharding, op7_language_id, op8_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op2_url_filter, op3_sharding, op5_decontaminate, op7_language_id, op8_exact_dedup, op10_sentencepiece)}
