@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspark.llm import decontaminate, exact_dedup, language_id, sentencepiece_codec, sharding, url_filter
+from mailspark.llm import decontaminate, exact_dedup, language_id, minhash_dedup, sentencepiece_codec, sharding, url_filter
 from mailspark.llm.storage import table
 
 
@@ -40,6 +40,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_fold(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.annotate(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def piece_model() -> str:
     """The public vocabulary file of the contract."""
     import public_tokenizers
@@ -53,4 +57,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_sharding, op5_decontaminate, op7_language_id, op8_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op2_url_filter, op3_sharding, op5_decontaminate, op7_language_id, op8_exact_dedup, op9_minhash_dedup, op10_sentencepiece)}
