@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspark.llm import decontaminate, exact_dedup, language_id, minhash_dedup, sentencepiece_codec, sharding, url_filter
+from mailspark.llm import decontaminate, exact_dedup, language_id, minhash_dedup, sentencepiece_codec, sharding, toxicity, url_filter
 from mailspark.llm.storage import table
 
 
+def id_fold(folds: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def toxic_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple:
+    """Learned only from rows whose fold (of three) isn't 1."""
+    return toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels"), learn=id_fold(3) != 1))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxic_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (id_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "rule string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -24,17 +46,6 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
 
-def id_fold(folds: int, id_col: str = "doc_id") -> Column:
-    """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
-
-
-def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
-
-
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.predict(table(spark, sf_dir, "documents"), learn=id_fold(5) != 0)
     return found.select("doc_id", (id_fold(5) == 0).alias("held_out"), "lang_pred", "score")
@@ -57,4 +68,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_sharding, op5_decontaminate, op7_language_id, op8_exact_dedup, op9_minhash_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op2_url_filter, op3_sharding, op4_toxicity, op5_decontaminate, op7_language_id, op8_exact_dedup, op9_minhash_dedup, op10_sentencepiece)}
