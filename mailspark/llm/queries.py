@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspark.llm import decontaminate, exact_dedup, language_id, minhash_dedup, sentencepiece_codec, sharding, toxicity, url_filter
+from mailspark.llm import decontaminate, exact_dedup, language_id, minhash_dedup, sentencepiece_codec, sharding, substring_dedup, toxicity, url_filter
 from mailspark.llm.storage import table
 
 
@@ -46,6 +46,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + (s["stop"] - s["start"]))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.predict(table(spark, sf_dir, "documents"), learn=id_fold(5) != 0)
     return found.select("doc_id", (id_fold(5) == 0).alias("held_out"), "lang_pred", "score")
@@ -68,4 +74,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_sharding, op4_toxicity, op5_decontaminate, op7_language_id, op8_exact_dedup, op9_minhash_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op2_url_filter, op3_sharding, op4_toxicity, op5_decontaminate, op6_suffix_dedup, op7_language_id, op8_exact_dedup, op9_minhash_dedup, op10_sentencepiece)}
