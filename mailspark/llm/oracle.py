@@ -1,5 +1,29 @@
 """DuckDB SQL for those operators that SQL expresses on whole tables."""
 
+OP1 = r"""
+WITH t AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT text, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS ln FROM t),
+tok AS (
+  SELECT text, ln, list_filter(string_split_regex(regexp_replace(raw, '[^ \t\r\f]*[0-9][^ \t\r\f]*', '<*>', 'g'), '[ \t\r\f]+'), lambda x: x <> '') AS w
+  FROM raw WHERE regexp_matches(raw, '[^ \t\r\f]')),
+l AS (SELECT text, ln, w, CAST(len(w) AS VARCHAR) || ' ' || array_to_string(w[1:4], ' ') AS leaf, array_to_string(w, ' ') AS line FROM tok),
+leaves AS (SELECT leaf FROM l GROUP BY leaf HAVING count(DISTINCT text) >= 10),
+f AS (SELECT l.* FROM l SEMI JOIN leaves USING (leaf)),
+d AS (SELECT leaf, line, any_value(w) AS w, count(DISTINCT text) AS texts FROM f GROUP BY ALL),
+k AS (SELECT leaf, line, texts, unnest(w) AS token, unnest(range(len(w))) AS p FROM d),
+fx AS (SELECT leaf, p, token FROM k GROUP BY ALL HAVING sum(texts) >= 10 AND token <> '<*>'),
+g AS (
+  SELECT k.leaf, k.line, string_agg(CASE WHEN fx.token IS NULL THEN '<*>' ELSE k.token END, ' ' ORDER BY k.p) AS template, count(fx.token) AS fixed, count(*) AS n
+  FROM k LEFT JOIN fx ON k.leaf = fx.leaf AND k.p = fx.p AND k.token = fx.token GROUP BY ALL),
+m AS (SELECT f.text, f.ln, g.template FROM f JOIN g USING (leaf, line) WHERE g.fixed >= 0.6 * g.n),
+r AS (SELECT template FROM m GROUP BY 1 HAVING count(DISTINCT text) >= 10),
+dr AS (SELECT text, list(DISTINCT ln) AS drops FROM m SEMI JOIN r USING (template) GROUP BY 1)
+SELECT doc_id, CAST(len(list_filter(coalesce(string_split(text, chr(10)), []), lambda x: regexp_matches(x, '[^ \t\r\f]'))) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(drops), 0) AS BIGINT) AS n_dropped,
+       sha256(CASE WHEN drops IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(drops, i - 1)), chr(10)) END) AS text_sha256
+FROM documents LEFT JOIN dr USING (text)
+"""
+
 OP2 = r"""
 WITH u AS (
   SELECT page_id,
@@ -42,4 +66,4 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2, "op5_decontaminate": OP5, "op8_exact_dedup": OP8}
+    return {"op1_line_dedup": OP1, "op2_url_filter": OP2, "op5_decontaminate": OP5, "op8_exact_dedup": OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspark.llm import decontaminate, exact_dedup, language_id, minhash_dedup, sentencepiece_codec, sharding, substring_dedup, toxicity, url_filter
+from mailspark.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, sentencepiece_codec, sharding, substring_dedup, toxicity, url_filter
 from mailspark.llm.storage import table
 
 
@@ -33,6 +33,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_recurring(table(spark, sf_dir, "documents"), min_texts=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "rule string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -74,4 +79,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_sharding, op4_toxicity, op5_decontaminate, op6_suffix_dedup, op7_language_id, op8_exact_dedup, op9_minhash_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_sharding, op4_toxicity, op5_decontaminate, op6_suffix_dedup, op7_language_id, op8_exact_dedup, op9_minhash_dedup, op10_sentencepiece)}
