@@ -77,7 +77,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
     """The rows that stay, with all their columns."""
     key = F.concat_ws(":", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.col(id_col).cast("string"))
-    marks = annotate(docs, id_col, text_col, k).where("kept").select(F.concat_ws(":", "text_sha256", F.col(id_col).cast("string")).alias("_key"))
-    joined = docs.withColumn("_key", key).join(marks, "_key", "left_semi")
+    marks = annotate(docs, id_col, text_col, k).where("kept").select(F.concat_ws(":", "text_sha256", F.col(id_col).cast("string")).alias("__same_row"))
+    joined = docs.withColumn("__same_row", key).join(marks, "__same_row", "left_semi")
     # Same keys as the join, so no further shuffle: one of the rows that repeat id and text.
-    return joined.withColumn("_row", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(1)))).where("_row = 1").drop("_key", "_row")
+    return joined.withColumn("__nth", F.row_number().over(W.partitionBy("__same_row").orderBy(F.lit(1)))).where("__nth = 1").drop("__same_row", "__nth")

@@ -184,7 +184,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """One row of each component, with all columns (a row without words is its own component)."""
     marks = annotate(docs, id_col, text_col, **options)
     key = lambda i, t: F.concat_ws(":", i.cast("string"), t)
-    kept = marks.where("kept").select(key(F.col(id_col), F.col("text_key")).alias("_key")).distinct()
-    joined = docs.withColumn("_key", key(F.col(id_col), F.xxhash64(F.col(text_col)))).join(kept, "_key", "left_semi")
+    kept = marks.where("kept").select(key(F.col(id_col), F.col("text_key")).alias("__same_row")).distinct()
+    joined = docs.withColumn("__same_row", key(F.col(id_col), F.xxhash64(F.col(text_col)))).join(kept, "__same_row", "left_semi")
     # Rows that repeat id and text: same keys as the join, so no further shuffle.
-    return joined.withColumn("_row", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(1)))).where("_row = 1").drop("_key", "_row")
+    return joined.withColumn("__nth", F.row_number().over(W.partitionBy("__same_row").orderBy(F.lit(1)))).where("__nth = 1").drop("__same_row", "__nth")

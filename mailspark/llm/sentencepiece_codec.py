@@ -13,7 +13,7 @@ no longer piece holds; tables of words already seen are kept within a bound.
 Defined results: a null text counts as empty (its ids are the end id alone);
 characters without a piece become their UTF-8 bytes' ids; the text may be of
 any length; repeated rows and ids are encoded one by one; other columns are
-carried through; an empty table gives an empty result.
+carried through, those named like a result column give way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -228,7 +228,7 @@ def _encoder(vocabulary: Callable[[], dict], at: int) -> Callable[[Iterator[pa.R
 
 def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``columns`` (all, unless given) with _ids (decimal ids joined by a space), _n_tokens and _decoded."""
-    columns = columns if columns is not None else docs.columns
+    columns = [c for c in (columns if columns is not None else docs.columns) if c not in ("_ids", "_n_tokens", "_decoded", "_text")]
     sent = docs.select(*[docs[c] for c in columns], docs[text_col].alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema)
