@@ -1,13 +1,54 @@
-"""Corpus preparation: the stages run in order, each written as Parquet and read again."""
+"""Corpus preparation: five stages in order, each written as Parquet and read again.
+
+Toxic documents go, then exact and near copies (one document of each group
+stays), then documents that hold benchmark passages; the last stage encodes
+what is left and decodes it again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mailspark.llm import decontaminate, exact_dedup, minhash_dedup, queries, sentencepiece_codec, toxicity
+from mailspark.llm.storage import stash, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, queries.toxic_model(spark, docs, sf_dir))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_one(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_dedup.keep_one(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_codec.round_trip(docs, queries.piece_model(), columns=["doc_id"])
+    return coded.select("doc_id", F.col("_n_tokens").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("minhash_dedup", drop_near_copies),
+    ("decontaminate", drop_benchmark),
+    ("sentencepiece", encode),
+]
 
-STAGES: list = []
+#: A generative model, iterated components and BPE merges aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
