@@ -57,23 +57,26 @@ def _rarity(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def _matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(id, text_key, n_words, item, start, size): one row for each document (item null) and each matched window."""
+    """(id, text_key, n_words, start, size, items): one row for each document (start null) and each matched window.
+
+    The join's condition compares the words themselves, so only true matches leave it, without the document's words.
+    """
     one = windows.groupBy("words", "size").agg(F.collect_set("item").alias("items"))
     placed = one.select("words", "size", "items", F.posexplode("words").alias("offset", "word"))
     rarest = (
         placed.join(F.broadcast(_rarity(docs, windows)), "word")
         .groupBy("words", "size", "items").agg(F.min(F.struct("n", "word", "offset")).alias("first"))
-        .groupBy(F.col("first.word").alias("word")).agg(F.collect_list(F.struct(F.col("first.offset").alias("offset"), "size", "words", "items")).alias("windows"))
+        .select(F.col("first.word").alias("word"), F.col("first.offset").alias("offset"), "size", F.array_join("words", " ").alias("window"), "items")
     )
-    prefixes = rarest.unionByName(rarest.sparkSession.range(1).select(F.lit(MARK).alias("word"), F.lit(None).cast(rarest.schema["windows"].dataType).alias("windows")))
+    mark = rarest.sparkSession.range(1).select(F.lit(MARK).alias("word"), F.lit(0).alias("offset"), F.lit(0).alias("size"), F.lit("").alias("window"), F.lit(None).cast(rarest.schema["items"].dataType).alias("items"))
     words = docs.select("id", "text_key", raw_words(F.col("text")).alias("words"))
     placed_docs = words.select("id", "text_key", "words", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(MARK)), "words")).alias("at", "raw"))
-    found = placed_docs.withColumn("word", ascii_lower(F.col("raw"))).join(F.broadcast(prefixes), "word")
-    start = lambda w: F.col("at") - w["offset"]  # noqa: E731  1-based start of the window; ``at`` counts the mark as 0
-    fits = lambda w: (start(w) >= 1) & (start(w) + w["size"] <= F.col("n_words") + 1)
-    same = lambda w: F.transform(F.slice("words", F.greatest(start(w), F.lit(1)), w["size"]), ascii_lower) == w["words"]
-    hits = F.transform(F.filter("windows", lambda w: fits(w) & same(w)), lambda w: F.named_struct(F.lit("start"), start(w), F.lit("size"), w["size"], F.lit("items"), w["items"]))
-    return found.select("id", "text_key", "n_words", F.when(F.col("at") > 0, hits).alias("hits")).where("hits is null or size(hits) > 0")
+    positions = placed_docs.select("*", ascii_lower(F.col("raw")).alias("first_word"))
+    start = F.col("at") - F.col("offset")  # 1-based: ``at`` counts the mark as 0
+    fits = (start >= 1) & (start + F.col("size") <= F.col("n_words") + 1)
+    same = ascii_lower(F.array_join(F.slice("words", F.greatest(start, F.lit(1)), F.col("size")), " ")) == F.col("window")
+    found = positions.join(F.broadcast(rarest.unionByName(mark)), (F.col("first_word") == F.col("word")) & ((F.col("at") == 0) | (fits & same)))
+    return found.select("id", "text_key", "n_words", F.when(F.col("at") > 0, start).alias("start"), "size", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = 2_000, block_words: int = 400_000) -> DataFrame:
@@ -83,17 +86,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
     windows = item_windows(items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), window)
     blocks = _blocks(windows, block_items, block_words)
     found = reduce(DataFrame.unionByName, [_matches(rows, b).withColumn("block", F.lit(i)) for i, b in enumerate(blocks)])
-    spans = F.array_sort(F.array_distinct(F.transform(F.col("hits"), lambda h: F.named_struct(F.lit("start"), h["start"], F.lit("stop"), h["start"] + h["size"]))))
+    spans = F.array_sort("spans")
     zero = F.named_struct(F.lit("stop"), F.lit(0), F.lit("n"), F.lit(0))
     step = lambda acc, s: F.named_struct(F.lit("stop"), F.greatest(acc["stop"], s["stop"]), F.lit("n"), acc["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(acc["stop"], s["start"])))
+    mark = F.col("start").isNull()
     per_doc = found.groupBy("id", "text_key").agg(
         F.max("n_words").cast("bigint").alias("n_words"),
-        F.count(F.when(F.col("hits").isNull() & (F.col("block") == 0), 1)).cast("int").alias("copies"),
-        F.flatten(F.collect_list("hits")).alias("hits"),
+        F.count_if(mark & (F.col("block") == 0)).cast("int").alias("copies"),
+        F.collect_set(F.when(~mark, F.struct("start", (F.col("start") + F.col("size")).alias("stop")))).alias("spans"),
+        F.collect_set("items").alias("items"),
     )
     return per_doc.select(
         F.col("id").alias(id_col), "text_key", "n_words", F.aggregate(spans, zero, step, lambda acc: acc["n"]).cast("bigint").alias("n_hit"),
-        F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))).alias("items"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy"),
+        F.array_distinct(F.flatten("items")).alias("items"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy"),
     ).drop("_copy")
 
 
