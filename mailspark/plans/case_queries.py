@@ -236,8 +236,7 @@ def case_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def artefact_intersect(spark: SparkSession, d: str) -> DataFrame:
-    v = view(spark, d, "v_links")
-    return links.intersect(v, links.relate(v, 160))
+    return links.intersect(view(spark, d, "v_links"), 160)
 
 
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
