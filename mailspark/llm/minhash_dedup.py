@@ -7,9 +7,13 @@ compared batch by batch, and a pair is dropped as soon as the posterior
 probability (uniform prior) that its similarity reaches the threshold is under
 ``miss``.  Survivors are confirmed on their full shingle sets.
 
-A bucket is not expanded into its pairs: at first each member is paired with
-the bucket's first class only; classes found linked are merged, and what is
-then left to compare in a bucket are pairs from different components.
+A bucket is not expanded into its pairs.  At first each member is paired only
+with the bucket's most central class, the one with the most bucket mates over
+all bands; classes found linked are merged.  Buckets that still hold several
+components are finished exactly: shingles are ordered by rarity, and a pair
+from different components is compared only if both hold a common shingle so
+early in this order that enough others can follow in both (prefix, length and
+positional bounds of set joins), which no pair over the threshold fails.
 
 Defined results: words are split at ASCII white space, A-Z lower-cased; texts
 with fewer than ``size`` words have their whole sequence as the one shingle;
@@ -142,6 +146,39 @@ def _verified(pairs: DataFrame, active: DataFrame, size: int, percent: int, miss
     return stash(full.mapInArrow(lambda it: _confirm(it, size, percent), "u string, v string"), "links")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(digest, component, text) -> a row for each shingle of the set."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            sets = [shingles(t, size) for t in batch.column(2).to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            row = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            tokens = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(sizes, sizes), pa.int32()), pa.array(tokens)], names=["digest", "component", "n", "token"])
+
+
+def _prefix_pairs(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, from different components that may reach the threshold: a necessary condition.
+
+    x not larger than y share ceil(t / (1 + t) * (|x| + |y|)) shingles at least; with both sorted by rarity,
+    some common shingle stands so early that this many can still follow in both.
+    """
+    tokens = stash(texts.mapInArrow(lambda it: _tokens(it, size), "digest string, component string, n int, token bigint"), "tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    order = W.partitionBy("digest").orderBy("df", "token")
+    placed = tokens.join(common, "token").withColumn("at", F.row_number().over(order))
+    # ``at`` counts from 1: with the least overlap needed of any partner, ceil(t * n), later places can't be the first common one.
+    early = placed.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("lo") != F.col("hi"))).select("token", "digest", "component", "n", "at")
+    x = early.select("token", F.col("digest").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    y = early.select("token", F.col("digest").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)
+    room = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    lengths = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    pairs = x.join(y, "token").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & lengths & (room >= needed))
+    return pairs.select("a", "b").distinct()
+
+
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, miss: float = 1e-9) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
     key = F.xxhash64(F.col(text_col))
@@ -153,8 +190,12 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     classes = stash(classes, "classes")
     numbers = F.sequence(F.lit(0), F.lit(BANDS - 1))
     bands = classes.select("digest", F.explode(F.transform(numbers, lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, F.lit(ROWS))))).alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("digest").alias("rep"), F.count("*").alias("members")).where("members > 1")
-    crowded = stash(bands.join(buckets.select("band", "rep"), "band"), "buckets")
+    buckets = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    shared = stash(bands.join(buckets, "band"), "shared")
+    central = shared.groupBy("digest").agg(F.sum("members").alias("mates"))
+    ranked = shared.join(central, "digest").select("band", "digest", "mates")
+    reps = ranked.groupBy("band").agg(F.max_by("digest", F.struct("mates", "digest")).alias("rep"))
+    crowded = stash(ranked.join(reps, "band").select("band", "digest", "rep"), "buckets")
     needed = classes.join(crowded.select("digest").distinct(), "digest").select("digest", "sig", F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key"))
     whole = lambda df: F.concat_ws(":", df["id"].cast("string"), df["text_key"])
     texts = rows.withColumn("_key", whole(rows)).select("_key", "text")
@@ -166,10 +207,9 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     # Buckets that still hold several components: their cross pairs, each once.
     placed = crowded.join(merged, crowded["digest"] == merged["node"], "left").select("band", "digest", F.coalesce("component", "digest").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    left = stash(placed.join(mixed, "band"), "mixed")
-    x = left.select("band", F.col("digest").alias("a"), F.col("component").alias("ca"))
-    y = left.select("band", F.col("digest").alias("b"), F.col("component").alias("cb"))
-    cross = x.join(y, "band").where("ca <> cb and a < b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    open_ = placed.join(mixed, "band").select("digest", "component").distinct()
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = _prefix_pairs(active.join(open_, "digest").select("digest", "component", "text"), size, percent).join(tried, ["a", "b"], "left_anti")
     more = _verified(cross, active, size, percent, miss)
     final = components(links.unionByName(more))
 
