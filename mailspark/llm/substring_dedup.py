@@ -8,10 +8,13 @@ suffixes with equal leading bytes into play.  Anchors whose leading bytes
 (their tokens) occur once are dropped by a count with partial sums.  The rest
 carry ``length - GRAM`` bytes of text to either side, equal contexts merged
 into one with its count, and are range-partitioned by their leading bytes with
-sampled splitters.  Each bucket sorts the strings around its anchors by
-multikey quicksort (a key is a row of fingerprint digits; only ties are sorted
-on) and compares neighbours byte by byte; a string whose neighbour is equal,
-or whose context has several owners, is removed.  Since all suffixes with the
+sampled splitters.  Each bucket sorts its suffixes by multikey quicksort
+(digits of eight bytes; only ties are sorted on), and those of a run with
+equal leading bytes are compared byte by byte to both sides.  In runs of more
+than NEAR suffixes all strings of ``length`` bytes around the anchors are
+sorted instead, by digits of fingerprints, and equal neighbours compared.  A
+string that has an equal one, or whose context has several owners, is
+removed.  Since all suffixes with the
 same leading bytes lie in one range, no pair crosses a boundary unseen.
 
 Defined results: a null text is empty; matches don't cross documents; strings
@@ -23,7 +26,6 @@ columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 
 from mailspark.llm.storage import stash
 
-GRAM, CHUNK = 64, 1500
+#: Bytes of an anchor; contexts taken at a time; suffixes of a run that are compared directly.
+GRAM, CHUNK, NEAR = 64, 1500, 48
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -230,20 +233,34 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
     def solve(rows: list[list]) -> pa.RecordBatch:
         merged: dict[bytes, list] = {}
-        for name, gram, left, context, n in rows:
-            own = merged.setdefault(name, [gram, left, context, 0])
-            own[3] += n
-        sizes = Counter(v[0] for v in merged.values())
-        # A group of one context with one owner has no partner.
-        merged = {k: v for k, v in merged.items() if v[3] > 1 or sizes[v[0]] > 1}
+        for name, _, left, context, n in rows:
+            own = merged.setdefault(name, [left, context, 0])
+            own[2] += n
         names, values = list(merged), list(merged.values())
-        number = {g: k for k, g in enumerate(sizes)}
         spans: list[list[int]] = [[] for _ in names]
-        low, high = GRAM - length, 1
-        step = max(8, CHUNK * (high - low) // max(CHUNK, len(names)))  # fewer offsets at a time for a large group
-        for lowest in range(low, high, step):
-            for i, a, b in repeated_spans([v[2] for v in values], [v[1] for v in values], [v[3] for v in values], [number[v[0]] for v in values], length, lowest, min(high, lowest + step)):
-                spans[i] += [a, b]
+        # Suffixes in order; those with equal leading bytes are neighbours.
+        leading = np.frombuffer(b"".join(c[at : at + GRAM] for at, c, _ in values), ">u8").astype(np.uint64).reshape(-1, GRAM // 8)
+        order, same = multikey_order(leading)
+        starts = np.flatnonzero(~same).tolist()
+        for first, stop in zip(starts, [*starts[1:], len(order)], strict=True):
+            run = order[first:stop].tolist()
+            for i in run:
+                left, context, n = values[i]
+                if n > 1 and len(context) >= length:
+                    spans[i] += [-left, len(context) - left]
+            if len(run) <= NEAR:
+                for k, i in enumerate(run):
+                    for j in run[k + 1 :]:
+                        back, ahead = common_run(values[i][1], values[i][0], values[j][1], values[j][0])
+                        if back + ahead >= length:
+                            spans[i] += [-back, ahead]
+                            spans[j] += [-back, ahead]
+                continue
+            low, high = GRAM - length, 1
+            step = max(8, CHUNK * (high - low) // max(CHUNK, len(run)))  # fewer offsets at a time for a large group
+            for lowest in range(low, high, step):
+                for k, a, b in repeated_spans([values[i][1] for i in run], [values[i][0] for i in run], [values[i][2] for i in run], [0] * len(run), length, lowest, min(high, lowest + step)):
+                    spans[run[k]] += [a, b]
         keep = [i for i, x in enumerate(spans) if x]
         return pa.RecordBatch.from_arrays([pa.array([names[i] for i in keep], pa.binary()), pa.array([spans[i] for i in keep], pa.list_(pa.int32()))], names=["ctx", "spans"])
 
