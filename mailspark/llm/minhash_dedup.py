@@ -147,29 +147,31 @@ def _verified(pairs: DataFrame, active: DataFrame, size: int, percent: int, miss
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(digest, component, text) -> a row for each shingle of the set."""
+    """(digest, text) -> a row for each shingle of the set."""
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
-            sets = [shingles(t, size) for t in batch.column(2).to_pylist()]
+            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
             sizes = np.array([len(x) for x in sets])
             row = pa.array(np.repeat(np.arange(len(sets)), sizes))
             tokens = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(sizes, sizes), pa.int32()), pa.array(tokens)], names=["digest", "component", "n", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(np.repeat(sizes, sizes), pa.int32()), pa.array(tokens)], names=["digest", "n", "token"])
 
 
 def _prefix_pairs(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, from different components that may reach the threshold: a necessary condition.
+    """texts (digest, component, text) -> pairs (a, b), a < b, from different components that may reach the threshold.
 
-    x not larger than y share ceil(t / (1 + t) * (|x| + |y|)) shingles at least; with both sorted by rarity,
+    x and y over it share ceil(t / (1 + t) * (|x| + |y|)) shingles at least; with both sorted by rarity,
     some common shingle stands so early that this many can still follow in both.
     """
-    tokens = stash(texts.mapInArrow(lambda it: _tokens(it, size), "digest string, component string, n int, token bigint"), "tokens")
-    common = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    tokens = stash(texts.select(F.unhex("digest").alias("digest"), "text").mapInArrow(lambda it: _tokens(it, size), "digest binary, n int, token bigint"), "tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("df"))
     order = W.partitionBy("digest").orderBy("df", "token")
     placed = tokens.join(common, "token").withColumn("at", F.row_number().over(order))
     # ``at`` counts from 1: with the least overlap needed of any partner, ceil(t * n), later places can't be the first common one.
-    early = placed.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("lo") != F.col("hi"))).select("token", "digest", "component", "n", "at")
+    early = placed.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
+    components_ = texts.select("digest", "component")
+    early = early.select("token", F.lower(F.hex("digest")).alias("digest"), "n", "at").join(components_, "digest")
     x = early.select("token", F.col("digest").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"))
     y = early.select("token", F.col("digest").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)
