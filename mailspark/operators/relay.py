@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PATH = W.partitionBy("case_id").orderBy("hop_index")
-BEFORE = PATH.rowsBetween(W.unboundedPreceding, -1)
+
+def _before():
+    """The earlier hops of a message (made in a call: a window needs a session)."""
+    return W.partitionBy("case_id").orderBy("hop_index").rowsBetween(W.unboundedPreceding, -1)
 
 
 def hop_index(headers: DataFrame, key: str, position: str) -> DataFrame:
@@ -17,7 +19,7 @@ def hop_index(headers: DataFrame, key: str, position: str) -> DataFrame:
 
 def relay_path(hops: DataFrame) -> DataFrame:
     """Delay to the previous timed hop, and sorted reasons why a hop is anomalous."""
-    timed = hops.withColumn("delay_s", F.col("ts_s") - F.last("ts_s", ignorenulls=True).over(BEFORE)).withColumn("after_private", F.coalesce(F.max("is_private").over(BEFORE), F.lit(False)))
+    timed = hops.withColumn("delay_s", F.col("ts_s") - F.last("ts_s", ignorenulls=True).over(_before())).withColumn("after_private", F.coalesce(F.max("is_private").over(_before()), F.lit(False)))
     reasons = F.array_compact(
         F.array(
             F.when(F.col("delay_s") < -60, F.lit("backwards time")), F.when(F.col("delay_s") > 3600, F.lit("long gap")), F.when(~F.col("is_private") & F.col("after_private"), F.lit("public after private")),

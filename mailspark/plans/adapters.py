@@ -98,7 +98,23 @@ VIEWS = {
              1704067200 + d.doc_id * 60 AS received_s, l.quality, l.toxic, CASE WHEN l.quality IS NULL THEN NULL ELSE l.quality + 2 * l.toxic END AS label
       FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id""",
     "v_urls": """
-      SELECT page_id, url, html FROM pages""",
+      SELECT page_id, CASE page_id % 11 WHEN 0 THEN 'http://20.1.2.' || CAST(page_id % 250 AS STRING) || '/login?next=/x' WHEN 1 THEN 'https://bit.ly/x' || CAST(page_id AS STRING) || ').' WHEN 2 THEN url || '/secure/login'
+               WHEN 3 THEN 'http://user@xn--80ak6aa92e.com:8080/verify?u=a' WHEN 4 THEN 'https://paypa1.com.top/update.exe' WHEN 5 THEN 'www.ThHer' || CAST(page_id % 40 AS STRING) || '.co.uk/a%20b' WHEN 6 THEN 'https://a.b.c.d.blogspot.com/account/pay'
+               WHEN 7 THEN 'https://g00gle.com/?q=QWxhZGRpbjpvcGVuIHNlc2FtZQQWxhZGRpbjpv' ELSE url END AS url, html
+      FROM pages""",
+    "v_mail": """
+      SELECT doc_id AS msg_id, coalesce(text, '') AS body, source || '.example.com' AS from_domain, lang, source,
+             CASE doc_id % 5 WHEN 0 THEN 'PayPal Support' WHEN 1 THEN 'Micros0ft Team' WHEN 2 THEN 'Jane Doe <jane@other.org>' ELSE 'Staff ' || source END AS from_name,
+             CASE doc_id % 3 WHEN 0 THEN 'RE: ' WHEN 1 THEN 'Fwd: ' ELSE '' END || 'Invoice ' || CAST(doc_id AS STRING) || ' ' || substr(split_part(coalesce(text, ''), chr(10), 1), 1, 30) AS subject,
+             'mx.corp.example.com; spf=' || CASE doc_id % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'pass' ELSE 'none' END || ' smtp.mailfrom=bounce@' || CASE doc_id % 6 WHEN 0 THEN 'bulk.example.net' ELSE 'm.' || source || '.example.com' END
+               || '; dkim=' || CASE doc_id % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'none' END || ' header.d=' || source || '.example.com' || CASE doc_id % 7 WHEN 0 THEN '; dmarc=pass' WHEN 1 THEN '; dmarc=fail' ELSE '' END AS auth_header,
+             'from mail.' || source || '.example.com (helo [20.7.' || CAST(doc_id % 250 AS STRING) || '.9]) by mx.corp.example.com with ESMTPS id ' || CAST(doc_id AS STRING) || '; Tue, ' || CAST(1 + doc_id % 28 AS STRING) || ' Jan 2024 '
+               || lpad(CAST(doc_id % 24 AS STRING), 2, '0') || ':' || lpad(CAST(doc_id % 60 AS STRING), 2, '0') || ':00 +0100' AS received_header,
+             CASE doc_id % 8 WHEN 0 THEN 'invoice.pdf' WHEN 1 THEN 'Invoice.PDF.exe' WHEN 2 THEN 'macro.xlsm' WHEN 3 THEN 'a.zip' WHEN 4 THEN 'photo.jpg' WHEN 5 THEN 'report.docx' WHEN 6 THEN 'noextension' ELSE '' END AS attachment,
+             CASE doc_id % 5 WHEN 0 THEN '255044462D31' WHEN 1 THEN '4D5A9000' WHEN 2 THEN '504B0304' WHEN 3 THEN 'FFD8FFE0' ELSE '00000000' END AS first_bytes
+      FROM documents""",
+    "v_html": """
+      SELECT page_id, replace(coalesce(html, ''), 'href="/', 'href="https://site' || CAST(page_id % 50 AS STRING) || '.example.com/') AS html FROM pages""",
 }
 
 
