@@ -72,4 +72,4 @@ def batch_predict(vectors: DataFrame, weights: DataFrame) -> DataFrame:
     top = logits.groupBy("id").agg(F.max("z").alias("m"))
     e = logits.join(top, "id").withColumn("e", F.exp(F.col("z") - F.col("m")))
     total = e.groupBy("id").agg(F.sum("e").alias("t"), F.max_by("class", F.struct("z", -F.col("class"))).alias("prediction"), F.max(F.when(F.col("class") == 0, F.col("e"))).alias("e0"))
-    return total.select("id", "prediction", F.round(1 - F.coalesce("e0", F.lit(0.0)) / F.col("t"), 6).alias("p_malicious"))
+    return total.select("id", "prediction", (1 - F.coalesce("e0", F.lit(0.0)) / F.col("t")).alias("p_malicious"))
