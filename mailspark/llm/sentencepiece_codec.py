@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-WORDS_KEPT, PAIRS_KEPT = 400_000, 1_000_000
+WORDS_KEPT, PAIRS_KEPT = 250_000, 600_000
 NEVER = float("-inf")
 
 

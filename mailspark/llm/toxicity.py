@@ -84,7 +84,7 @@ class Votes:
             found = seen.get(word)
             if found is None:
                 found = tuple(t for t in terms(word) if t in self.terms)
-                if len(seen) >= 500_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 seen[word] = found
             if found:
