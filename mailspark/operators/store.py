@@ -128,7 +128,7 @@ def stats_breakdowns(cases: DataFrame) -> DataFrame:
 
 def campaign_rollup(cases: DataFrame) -> DataFrame:
     return cases.groupBy("fingerprint").agg(
-        F.count("*").alias("cases"), F.max("risk").alias("max_risk"), F.round(F.avg("risk"), 3).alias("avg_risk"), F.min("created_s").alias("first_seen_s"), F.max("created_s").alias("last_seen_s"),
+        F.count("*").alias("cases"), F.max("risk").alias("max_risk"), (F.floor(F.sum(F.round(F.col("risk") * 10).cast("bigint")) * 100.0 / F.count("*")) / 1000).alias("avg_risk"), F.min("created_s").alias("first_seen_s"), F.max("created_s").alias("last_seen_s"),
         F.count_if(F.col("verdict") == "phishing").alias("phishing"), F.array_join(F.sort_array(F.collect_set("from_domain")), ",").alias("domains"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("threat_class") != "", F.col("threat_class")))), ",").alias("classes"),
     )

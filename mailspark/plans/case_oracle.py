@@ -66,7 +66,7 @@ SQL = {
     "stats_breakdowns": "SELECT 'threat_class' AS breakdown, threat_class AS name, count(*) AS n FROM v_cases WHERE threat_class <> '' GROUP BY ALL UNION ALL SELECT 'actor_type', actor_type, count(*) FROM v_cases WHERE actor_type <> '' GROUP BY ALL",
     "top_techniques": f"SELECT technique, count(DISTINCT case_id) AS cases FROM (SELECT case_id, {_CANON} AS id FROM v_signals WHERE triggered) JOIN {_TECH} USING (id) GROUP BY 1 ORDER BY cases DESC, technique LIMIT 10",
     "top_origins": "SELECT n_name AS country, count(*) AS cases FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY cases DESC, country LIMIT 10",
-    "campaign_rollup": """SELECT fingerprint, count(*) AS cases, max(risk) AS max_risk, round(avg(risk), 3) AS avg_risk, min(created_s) AS first_seen_s, max(created_s) AS last_seen_s, count(*) FILTER (verdict = 'phishing') AS phishing,
+    "campaign_rollup": """SELECT fingerprint, count(*) AS cases, max(risk) AS max_risk, floor(sum(CAST(round(risk * 10) AS BIGINT)) * 100e0 / count(*)) / 1000 AS avg_risk, min(created_s) AS first_seen_s, max(created_s) AS last_seen_s, count(*) FILTER (verdict = 'phishing') AS phishing,
       string_agg(DISTINCT from_domain, ',' ORDER BY from_domain) AS domains, coalesce(string_agg(DISTINCT nullif(threat_class, ''), ',' ORDER BY nullif(threat_class, '')), '') AS classes FROM v_cases GROUP BY 1""",
     "signal_dedupe": f"WITH {_DEDUPE} SELECT case_id, signal_id, w100, triggered FROM dd",
     "logodds_score": f"""WITH {_DEDUPE}, {_SCORE}, pc AS (SELECT case_id, category, sum(w100) AS w FROM dd WHERE triggered GROUP BY ALL), bd AS (SELECT case_id, string_agg(category || '=' || CAST(w AS VARCHAR), ',' ORDER BY category) AS breakdown FROM pc GROUP BY 1)
