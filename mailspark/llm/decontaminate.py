@@ -115,5 +115,5 @@ def is_contaminated() -> Column:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that aren't contaminated, with all their columns."""
-    bad = contamination(docs, items, id_col=id_col, text_col=text_col).where(is_contaminated()).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_key")), "left_anti")
+    bad = contamination(docs, items, id_col=id_col, text_col=text_col).where(is_contaminated()).select(F.col(id_col).alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad_id")) & (F.xxhash64(docs[text_col]) == F.col("__bad_key")), "left_anti")

@@ -200,8 +200,8 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id, text, label) of the rows that may teach."""
-    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("label")).groupBy("_id").agg(F.max("label").alias("label"))
-    return docs.where(learn).join(marks, F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "label")
+    marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).groupBy("__id").agg(F.max("__label").alias("__label"))
+    return docs.where(learn).join(marks, F.col(id_col) == F.col("__id")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("__label").alias("label"))
 
 
 def keep_clean(docs: DataFrame, model: tuple[list[str], np.ndarray], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

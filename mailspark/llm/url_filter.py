@@ -67,7 +67,7 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     spark = urls.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     salt = F.xxhash64(F.col(id_col), F.col(url_col))
-    rows = urls.select("*", host_of(F.col(url_col)).alias("_host"), path_of(F.col(url_col)).alias("_path"), salt.alias("_salt")).withColumn("_key", host_key(F.col("_host")))
+    rows = urls.select(F.struct(*[F.col(c) for c in urls.columns]).alias("_own"), host_of(F.col(url_col)).alias("_host"), path_of(F.col(url_col)).alias("_path"), salt.alias("_salt")).withColumn("_key", host_key(F.col("_host")))
     # A bounded sample of (key, salt): 32 rows a range, the same ones at every run.
     sample = rows.select("_key", "_salt").orderBy(F.xxhash64("_salt", F.lit(1)), "_key").limit(32 * ranges).collect()
     points = sorted((r[0], r[1]) for r in sample)
@@ -85,6 +85,7 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     sweep = W.partitionBy("_bucket").orderBy("_key", "_row").rowsBetween(W.unboundedPreceding, 0)
     swept = mine.unionByName(events, allowMissingColumns=True).withColumn("_stack", F.last("_stack", ignorenulls=True).over(sweep)).where("_row = 1")
     active = F.filter("_stack", lambda f: F.col("_key").startswith(f["key"]) & F.col("_path").startswith(f["path"]))
-    best = F.array_max(active)
     own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    return swept.select(*[F.col(c) for c in own], F.col("_host").alias("host"), F.col("_path").alias("path"), best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))
+    best = F.col("_best")
+    judged = swept.select("_own", "_host", "_path", F.array_max(active).alias("_best"))
+    return judged.select(*[F.col("_own")[c].alias(c) for c in own], F.col("_host").alias("host"), F.col("_path").alias("path"), best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))

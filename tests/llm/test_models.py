@@ -97,3 +97,14 @@ def test_url_rules(spark):
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, ranges=ranges).collect()}
         assert got[0] == ("", "", None, "allow") and got[2] == ("example.com", "/en/1", "example.com/en/", "block") and got[3][2] == "www.example.com/en/"
         assert got[4] == ("a.b.example.com", "/en/x", "example.com/en/", "block") and got[5][2] == "net/es/" and got[6][2] is None and got[7][2] is None and got[8][2] == "com/"
+
+
+def test_clashing_columns(spark):
+    urls = spark.createDataFrame([(1, "http://a.com/x", "mine", "k")], "page_id long, url string, host string, _key string")
+    got = url_filter.judge(urls, spark.createDataFrame(url_filter.RULES, "rule string, verdict string")).collect()[0]
+    assert (got.host, got["_key"], got.rule) == ("a.com", "k", "com/")
+    docs = spark.createDataFrame([(1, "w " * 20, 9, "i", "k")], "doc_id long, text string, label int, _id string, _key string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert [r.label for r in toxicity.labelled_rows(docs, labels, docs.doc_id > 0).collect()] == [1]
+    items = spark.createDataFrame([(1, "other words")], "item_id long, text string")
+    assert decontaminate.drop_contaminated(docs, items).columns == docs.columns
