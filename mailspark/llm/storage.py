@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,3 +29,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that a written table has replaced.
+
+    The cleaner acts when the driver's garbage is collected, which a quick job may never see.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailspark.llm.storage import stash
+from mailspark.llm.storage import release, stash
 
 #: Bytes of an anchor; contexts taken at a time; suffixes of a run that are compared directly.
 GRAM, CHUNK, NEAR = 64, 1500, 48
@@ -194,17 +194,17 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
                     hashes.append(grams.view(np.int64))
                     leads.append([raw[p : p + GRAM] for p in at[grams & np.uint64(1023) == 0].tolist()])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(leads, pa.list_(pa.binary()))],
+                [pa.array(keys, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(leads, pa.list_(pa.binary()))],
                 names=["key", "places", "grams", "leads"],
             )
 
 
-ROW = "ctx binary, bucket int, gram bigint, left int, context binary, n bigint, key string, place int"
+ROW = "ctx binary, bucket int, gram bigint, left int, context binary, n bigint, key binary, place int"
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch], length: int, splitters: list[bytes]) -> Iterator[pa.RecordBatch]:
     """(key, text, places) -> a row for each distinct context of a batch, and a row for each anchor that has it."""
-    types = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.int32()]
+    types = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int32()]
     names = [part.split()[0] for part in ROW.split(", ")]
     for batch in batches:
         found: dict[bytes, list] = {}
@@ -310,9 +310,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """Per row: id, n_bytes, removed (array of start, stop), kept (the remaining bytes)."""
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("id"), F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col)).alias("key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col)).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
     long_rows = rows.where(F.octet_length("text") >= length)
-    found = stash(long_rows.select("key", "text").mapInArrow(lambda it: _find_anchors(it, length), "key string, places array<int>, grams array<bigint>, leads array<binary>"), "anchors")
+    found = stash(long_rows.select("key", "text").mapInArrow(lambda it: _find_anchors(it, length), "key binary, places array<int>, grams array<bigint>, leads array<binary>"), "anchors")
     # Sampled splitters: a bounded number of leading byte strings.
     leads = sorted(bytes(r[0]) for r in found.select(F.explode("leads").alias("lead")).orderBy(F.xxhash64("lead")).limit(64 * ranges).collect())
     splitters = sorted({leads[i * len(leads) // (4 * ranges)] for i in range(1, 4 * ranges)}) if leads else []
@@ -321,6 +321,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     wanted = each.join(common, "gram", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
     texts = long_rows.select("key", "text").join(wanted, "key").select("key", "text", "places")
     parts = stash(texts.mapInArrow(lambda it: _cut_contexts(it, length, splitters), ROW), "contexts")
+    release(spark)
     sorted_parts = parts.where("n is not null").select("bucket", "ctx", "gram", "left", "context", "n").repartition(ranges, "bucket").sortWithinPartitions("gram")
     spans = sorted_parts.select("ctx", "gram", "left", "context", "n").mapInArrow(lambda it: _bucket(it, length), "ctx binary, spans array<int>")
     placed = parts.where("n is null").select("ctx", "key", "place").join(spans, "ctx").select("key", F.transform("spans", lambda x: x + F.col("place")).alias("spans"))
