@@ -236,7 +236,7 @@ def case_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def artefact_intersect(spark: SparkSession, d: str) -> DataFrame:
-    return links.intersect(view(spark, d, "v_links"), 160)
+    return links.intersect(view(spark, d, "v_links"))
 
 
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
