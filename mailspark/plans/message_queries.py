@@ -293,8 +293,11 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus_union(spark: SparkSession, d: str) -> DataFrame:
     m = view(spark, d, "v_mail").select("msg_id", "source")
-    parts = {k: m.where(F.col("source") == k).select("msg_id") for k in ("src0", "src1", "src2", "src3", "src4", "src5")}
-    return corpus.union_sources(parts)
+    named = ("src0", "src1", "src2", "src3", "src4", "src5")
+    parts = {k: m.where(F.col("source") == k).select("msg_id") for k in named}
+    # Rows of all other sources, nulls included, keep their own tag.
+    rest = m.where(~F.coalesce(F.col("source").isin(*named), F.lit(False))).select("msg_id", F.col("source").alias("origin"))
+    return corpus.union_sources(parts).unionByName(rest)
 
 
 def exact_dedupe(spark: SparkSession, d: str) -> DataFrame:
