@@ -1,13 +1,20 @@
 """Shards by balanced label propagation.
 
-Documents that share a link key are linked.  Labels (shards) start spread by
-hash; in each round every link key counts its members' labels, every document
-asks for the shard that most of its neighbours hold, and of the requests from
-one shard to another only as many are granted as the other direction and the
-free capacity allow.  Requests of one link key stand or fall together, since
-the grant depends on a hash of the wish's key.  A last step makes sizes exact:
-documents are ranked by (label, link key) and the ranks cut into equal shares,
-so that a group is cut at a shard's border or where it is larger than a shard.
+Documents that share a link key are linked.  Every linked document starts with
+a label (shard) of its own by hash; the state is the count of documents by unit
+and label, a unit being the documents of one key, or a shard-sized part of them
+where the key has more than a shard holds.  In each round every document asks
+for the label that most of its unit holds, and of the requests from one label
+to another only as many are granted as the other direction and the free
+capacity allow; labels over capacity send documents to the freest one.  The
+label that most of a unit ends with is its home.
+
+Sizes are made exact by packing: the units of more than a 64th of a shard (a
+bounded list) are placed whole, largest first, at home or else where they fit;
+small ones follow in buckets by home and range of keys.  Documents without
+links, ranked, fill the rest.  A unit is cut only if it fits into no shard's
+room; of small units, those of a bucket that fits nowhere whole are ranked
+before the unlinked documents and may be cut at a shard's border.
 
 Every step is a join or an aggregation with partial sums: a link key held by a
 third of all rows is 24 counts after the map side.  Ranks come from windows
@@ -22,6 +29,8 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,40 +38,58 @@ from pyspark.sql import functions as F
 from mailspark.llm.storage import stash
 
 RANGES, SUBS = 64, 16
+SMALL, FILL = 1_000_000, -1
 
 
-def propagate(nodes: DataFrame, shards: int, rounds: int) -> DataFrame:
-    """nodes (key, part, n): how many documents of a link key are placed together.  Returns (key, part, n, label).
-
-    The unit of a move is a (key, part): the documents of one key, or a
-    capacity-sized part of it where the key has more documents than a shard.
-    """
-    total = nodes.agg(F.sum("n")).collect()[0][0] or 0
-    capacity = -(-total // shards)
-    labels = nodes.withColumn("label", F.pmod(F.xxhash64("key", "part"), F.lit(shards)).cast("int"))
+def propagate(nodes: DataFrame, shards: int, capacity: int, rounds: int) -> DataFrame:
+    """nodes (key, part, label, n): documents of a unit (key, part) by their label.  Returns them after ``rounds`` rounds."""
+    spark, labels = nodes.sparkSession, nodes
     for turn in range(rounds):
-        votes = labels.groupBy("key", "label").agg(F.sum("n").alias("votes"))
-        # Neighbours' favourite label of each key: what a document of it asks for.
-        wish = votes.groupBy("key").agg(F.max_by("label", F.struct("votes", F.xxhash64("key", "label"))).alias("wish"), F.count("*").alias("spread")).where("spread > 1").drop("spread")
-        asked = labels.join(wish, "key", "left").withColumn("wish", F.coalesce("wish", "label"))
-        flow = asked.groupBy("label", "wish").agg(F.sum("n").alias("n"))  # at most shards * shards rows
-        size = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-        moves = {(r["label"], r["wish"]): r["n"] for r in flow.where("label <> wish").collect()}
-        free = {s: max(0, capacity - size.get(s, 0)) for s in range(shards)}
+        # The favourite label of each unit: what a document of it asks for.
+        wish = labels.groupBy("key", "part").agg(F.max_by("label", F.struct("n", F.xxhash64("key", "part", "label"))).alias("wish"))
+        asked = labels.join(wish, ["key", "part"])
+        flow = asked.groupBy("label", "wish").agg(F.sum("n").alias("n")).collect()  # at most shards * shards rows
+        moves = {(r["label"], r["wish"]): r["n"] for r in flow if r["label"] != r["wish"]}
+        size = {s: sum(r["n"] for r in flow if r["label"] == s) for s in range(shards)}
+        free = {s: max(0, capacity - size[s]) for s in range(shards)}
         into = {s: sum(n for (_, b), n in moves.items() if b == s) or 1 for s in range(shards)}
-        grant = [(a, b, min(1.0, (min(n, moves.get((b, a), 0)) + free[b] * n / into[b]) / n)) for (a, b), n in moves.items()]
-        quota = labels.sparkSession.createDataFrame(grant or [(-1, -1, 0.0)], "label int, wish int, share double")
-        luck = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1_000_000)) / 1_000_000
-        labels = stash(
-            asked.join(F.broadcast(quota), ["label", "wish"], "left")
-            .select("key", "part", "n", F.when(luck < F.coalesce("share", F.lit(0.0)), F.col("wish")).otherwise(F.col("label")).alias("label")),
-            "labels",
-        )
+        grant = [(a, b, b, min(1.0, (min(n, moves.get((b, a), 0)) + free[b] * n / into[b]) / n)) for (a, b), n in moves.items()]
+        freest = max(free, key=free.get)
+        grant += [(s, s, freest, min(size[s] - capacity, free[freest]) / size[s]) for s in range(shards) if size[s] > capacity and free[freest]]
+        quota = spark.createDataFrame(grant or [(-1, -1, -1, 0.0)], "label int, wish int, goal int, share double")
+        luck = F.pmod(F.xxhash64("key", "part", F.lit(turn)), F.lit(1_000_000)) / 1_000_000
+        moved = asked.join(F.broadcast(quota), ["label", "wish"], "left").withColumn("label", F.when(luck < F.coalesce("share", F.lit(0.0)), F.col("goal")).otherwise(F.col("label")))
+        labels = stash(moved.groupBy("key", "part", "label").agg(F.sum("n").alias("n")), "labels")
     return labels
 
 
+def pack(units: list[tuple[int, int, int]], room: list[int], at_home: bool = True) -> tuple[list[tuple[int, int, int]], list[int], int]:
+    """units (queue, n, home), largest first -> pieces (queue, shard, n), room left, number of documents in cut units.
+
+    A unit goes home if it fits there, else to the tightest shard that holds it whole; what fits nowhere is cut last.
+    """
+    room, pieces, cut = list(room), [], []
+    for queue, n, home in sorted(units, key=lambda u: (-u[1], u[0])):
+        fits = [s for s, r in enumerate(room) if r >= n]
+        if not fits:
+            cut.append((queue, n))
+            continue
+        s = home if at_home and room[home] >= n else min(fits, key=lambda s: (room[s], s))
+        room[s] -= n
+        pieces.append((queue, s, n))
+    for queue, n in cut:
+        while n > 0:
+            s = max(range(len(room)), key=lambda s: room[s])
+            take = min(n, room[s])
+            room[s] -= take
+            n -= take
+            pieces.append((queue, s, take))
+    return pieces, room, sum(n for _, n in cut)
+
+
 def assign(docs: DataFrame, shards: int = 24, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, size (bytes + 8), text_crc32, law, shard, slot, grown_shard (null under this law)."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stash(
         docs.select(
@@ -71,35 +98,73 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 2, id_col: str = "do
         ),
         "rows",
     )
-    keys = rows.groupBy("key").agg(F.count("*").alias("members"))
     total = rows.count()
-    capacity = max(1, total // shards)
-    # A key with more documents than a shard holds is placed in parts.
-    parts = F.greatest(F.lit(1), F.ceil(F.col("members") / capacity)).cast("int")
-    hot = keys.where(F.col("members") > max(2, capacity // SUBS)).select("key", parts.alias("parts"))  # at most shards * SUBS rows
-    placed = rows.join(F.broadcast(hot), "key", "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.hash("salt"), F.col("parts"))).otherwise(F.lit(0)).cast("int"))
-    nodes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    linked = propagate(stash(nodes.where("n > 1"), "nodes"), shards, rounds).select("key", "part", "label", F.lit(1).alias("tier"))
-    # Documents without links have no neighbours to follow: their label is their hash.
-    labelled = (
-        placed.join(linked, ["key", "part"], "left")
-        .withColumn("label", F.coalesce("label", F.pmod("key", F.lit(shards)).cast("int")))
-        .withColumn("tier", F.coalesce("tier", F.lit(0)))
-        .withColumn("span", F.pmod(F.shiftrightunsigned("key", 32), F.lit(RANGES)).cast("int"))
-        .withColumn("sub", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.hash("salt", F.lit(7)), F.lit(SUBS))).cast("int"))
-        .select("id", "size", "crc", "key", "salt", "label", "tier", "span", "sub")
-    )
-    labelled = stash(labelled, "labelled")
-    bucket = ["label", "tier", "span", "sub"]
-    sizes = labelled.groupBy(*bucket).agg(F.count("*").alias("n"))  # shards * 2 * RANGES * (SUBS + 1) rows at most
-    before = sizes.select(*bucket, (F.sum("n").over(W.orderBy(*bucket)) - F.col("n")).alias("before"))
     low, over = divmod(total, shards)
+    target = [low + (s < over) for s in range(shards)]
+    capacity = max(1, max(target))
+    keys = stash(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "keys")
+    # A key with more documents than a shard holds is placed in parts; at most shards such keys.
+    parts = keys.where(F.col("members") > capacity).select("key", F.ceil(F.col("members") / capacity).cast("int").alias("parts"))
+    started = rows.join(F.broadcast(parts), "key", "left").select("key", F.pmod(F.hash("salt"), F.coalesce("parts", F.lit(1))).alias("part"), F.pmod(F.hash("salt", F.lit(11)), F.lit(shards)).alias("label"))
+    nodes = started.groupBy("key", "part", "label").agg(F.count("*").alias("n")).join(keys.select("key"), "key", "left_semi")
+    labels = propagate(stash(nodes, "nodes"), shards, capacity, rounds)
+    homes = labels.groupBy("key", "part").agg(F.max_by("label", F.struct("n", F.xxhash64("key", "part", "label"))).alias("home"), F.sum("n").alias("n"))
+    homes = stash(homes.join(keys, "key"), "homes")
+
+    large = F.col("members") > capacity / RANGES
+    listed = defaultdict(list)
+    for r in homes.where(large).select("key", "part", "home", "members").collect():  # at most shards * RANGES keys
+        listed[r["key"], r["members"]].append(r["home"])
+    queues, units = {}, []
+    for queue, (key, members) in enumerate(sorted(listed)):
+        queues[key] = queue
+        # A key larger than a shard goes in equal parts, as few as hold it; its parts' homes are used in turn.
+        count, own = -(-members // capacity), listed[key, members]
+        units += [(queue, members // count + (i < members % count), own[i % len(own)]) for i in range(count)]
+    span = F.pmod(F.shiftrightunsigned("key", 32), F.lit(RANGES)).cast("int")
+    small = homes.where(~large).select("key", F.col("home").alias("label"), span.alias("span"))
+    counted = homes.where(~large).groupBy(F.col("home").alias("label"), span.alias("span")).agg(F.sum("n").alias("n")).collect()  # at most shards * RANGES rows
+    pieces, room, cut = pack(units, target)
+    if cut:
+        tight = pack(units, target, at_home=False)
+        pieces, room, cut = tight if tight[2] < cut else (pieces, room, cut)
+    loose = []
+    for r in sorted(counted, key=lambda r: (-r["n"], r["label"], r["span"])):
+        queue = SMALL + r["label"] * RANGES + r["span"]
+        fits = [s for s in range(shards) if room[s] >= r["n"]]
+        if not fits:
+            loose.append(queue)  # fewer than ``shards``: each is larger than any room left
+            continue
+        s = r["label"] if room[r["label"]] >= r["n"] else min(fits, key=lambda s: (room[s], s))
+        room[s] -= r["n"]
+        pieces.append((queue, s, r["n"]))
+    pieces += [(FILL, s, n) for s, n in enumerate(room) if n]
+    used, runs, ways = [0] * shards, defaultdict(int), defaultdict(list)
+    for queue, s, n in pieces:
+        ways[queue].append((runs[queue], s, used[s]))
+        runs[queue] += n
+        used[s] += n
+    way = spark.createDataFrame(list(ways.items()), "queue int, way array<struct<start: bigint, shard: int, base: bigint>>")
+
+    dealt = 1 + F.pmod(F.hash("salt", F.lit(7)), F.lit(SUBS))
+    columns = ["id", "size", "crc", "key", "salt"]
+    named = spark.createDataFrame(list(queues.items()), "key bigint, queue int")
+    known = rows.join(F.broadcast(named), "key", "left")
+    hot = known.where("queue is not null").select(*columns, "queue", F.lit(1).alias("tier"), F.lit(0).alias("label"), F.lit(0).alias("span"), dealt.cast("int").alias("sub"))
+    home = F.col("label").isNotNull()
+    bucket_queue = (F.lit(SMALL) + F.col("label") * RANGES + F.col("span")).cast("int")
+    rest = (
+        known.where("queue is null").drop("queue").join(small, "key", "left")
+        .withColumn("queue", F.when(home & ~bucket_queue.isin(loose), bucket_queue).otherwise(F.lit(FILL)))
+        .select(*columns, "queue", F.when(home, 0).otherwise(1).alias("tier"), F.coalesce("label", F.pmod("key", F.lit(shards)).cast("int")).alias("label"), span.alias("span"), F.lit(0).alias("sub"))
+    )
+    labelled = stash(hot.unionByName(rest), "labelled")
+    bucket = ["queue", "tier", "label", "span", "sub"]
+    sizes = labelled.groupBy(*bucket).agg(F.count("*").alias("c"))  # shards * RANGES * (SUBS + 2) rows at most
+    before = sizes.select(*bucket, (F.sum("c").over(W.partitionBy("queue").orderBy(*bucket[1:])) - F.col("c")).alias("before"))
     ranked = labelled.join(F.broadcast(before), bucket).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy(*bucket).orderBy("key", "salt", "id")) - 1)
-    edge = over * (low + 1)
-    wide = F.col("rank") < edge
-    return ranked.select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"),
-        F.when(wide, F.expr(f"rank div {low + 1}")).otherwise(over + F.expr(f"(rank - {edge}) div {max(low, 1)}")).cast("int").alias("shard"),
-        F.when(wide, F.expr(f"rank % {low + 1}")).otherwise(F.expr(f"(rank - {edge}) % {max(low, 1)}")).cast("bigint").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    placed = ranked.join(F.broadcast(way), "queue").withColumn("at", F.element_at(F.filter("way", lambda w: w["start"] <= F.col("rank")), -1))
+    return placed.select(
+        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("at.shard").alias("shard"),
+        (F.col("at.base") + F.col("rank") - F.col("at.start")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -108,3 +108,25 @@ def test_clashing_columns(spark):
     assert [r.label for r in toxicity.labelled_rows(docs, labels, docs.doc_id > 0).collect()] == [1]
     items = spark.createDataFrame([(1, "other words")], "item_id long, text string")
     assert decontaminate.drop_contaminated(docs, items).columns == docs.columns
+
+
+def test_sharding_keeps_groups_whole(spark):
+    sizes = {"over": 250, "a": 96, "b": 90, "c": 61, "d": 40, "e": 25, "f": 7} | {f"p{i}": 2 for i in range(40)}
+    texts = [t for t, n in sizes.items() for _ in range(n)] + [f"alone {i}" for i in range(251)]
+    got = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=9).collect()
+    shards = Counter(r.shard for r in got)
+    assert len(got) == len(texts) == 900 and set(shards.values()) == {100} and len(shards) == 9
+    assert len({(r.shard, r.slot) for r in got}) == 900 and {r.slot for r in got} == set(range(100))
+    held = {t: {r.shard for r in got if texts[r.doc_id] == t} for t in sizes}
+    assert len(held["over"]) == 3 and all(len(held[t]) == 1 for t in sizes if t != "over")
+
+
+def test_propagation_moves_documents_within_quotas(spark):
+    nodes = [(k, 0, (k + i) % 4, 3 if i == 0 else 1) for k in range(40) for i in range(3)]
+    got = sharding.propagate(spark.createDataFrame(nodes, "key long, part int, label int, n long"), 4, 60, 2).collect()
+    assert sum(r.n for r in got) == 200 and len(got) < len(nodes) / 2
+    heavy = [(k, 0, 0, 1) for k in range(200)]
+    moved = Counter()
+    for r in sharding.propagate(spark.createDataFrame(heavy, "key long, part int, label int, n long"), 4, 60, 3).collect():
+        moved[r.label] += r.n
+    assert moved[0] < 120 and sum(moved.values()) == 200
