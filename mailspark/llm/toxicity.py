@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
             out = []
             for text in batch.column(2).to_pylist():
                 hits, hit_words, words = own.of(text)
-                logit = base + (float(features(hits, hit_words, words, n) @ weights[:-1]) if hits else 0.0)
+                logit = base + (float(features(hits, hit_words, words, n) @ weights[:-1]) if hits or hit_words else 0.0)
                 out.append(float(1 / (1 + np.exp(-np.clip(logit, -30, 30)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=[id_col, "text_key", "score"])
 
@@ -217,7 +217,7 @@ def keep_clean(docs: DataFrame, model: tuple[list[str], np.ndarray], threshold:
             keep = []
             for text in batch.column(at).to_pylist():
                 hits, hit_words, words = own.of(text)
-                logit = base + (float(features(hits, hit_words, words, n) @ weights[:-1]) if hits else 0.0)
+                logit = base + (float(features(hits, hit_words, words, n) @ weights[:-1]) if hits or hit_words else 0.0)
                 keep.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -130,3 +130,15 @@ def test_propagation_moves_documents_within_quotas(spark):
     for r in sharding.propagate(spark.createDataFrame(heavy, "key long, part int, label int, n long"), 4, 60, 3).collect():
         moved[r.label] += r.n
     assert moved[0] < 120 and sum(moved.values()) == 200
+
+
+def test_toxicity_scores_scattered_dense_words(spark):
+    voters, weights = ["zork@"], toxicity.np.array([1.0, 6.0, 4.0, 0.5, -3.0])
+    text = " ".join("zork" if i % 125 == 0 else "plain" for i in range(2000))
+    hits, hit_words, words = toxicity.Votes(voters).of(text)
+    assert hits == [] and hit_words == 16
+    logit = toxicity.features(hits, hit_words, words, 1) @ weights[:-1] + weights[-1]
+    docs = spark.createDataFrame([(1, text), (2, "plain " * 2000)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, (voters, weights)).collect()}
+    assert got[1] == pytest.approx(1 / (1 + toxicity.np.exp(-logit))) and got[1] > 0.5 > got[2]
+    assert [r.doc_id for r in toxicity.keep_clean(docs, (voters, weights), threshold=0.5).collect()] == [2]
