@@ -5,27 +5,38 @@ kept, an anchor being the place with the least hash of GRAM bytes among the
 starts in a string of ``length`` bytes.  Equal strings have their anchor at
 the same place, so two equal strings of ``length`` bytes always bring two
 suffixes with equal leading bytes into play.  Anchors whose leading bytes
-(their tokens) occur once are dropped by a count with partial sums.  The rest
-carry ``length - GRAM`` bytes of text to either side, equal contexts merged
-into one with its count, and are range-partitioned by their leading bytes with
-sampled splitters.  Each bucket sorts its suffixes by multikey quicksort
-(digits of eight bytes; only ties are sorted on), and those of a run with
-equal leading bytes are compared byte by byte to both sides.  In runs of more
-than NEAR suffixes all strings of ``length`` bytes around the anchors are
-sorted instead, by digits of fingerprints, and equal neighbours compared.  A
-string that has an equal one, or whose context has several owners, is
-removed.  Since all suffixes with the
-same leading bytes lie in one range, no pair crosses a boundary unseen.
+(their tokens) occur once are dropped by a count with partial sums.
+
+The rest have a context: ``length - GRAM`` bytes before the anchor and
+``length`` from it on.  Anchors with equal contexts are one entry with a count;
+its bytes are cut from one owner's text, and only where a run (equal leading
+bytes) holds several contexts.  Contexts are range-partitioned by their leading
+bytes at sampled splitters.  Each bucket sorts by multikey quicksort (digits of
+eight bytes; only ties are sorted on), and the contexts of a run are compared
+to both sides: in pairs, or, if there are more than NEAR, by the hashes of all
+strings of ``length`` bytes around the anchor, sorted offset by offset, with
+equal neighbours compared byte by byte.  Ranges hold all suffixes with the same
+leading bytes, so no pair crosses a boundary.
+
+A run of more than RUN contexts doesn't go to one task.  A string of
+``length`` bytes around the anchor that starts within STEP given offsets
+contains the bytes common to all of these; contexts are grouped by 128-bit
+digests of these bytes for each such stretch of offsets, and only those that
+meet another are grouped by digests of the whole strings.  All of these are
+counts with partial sums and joins.
+
+Since every string of a run contains the anchor, what an anchor's matches cover
+is one span around it.
 
 Defined results: a null text is empty; matches don't cross documents; strings
 are judged on the input; rows that repeat a text match each other in full;
-null ids are ids like others; an empty table gives an empty result; other
-columns are ignored.
+null ids are ids like others; texts may be of any length (an anchor is 736
+bytes of context at most, whatever the text); an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +45,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailspark.llm.storage import release, stash
+from mailspark.llm.storage import discard, stash
 
-#: Bytes of an anchor; contexts taken at a time; suffixes of a run that are compared directly.
-GRAM, CHUNK, NEAR = 64, 1500, 48
+#: Bytes of an anchor; contexts taken at a time; contexts of a run that are compared in pairs; contexts of the largest run of one task; offsets that a part of a larger run covers.
+GRAM, CHUNK, NEAR, RUN, STEP = 64, 1500, 128, 16_384, 43
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -129,145 +140,137 @@ def multikey_order(digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, same
 
 
-def common_run(x: bytes, left_x: int, y: bytes, left_y: int) -> tuple[int, int]:
-    """How far two contexts agree to the left and to the right of their anchors."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    n = min(left_x, left_y)
-    back = np.flatnonzero(a[left_x - n : left_x][::-1] != b[left_y - n : left_y][::-1])
-    m = min(len(a) - left_x, len(b) - left_y)
-    ahead = np.flatnonzero(a[left_x : left_x + m] != b[left_y : left_y + m])
-    return int(back[0]) if len(back) else n, int(ahead[0]) if len(ahead) else m
-
-
-def repeated_spans(contexts: list[bytes], lefts: list[int], counts: list[int], groups: list[int], length: int, lowest: int, highest: int) -> list[tuple[int, int, int]]:
-    """(context, start, stop) relative to the anchor: bytes of strings that start at an offset from ``lowest`` to below ``highest`` and repeat.
-
-    Only strings of one group (equal leading bytes) at the same offset are compared: they are never the same place.
-    """
-    who, where, digits = [], [], []
-    half = length // 2
-    for i, (text, left) in enumerate(zip(contexts, lefts, strict=True)):
-        first, last = max(0, lowest + left), min(len(text) - length + 1, highest + left)
-        if first >= last:
-            continue
-        sums = prefix_sums(np.frombuffer(text, np.uint8)[first : last + length - 1])
-        n = last - first
-        offsets = np.arange(n) + (first - left)
-        who.append(np.full(n, i, np.int32))
-        where.append(offsets.astype(np.int32))
-        one, two = window_hashes(sums, half), window_hashes(sums, length - half)
-        digits.append(np.column_stack([np.uint64(groups[i] << 12) + (offsets + 2048).astype(np.uint64), one[:n], two[half : half + n]]))
-    if not who:
-        return []
-    who, where = np.concatenate(who), np.concatenate(where)
-    order, same = multikey_order(np.concatenate(digits))
-    who, where = who[order], where[order]
-    # Neighbours with equal digits: the bytes themselves decide, once for each pair of contexts.
-    at = np.flatnonzero(same)
-    if len(at):
-        pairs, which = np.unique(who[at - 1].astype(np.int64) << 32 | who[at], return_inverse=True)
-        runs = np.array([common_run(contexts[p >> 32], lefts[p >> 32], contexts[p & 0xFFFFFFFF], lefts[p & 0xFFFFFFFF]) for p in pairs.tolist()])
-        same[at] = (where[at] >= -runs[which, 0]) & (where[at] + length <= runs[which, 1])
-    hit = same | (np.array(counts)[who] > 1)
-    hit[:-1] |= same[1:]
-    who, where = who[hit], where[hit]
-    if not len(who):
-        return []
-    back = np.lexsort((where, who))
-    who, where = who[back], where[back]
-    cut = np.flatnonzero((who[1:] != who[:-1]) | (where[1:] - where[:-1] > length)) + 1
-    ends = np.concatenate([cut, [len(who)]]) - 1
-    return [(int(who[a]), int(where[a]), int(where[b]) + length) for a, b in zip(np.concatenate([[0], cut]), ends, strict=True)]
+def extents(lefts: np.ndarray, rights: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far contexts agree before and after the anchor, pair by pair (the last column of either side always differs)."""
+    return np.argmax(lefts[i] != lefts[j], axis=1), np.argmax(rights[i] != rights[j], axis=1)
+
+
+def spread(contexts: list[bytes], lefts: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts as two matrices, read outwards from the anchor; past their ends stands a number of the row's own."""
+    before, after = length - GRAM, length
+    pad = np.arange(256, 256 + len(contexts), dtype=np.uint16)[:, None]
+    out_left, out_right = np.repeat(pad, before + 1, axis=1), np.repeat(pad, after + 1, axis=1)
+    for k, (text, left) in enumerate(zip(contexts, lefts, strict=True)):
+        row = np.frombuffer(text, np.uint8)
+        out_left[k, :left] = row[:left][::-1]
+        out_right[k, : len(row) - left] = row[left:]
+    return out_left, out_right
+
+
+def match_pairs(contexts: list[bytes], lefts: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after) for each context: what its repeated strings cover around the anchor; 0, 0 if there is none."""
+    left, right = spread(contexts, lefts, length)
+    before, after = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+    for i in range(len(contexts) - 1):
+        others = np.arange(i + 1, len(contexts))
+        back, ahead = extents(left, right, i, others)
+        good = back + ahead >= length
+        if good.any():
+            others, back, ahead = others[good], back[good], ahead[good]
+            before[i], after[i] = max(before[i], back.max()), max(after[i], ahead.max())
+            before[others], after[others] = np.maximum(before[others], back), np.maximum(after[others], ahead)
+    return before, after
+
+
+def match_windows(contexts: list[bytes], lefts: list[int], length: int, columns: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The same for large runs: strings of ``length`` bytes at one offset are sorted by their hash, equal neighbours compared."""
+    n, reach = len(contexts), length - GRAM
+    left, right = spread(contexts, lefts, length)
+    sizes = np.array([len(c) for c in contexts])
+    own = np.array(lefts)
+    rows = np.concatenate([left[:, -2::-1], right[:, :-1]], axis=1)
+    up, _ = _powers(rows.shape[1])
+    sums = np.zeros((n, rows.shape[1] + 1), np.uint64)
+    for at in range(0, n, 1024):
+        np.cumsum((rows[at : at + 1024].astype(np.uint64) + np.uint64(1)) * up, axis=1, out=sums[at : at + 1024, 1:])
+    del rows
+    before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for first in range(0, reach + 1, columns):
+        starts = np.arange(first, min(first + columns, reach + 1))  # columns of the matrix; the anchor stands at ``reach``
+        hashes = sums[:, starts + length] - sums[:, starts]
+        order = np.argsort(hashes, axis=0, kind="stable")
+        ordered = np.take_along_axis(hashes, order, 0)
+        at, col = np.nonzero(ordered[1:] == ordered[:-1])
+        a, b, start = order[at, col], order[at + 1, col], starts[col] - reach
+        inside = (own[a] >= -start) & (own[b] >= -start) & (start + length <= sizes[a] - own[a]) & (start + length <= sizes[b] - own[b])
+        a, b, start = a[inside], b[inside], start[inside]
+        # The bytes decide, once for each pair of contexts.
+        pairs, which = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
+        for part in range(0, len(pairs), 4096):
+            back, ahead = extents(left, right, pairs[part : part + 4096] >> 32, pairs[part : part + 4096] & 0xFFFFFFFF)
+            mine = (which >= part) & (which < part + 4096)
+            k = which[mine] - part
+            good = (back[k] >= -start[mine]) & (ahead[k] >= start[mine] + length)
+            for who in (a[mine][good], b[mine][good]):
+                np.maximum.at(before, who, -start[mine][good])
+                np.maximum.at(after, who, start[mine][good] + length)
+    return before, after
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (key, size, places, grams, ctxs): the anchors with the digests of their leading bytes and of their contexts."""
+    reach = length - GRAM
     for whole in batches:
         for start in range(0, whole.num_rows, 512):
             batch = whole.slice(start, 512)
-            keys, places, hashes, leads = [], [], [], []
+            keys, sizes, places, hashes, contexts = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode()
+                raw = text.encode()
                 at, grams = anchors(np.frombuffer(raw, np.uint8), length)
-                if len(at):
-                    keys.append(key)
-                    places.append(at.astype(np.int32))
-                    hashes.append(grams.view(np.int64))
-                    leads.append([raw[p : p + GRAM] for p in at[grams & np.uint64(1023) == 0].tolist()])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(leads, pa.list_(pa.binary()))],
-                names=["key", "places", "grams", "leads"],
-            )
+                keys.append(key)
+                sizes.append(len(raw))
+                places.append(at.astype(np.int32))
+                hashes.append(grams.view(np.int64))
+                contexts.append([xxhash.xxh3_64_intdigest(raw[max(0, p - reach) : p + length], min(p, reach)) - (1 << 63) for p in at.tolist()])
+            big, small = pa.list_(pa.int64()), pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(places, small), pa.array(hashes, big), pa.array(contexts, big)], names=["key", "size", "places", "grams", "ctxs"])
 
 
-ROW = "ctx binary, bucket int, gram bigint, left int, context binary, n bigint, key binary, place int"
+CONTEXT = "gram bigint, ctx bigint, n bigint, large boolean, left int, context binary"
 
 
-def _cut_contexts(batches: Iterator[pa.RecordBatch], length: int, splitters: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """(key, text, places) -> a row for each distinct context of a batch, and a row for each anchor that has it."""
-    types = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int32()]
-    names = [part.split()[0] for part in ROW.split(", ")]
+def _cut_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(key, text, wanted), sorted by key -> a row for each wanted anchor, with its bytes; rows that repeat id and text bring it once."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+    names = [part.split()[0] for part in CONTEXT.split(", ")]
+    reach, last = length - GRAM, None
     for batch in batches:
-        found: dict[bytes, list] = {}
-        members = []
-        for key, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = text.encode()
-            for p in places:
-                lo = max(0, p - length + GRAM)
-                context = raw[lo : p + length]
-                left = p - lo
-                name = xxhash.xxh3_128_digest(context, left)
-                own = found.get(name)
-                if own is None:
-                    lead = raw[p : p + GRAM]
-                    found[name] = [name, bisect_right(splitters, lead), xxhash.xxh3_64_intdigest(lead) - (1 << 63), left, context, 1, None, None]
-                else:
-                    own[5] += 1
-                members.append([name, None, None, None, None, None, key, p])
-        rows = list(found.values()) + members
-        for at in range(0, len(rows), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096], strict=True), types, strict=True)], names=names)
+        rows = []
+        for key, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key == last:
+                continue
+            raw, last = text.encode(), key
+            for w in wanted:
+                p = w["place"]
+                rows.append((w["gram"], w["ctx"], w["n"], w["large"], min(p, reach), raw[max(0, p - reach) : p + length]))
+                if len(rows) == 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def _bucket(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of whole buckets, sorted by their gram -> (ctx, spans): whole groups are taken together."""
-
-    def solve(rows: list[list]) -> pa.RecordBatch:
-        merged: dict[bytes, list] = {}
-        for name, _, left, context, n in rows:
-            own = merged.setdefault(name, [left, context, 0])
-            own[2] += n
-        names, values = list(merged), list(merged.values())
-        spans: list[list[int]] = [[] for _ in names]
+    """Contexts in the order of their leading bytes -> (gram, ctx, before, after) of those with a match."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
         # Suffixes in order; those with equal leading bytes are neighbours.
-        leading = np.frombuffer(b"".join(c[at : at + GRAM] for at, c, _ in values), ">u8").astype(np.uint64).reshape(-1, GRAM // 8)
+        leading = np.frombuffer(b"".join(r[4][r[3] : r[3] + GRAM] for r in rows), ">u8").astype(np.uint64).reshape(-1, GRAM // 8)
         order, same = multikey_order(leading)
         starts = np.flatnonzero(~same).tolist()
+        out = []
         for first, stop in zip(starts, [*starts[1:], len(order)], strict=True):
-            run = order[first:stop].tolist()
-            for i in run:
-                left, context, n = values[i]
-                if n > 1 and len(context) >= length:
-                    spans[i] += [-left, len(context) - left]
-            if len(run) <= NEAR:
-                for k, i in enumerate(run):
-                    for j in run[k + 1 :]:
-                        back, ahead = common_run(values[i][1], values[i][0], values[j][1], values[j][0])
-                        if back + ahead >= length:
-                            spans[i] += [-back, ahead]
-                            spans[j] += [-back, ahead]
-                continue
-            low, high = GRAM - length, 1
-            step = max(8, CHUNK * (high - low) // max(CHUNK, len(run)))  # fewer offsets at a time for a large group
-            for lowest in range(low, high, step):
-                for k, a, b in repeated_spans([values[i][1] for i in run], [values[i][0] for i in run], [values[i][2] for i in run], [0] * len(run), length, lowest, min(high, lowest + step)):
-                    spans[run[k]] += [a, b]
-        keep = [i for i, x in enumerate(spans) if x]
-        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in keep], pa.binary()), pa.array([spans[i] for i in keep], pa.list_(pa.int32()))], names=["ctx", "spans"])
-
-    held: list[list] = []
+            run = list({rows[i][:2]: rows[i] for i in order[first:stop].tolist()}.values())  # several tasks may have brought a context
+            match = match_pairs if len(run) <= NEAR else match_windows
+            before, after = match([r[4] for r in run], [r[3] for r in run], length)
+            out += [(run[k][0], run[k][1], int(before[k]), int(after[k])) for k in np.flatnonzero(after).tolist() if run[k][2] == 1]
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["gram", "ctx", "before", "after"])
+
+    held: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if len(held) >= CHUNK and held[-1][1] != row[1]:
+            if len(held) >= CHUNK and held[-1][0] != row[0]:
                 yield solve(held)
                 held = []
             held.append(row)
@@ -275,10 +278,41 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield solve(held)
 
 
-def merge_spans(spans: list[int]) -> list[tuple[int, int]]:
-    """Maximal runs of a flat list of starts and stops."""
+def _digests(batches: Iterator[pa.RecordBatch], length: int, each: bool) -> Iterator[pa.RecordBatch]:
+    """Digests of a large run's contexts: of the bytes common to the strings of a stretch of offsets, or (``each``) of the strings of one stretch."""
+    reach = length - GRAM
+    for batch in batches:
+        rows = []
+        for gram, ctx, left, context, stretch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if each:
+                offsets = [(o, o + length) for o in range(stretch * STEP - reach, min((stretch + 1) * STEP - reach, 1))]
+            else:
+                offsets = [(min((k + 1) * STEP - 1 - reach, 0), k * STEP - reach + length) for k in range(-(-(reach + 1) // STEP))]
+            for k, (a, b) in enumerate(offsets):
+                # A string must lie in the context; none of a stretch does if their common bytes don't.
+                if left + a >= 0 and left + b <= len(context):
+                    at = a if each else k
+                    rows.append((xxhash.xxh3_128_digest(context[left + a : left + b], at & 0xFFFF), gram, ctx, at))
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32())], names=["digest", "gram", "ctx", "at"])
+
+
+def _large_runs(contexts: DataFrame, length: int) -> DataFrame:
+    """(gram, ctx, before, after) for runs too large for one task, by shuffled digests alone."""
+    schema = "digest binary, gram bigint, ctx bigint, at int"
+    twice = lambda d: d.join(d.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "digest", "left_semi")
+    columns = ["gram", "ctx", "left", "context"]
+    large = contexts.select(*columns).dropDuplicates(["gram", "ctx"])
+    parts = stash(large.withColumn("stretch", F.lit(0)).mapInArrow(lambda it: _digests(it, length, False), schema), "stretches")
+    met = twice(parts).select("gram", "ctx", F.col("at").alias("stretch"))
+    strings = stash(large.join(met, ["gram", "ctx"]).select(*columns, "stretch").mapInArrow(lambda it: _digests(it, length, True), schema), "strings")
+    return twice(strings).groupBy("gram", "ctx").agg((-F.min("at")).cast("int").alias("before"), (F.max("at") + length).cast("int").alias("after"))
+
+
+def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of spans (start, stop)."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -294,7 +328,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes, removed, kept = [], [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                runs = merge_spans([x for part in spans or [] for x in part])
+                runs = merge_spans([(s["start"], s["stop"]) for s in spans or []])
                 at, parts = 0, []
                 for a, b in runs:
                     parts.append(raw[at:a])
@@ -310,21 +344,35 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """Per row: id, n_bytes, removed (array of start, stop), kept (the remaining bytes)."""
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col)).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
+    reach = length - GRAM
+    name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col), F.xxhash64(F.lit(7), F.col(text_col)))
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(name.cast("binary"))).alias("key"), F.col(text_col).alias("text"))
     long_rows = rows.where(F.octet_length("text") >= length)
-    found = stash(long_rows.select("key", "text").mapInArrow(lambda it: _find_anchors(it, length), "key binary, places array<int>, grams array<bigint>, leads array<binary>"), "anchors")
-    # Sampled splitters: a bounded number of leading byte strings.
-    leads = sorted(bytes(r[0]) for r in found.select(F.explode("leads").alias("lead")).orderBy(F.xxhash64("lead")).limit(64 * ranges).collect())
-    splitters = sorted({leads[i * len(leads) // (4 * ranges)] for i in range(1, 4 * ranges)}) if leads else []
-    each = found.select("key", F.explode(F.arrays_zip("places", "grams")).alias("a")).select("key", F.col("a.places").alias("place"), F.col("a.grams").alias("gram"))
-    common = each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    wanted = each.join(common, "gram", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    texts = long_rows.select("key", "text").join(wanted, "key").select("key", "text", "places")
-    parts = stash(texts.mapInArrow(lambda it: _cut_contexts(it, length, splitters), ROW), "contexts")
-    release(spark)
-    sorted_parts = parts.where("n is not null").select("bucket", "ctx", "gram", "left", "context", "n").repartition(ranges, "bucket").sortWithinPartitions("gram")
-    spans = sorted_parts.select("ctx", "gram", "left", "context", "n").mapInArrow(lambda it: _bucket(it, length), "ctx binary, spans array<int>")
-    placed = parts.where("n is null").select("ctx", "key", "place").join(spans, "ctx").select("key", F.transform("spans", lambda x: x + F.col("place")).alias("spans"))
-    per_row = placed.groupBy("key").agg(F.collect_set("spans").alias("spans"))
+    schema = "key binary, size bigint, places array<int>, grams array<bigint>, ctxs array<bigint>"
+    found = stash(long_rows.select("key", "text").mapInArrow(lambda it: _find_anchors(it, length), schema), "anchors")
+    common = found.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    each = found.select("key", "size", F.explode(F.arrays_zip("places", "grams", "ctxs")).alias("a")).select("key", "size", F.col("a.places").alias("place"), F.col("a.grams").alias("gram"), F.col("a.ctxs").alias("ctx"))
+    members = stash(each.join(common, "gram", "left_semi").select("gram", "ctx", "key", "place", F.least(F.lit(length), F.col("size") - F.col("place")).cast("int").alias("after")), "members")
+
+    discard(found)
+
+    # An entry for each context, with one owner and the number of owners; runs with their number of contexts.
+    entries = stash(members.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("owner"), F.min("after").alias("after")), "entries")
+    runs = entries.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    wanted = entries.join(runs, "gram").select(F.col("owner.key").alias("key"), F.struct(F.col("owner.place").alias("place"), "gram", "ctx", "n", (F.col("contexts") > RUN).alias("large")).alias("w"))
+    per_text = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
+    cut = long_rows.select("key", "text").join(per_text, "key").select("key", "text", "wanted").mapInArrow(lambda it: _cut_contexts(it, length), CONTEXT)
+    contexts = stash(cut, "contexts")
+
+    # Range partitions by the leading bytes (Spark samples the splitters), each in suffix order.
+    lead = F.substring("context", F.col("left") + 1, F.lit(GRAM))
+    ordered = contexts.where("not large").withColumn("lead", lead).repartitionByRange(ranges, "lead").sortWithinPartitions("lead", "gram")
+    matched = ordered.select("gram", "ctx", "n", "left", "context").mapInArrow(lambda it: _bucket(it, length), "gram bigint, ctx bigint, before int, after int")
+    owned = entries.where("n > 1").select("gram", "ctx", F.least(F.col("owner.place"), F.lit(reach)).alias("before"), "after")
+    alone = _large_runs(contexts.where("large"), length).join(entries.where("n = 1").select("gram", "ctx"), ["gram", "ctx"], "left_semi")
+    spans = stash(matched.unionByName(alone).unionByName(owned), "spans")
+    discard(contexts)
+    placed = members.select("gram", "ctx", "key", "place").join(spans, ["gram", "ctx"]).select("key", F.struct((F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("stop")).alias("span"))
+    per_row = placed.groupBy("key").agg(F.collect_set("span").alias("spans"))
     out = rows.join(per_row, "key", "left").select("id", "text", "spans").mapInArrow(_apply, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, removed array<struct<start:int,stop:int>>, kept binary")
     return out.withColumnRenamed("id", id_col)

@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
-from mailspark.llm import components, exact_dedup, line_dedup, minhash_dedup, substring_dedup
+from mailspark.llm import components, exact_dedup, line_dedup, minhash_dedup, queries, substring_dedup
 
 SCHEMA = "doc_id long, text string, kept string"
 BASE = " ".join(f"w{i}" for i in range(120))
@@ -91,21 +92,57 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("near", [48, 1])
-def test_repeats(spark, near, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "NEAR", near)
+@pytest.mark.parametrize("near, run", [(128, 16_384), (1, 16_384), (1, 2)])
+def test_repeats(spark, near, run, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "RUN", run)
+    sent = substring_dedup._bucket  # the tasks see what the driver hands over, not the patched module
+
+    def bucket(batches, length):
+        substring_dedup.NEAR = near
+        return sent(batches, length)
+
+    monkeypatch.setattr(substring_dedup, "_bucket", bucket)
     rng = np.random.default_rng(5)
     word = lambda n: "".join(rng.choice(list("abcdeé "), n))
     shared = word(500)
     texts = [word(300) + shared + word(200), shared[20:470] + word(100), word(900), None, "", "ab" * 400, word(700), shared[:399] + "#"]
     texts += [texts[2], texts[6][:450] + word(50)] + [word(30) + shared + word(30) for _ in range(4)]
+    texts += ["same line, again and again\n" * 40 + word(20), word(5) + "z" * 1000, "z" * 600]
     rows = list(enumerate(texts))
     got = {r.doc_id: (r.n_bytes, sum(s.stop - s.start for s in r.removed), bytes(r.kept)) for r in substring_dedup.remove_repeats(docs(spark, rows), length=400).collect()}
     assert got == dict(enumerate(brute_repeats(texts, 400)))
 
 
-def test_repeats_of_empty_table(spark):
+def test_repeats_of_empty_table_and_repeated_rows(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
+    long_text = " ".join(f"word{i}" for i in range(200_000))
+    rows = spark.createDataFrame([(1, BASE, "k", 1), (1, BASE, "k", 1), (None, BASE[:450], "k", 2), (None, None, "k", 3), (2, long_text, "k", 4)], "doc_id long, text string, key string, gram int")
+    got = sorted((str(r.doc_id), r.n_bytes, bytes(r.kept)) for r in substring_dedup.remove_repeats(rows).collect())
+    assert got == sorted([("1", len(BASE), b""), ("1", len(BASE), b""), ("None", 450, b""), ("None", 0, b""), ("2", len(long_text), long_text.encode())])
+
+
+@pytest.mark.parametrize("run", [16_384, 8])
+def test_repeats_query_on_documents(spark, run, monkeypatch):
+    """The query's columns against all strings of 400 bytes of all documents."""
+    monkeypatch.setattr(substring_dedup, "RUN", run)
+    folder = "/root/testdata/sf0.01"
+    raws = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    names = {i: [xxhash.xxh3_128_intdigest(b[k : k + 400]) for k in range(len(b) - 399)] for i, b in raws.items()}
+    seen = Counter(h for own in names.values() for h in own)
+    want = {}
+    for i, b in raws.items():
+        end, kept, removed, spans = 0, [], 0, 0
+        for k in range(len(b)):
+            if k < len(names[i]) and seen[names[i][k]] > 1:
+                spans += k > end or end == 0
+                end = k + 400
+            if k < end:
+                removed += 1
+            else:
+                kept.append(b[k : k + 1])
+        want[i] = (len(b), removed, spans, hashlib.sha256(b"".join(kept)).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op6_suffix_dedup(spark, folder).collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 100_000
 
 
 def test_lines(spark):
