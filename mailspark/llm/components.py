@@ -11,13 +11,14 @@ from mailspark.llm.storage import stash
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: every node's larger (or smaller) neighbours are linked with its smallest neighbour.
 
-    The smallest neighbour is a partial sum, so a node with very many links costs one row a task.
+    The smallest neighbour is a partial sum: a node with very many links costs one row a task.
     """
     if large:
         near = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    # Written, so that the join with it is of plain shuffles, which Spark splits where a node has very many links.
+    least = stash(near.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
     linked = near.join(least, "u")
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

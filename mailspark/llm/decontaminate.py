@@ -16,8 +16,9 @@ Defined results: words are runs of digits, a-z (A-Z lower-cased) and
 characters above ASCII; a null or empty text has no words; a null item or one
 without words has no windows; equal windows of several items count for each;
 rows that repeat id and text are judged alike and stay repeated; null ids are
-ids like others; an empty table on either side works; other columns are
-ignored.
+ids like others; texts may be of any length; an empty table on either side
+works; other columns, whatever their names, are ignored
+(``drop_contaminated`` carries them).
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailspark.llm.storage import fresh
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARK = "\x00"  # no word holds it: the entry that each document has once
@@ -37,6 +40,11 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; null for null."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
@@ -82,7 +90,7 @@ def _matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = 2_000, block_words: int = 400_000) -> DataFrame:
     """Per row of ``docs``: id, text_key, n_words, n_hit, items (array of item ids with occurring windows)."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), text_key(text).alias("text_key"))
     windows = item_windows(items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), window)
     blocks = _blocks(windows, block_items, block_words)
     found = reduce(DataFrame.unionByName, [_matches(rows, b).withColumn("block", F.lit(i)) for i, b in enumerate(blocks)])
@@ -115,5 +123,6 @@ def is_contaminated() -> Column:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that aren't contaminated, with all their columns."""
-    bad = contamination(docs, items, id_col=id_col, text_col=text_col).where(is_contaminated()).select(F.col(id_col).alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad_id")) & (F.xxhash64(docs[text_col]) == F.col("__bad_key")), "left_anti")
+    bad_id, bad_key = fresh(docs.columns, "bad_id", "bad_key")
+    bad = contamination(docs, items, id_col=id_col, text_col=text_col).where(is_contaminated()).select(F.col(id_col).alias(bad_id), F.col("text_key").alias(bad_key)).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col(bad_id)) & (text_key(docs[text_col]) == F.col(bad_key)), "left_anti")

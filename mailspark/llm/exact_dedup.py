@@ -8,9 +8,11 @@ none of which can be frequent, take an ordinary shuffle by digest.
 
 Defined results: a null text counts as the empty text; a null id loses to any
 other id and wins only in a group without ids; rows that repeat both id and
-text are counted in ``group_size`` and exactly one of them is kept; an empty
-table gives an empty result; other columns are ignored by ``annotate`` and
-carried through by ``keep_one``.
+text are counted in ``group_size`` and exactly one of them is kept (by
+``keep_one`` the one whose whole row has the least hash); texts of any length
+are digested whole; an empty table gives an empty result; other columns,
+whatever their names, are ignored by ``annotate`` and carried through by
+``keep_one``.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mailspark.llm.storage import stash
+from mailspark.llm.storage import fresh, row_hash, stash
 
 
 def shrink(counts: dict[str, int], k: int) -> dict[str, int]:
@@ -77,7 +79,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
     """The rows that stay, with all their columns."""
     key = F.concat_ws(":", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.col(id_col).cast("string"))
-    marks = annotate(docs, id_col, text_col, k).where("kept").select(F.concat_ws(":", "text_sha256", F.col(id_col).cast("string")).alias("__same_row"))
-    joined = docs.withColumn("__same_row", key).join(marks, "__same_row", "left_semi")
+    same, nth = fresh(docs.columns, "same_row", "nth")
+    marks = annotate(docs, id_col, text_col, k).where("kept").select(F.concat_ws(":", "text_sha256", F.col(id_col).cast("string")).alias(same))
+    joined = docs.withColumn(same, key).join(marks, same, "left_semi")
     # Same keys as the join, so no further shuffle: one of the rows that repeat id and text.
-    return joined.withColumn("__nth", F.row_number().over(W.partitionBy("__same_row").orderBy(F.lit(1)))).where("__nth = 1").drop("__same_row", "__nth")
+    return joined.withColumn(nth, F.row_number().over(W.partitionBy(same).orderBy(row_hash(docs)))).where(F.col(nth) == 1).drop(same, nth)

@@ -5,12 +5,14 @@ summed by a shuffle); the matrix of log-probabilities (buckets x languages)
 is broadcast, its size fixed by ``buckets`` and the number of languages.
 Scoring sums the rows of the matrix that a text's n-grams name.
 
-The fit reads a bounded sample of the labelled rows: those whose hash falls
-under ``max_rows`` / (number of labelled rows).  Scoring reads every row and
-whole texts.
-
-Defined results: ``und`` and score 0 for a null text or one without letters,
-and for all rows if nothing was learned; ties go to the first language in
+The fit reads a bounded sample of the labelled rows: those whose hash over id
+and text, on a scale from 0 to 1, falls under ``max_rows`` / (number of
+labelled rows).  Scoring reads every row and whole texts, a bounded piece at a
+time, so texts may be of any length.
+
+Defined results: ``und`` and score 0 for a null text or one without letters
+(characters of Unicode's category L), and for all rows if there are no labelled
+ones; ties go to the first language in
 order; labelled rows with a null text or language teach nothing; repeated rows
 are scored one by one; an empty table gives an empty result; other columns
 are ignored.
@@ -18,16 +20,18 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailspark.llm.storage import sampled
+
 BUCKETS, MAX_ROWS, CHUNK = 1 << 15, 20_000, 1 << 16
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def ngram_buckets(text: str, buckets: int) -> Iterator[np.ndarray]:
@@ -62,11 +66,13 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 def fit(labelled: DataFrame, buckets: int = BUCKETS, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """labelled (id, text, lang) -> languages, log-probabilities (buckets x languages), log-priors."""
     rows = labelled.where("text is not null and lang is not null")
-    total = max(1, rows.count())
-    sample = rows if total <= max_rows else rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1e6 * max_rows / total))
+    total = rows.count()
+    sample = rows if total <= max_rows else sampled(rows, max_rows / total, "id", "text")
     sums = sample.select("text", "lang").mapInArrow(lambda it: _count(it, buckets), "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toPandas()
     langs = sorted(got.lang.unique())
+    if total and not langs:
+        raise ValueError("no labelled row was drawn: raise max_rows")
     counts, rows_of = np.zeros((buckets, len(langs))), np.zeros(len(langs))
     for j, lang in enumerate(langs):
         own = got[got.lang == lang]

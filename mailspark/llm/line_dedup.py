@@ -13,8 +13,9 @@ partial sums or joins on keys whose repeated values were merged before.
 
 Defined results: lines end at a line feed; lines of white space only are kept
 and not counted; a null text has no lines and stays null; rows with equal
-texts are treated alike and stay repeated; null ids are ids like others; an
-empty table gives an empty result; other columns are ignored.
+texts are treated alike and stay repeated; null ids are ids like others; texts
+and lines may be of any length; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,9 +42,10 @@ def _lines(docs: DataFrame, leading: int) -> DataFrame:
 
 def drop_recurring(docs: DataFrame, min_texts: int = 10, leading: int = 4, min_fixed: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_lines, n_dropped, text (what is left)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text_key"), F.col(text_col).alias("text"))
     lines = _lines(rows, leading)
-    leaves = lines.select("text_key", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("leaf")
+    # Counts that are joined again are written first: such joins are of plain shuffles, which Spark splits where a leaf or a text is hot.
+    leaves = stash(lines.select("text_key", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("leaf"), "leaves")
     found = stash(lines.join(leaves, "leaf", "left_semi"), "lines")
     distinct = found.select("leaf", "line", "text_key").distinct().groupBy("leaf", "line").agg(F.count("*").alias("texts"))
     tokens = distinct.select("leaf", "line", "texts", F.posexplode(F.split("line", " ")).alias("at", "token"))
@@ -54,7 +56,7 @@ def drop_recurring(docs: DataFrame, min_texts: int = 10, leading: int = 4, min_f
     templates = stash(general.where(F.col("fixed") >= min_fixed * F.col("n")).select("leaf", "line", F.array_join(F.transform("parts", lambda p: p["token"]), " ").alias("template")), "templates")
     named = found.join(templates, ["leaf", "line"])
     recurring = named.select("template", "text_key").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("template")
-    drops = found.join(templates.join(recurring, "template", "left_semi"), ["leaf", "line"]).groupBy("text_key").agg(F.collect_set("at").alias("drops"))
+    drops = stash(found.join(templates.join(recurring, "template", "left_semi"), ["leaf", "line"]).groupBy("text_key").agg(F.collect_set("at").alias("drops")), "drops")
     joined = rows.join(drops, "text_key", "left").withColumn("lines", F.split("text", "\n"))
     kept = F.filter("lines", lambda _, i: ~F.array_contains("drops", i))
     return joined.select(

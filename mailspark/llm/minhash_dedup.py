@@ -19,8 +19,10 @@ Defined results: words are split at ASCII white space, A-Z lower-cased; texts
 with fewer than ``size`` words have their whole sequence as the one shingle;
 null texts and texts without words have an empty set and are linked with
 nothing; a null id never names a component unless none of its documents has
-an id; repeated rows stay repeated and get the same component; an empty table
-gives an empty result; other columns are ignored (``keep_one`` carries them).
+an id; repeated rows stay repeated and get the same component (``keep_one``
+keeps the one whose whole row has the least hash); texts may be of any length;
+an empty table gives an empty result; other columns, whatever their names, are
+ignored (``keep_one`` carries them).
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailspark.llm.components import components
-from mailspark.llm.storage import stash
+from mailspark.llm.storage import fresh, row_hash, stash
 
 BANDS, ROWS, BATCH = 32, 4, 16
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -165,7 +167,7 @@ def _prefix_pairs(texts: DataFrame, size: int, percent: int) -> DataFrame:
     some common shingle stands so early that this many can still follow in both.
     """
     tokens = stash(texts.select(F.unhex("digest").alias("digest"), "text").mapInArrow(lambda it: _tokens(it, size), "digest binary, n int, token bigint"), "tokens")
-    common = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    common = stash(tokens.groupBy("token").agg(F.count("*").alias("df")), "frequencies")
     order = W.partitionBy("digest").orderBy("df", "token")
     placed = tokens.join(common, "token").withColumn("at", F.row_number().over(order))
     # ``at`` counts from 1: with the least overlap needed of any partner, ceil(t * n), later places can't be the first common one.
@@ -192,11 +194,12 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     classes = stash(classes, "classes")
     numbers = F.sequence(F.lit(0), F.lit(BANDS - 1))
     bands = classes.select("digest", F.explode(F.transform(numbers, lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, F.lit(ROWS))))).alias("band"))
-    buckets = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    # Written, so that the joins with them are of plain shuffles, which Spark splits where a band is hot.
+    buckets = stash(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "bands")
     shared = stash(bands.join(buckets, "band"), "shared")
     central = shared.groupBy("digest").agg(F.sum("members").alias("mates"))
     ranked = shared.join(central, "digest").select("band", "digest", "mates")
-    reps = ranked.groupBy("band").agg(F.max_by("digest", F.struct("mates", "digest")).alias("rep"))
+    reps = stash(ranked.groupBy("band").agg(F.max_by("digest", F.struct("mates", "digest")).alias("rep")), "representatives")
     crowded = stash(ranked.join(reps, "band").select("band", "digest", "rep"), "buckets")
     needed = classes.join(crowded.select("digest").distinct(), "digest").select("digest", "sig", F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key"))
     whole = lambda df: F.concat_ws(":", df["id"].cast("string"), df["text_key"])
@@ -226,7 +229,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """One row of each component, with all columns (a row without words is its own component)."""
     marks = annotate(docs, id_col, text_col, **options)
     key = lambda i, t: F.concat_ws(":", i.cast("string"), t)
-    kept = marks.where("kept").select(key(F.col(id_col), F.col("text_key")).alias("__same_row")).distinct()
-    joined = docs.withColumn("__same_row", key(F.col(id_col), F.xxhash64(F.col(text_col)))).join(kept, "__same_row", "left_semi")
+    same, nth = fresh(docs.columns, "same_row", "nth")
+    kept = marks.where("kept").select(key(F.col(id_col), F.col("text_key")).alias(same)).distinct()
+    joined = docs.withColumn(same, key(F.col(id_col), F.xxhash64(F.col(text_col)))).join(kept, same, "left_semi")
     # Rows that repeat id and text: same keys as the join, so no further shuffle.
-    return joined.withColumn("__nth", F.row_number().over(W.partitionBy("__same_row").orderBy(F.lit(1)))).where("__nth = 1").drop("__same_row", "__nth")
+    return joined.withColumn(nth, F.row_number().over(W.partitionBy(same).orderBy(row_hash(docs)))).where(F.col(nth) == 1).drop(same, nth)

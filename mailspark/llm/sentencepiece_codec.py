@@ -25,6 +25,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mailspark.llm.storage import fresh
+
 SPACE = "▁"
 WORDS_KEPT, PAIRS_KEPT = 250_000, 600_000
 NEVER = float("-inf")
@@ -228,9 +230,10 @@ def _encoder(vocabulary: Callable[[], dict], at: int) -> Callable[[Iterator[pa.R
 
 def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``columns`` (all, unless given) with _ids (decimal ids joined by a space), _n_tokens and _decoded."""
-    columns = [c for c in (columns if columns is not None else docs.columns) if c not in ("_ids", "_n_tokens", "_decoded", "_text")]
-    sent = docs.select(*[docs[c] for c in columns], docs[text_col].alias("_text"))
+    columns = [c for c in (columns if columns is not None else docs.columns) if c.lower() not in ("_ids", "_n_tokens", "_decoded")]
+    (sent_text,) = fresh([*columns, "_ids", "_n_tokens", "_decoded"], "text")
+    sent = docs.select(*[docs[f"`{c}`"] for c in columns], docs[text_col].alias(sent_text))
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema)
     out = sent.mapInArrow(_encoder(lambda: shared.value, len(columns)), f"{schema}, _ids string, _n_tokens bigint, _decoded string")
-    return out.drop("_text")
+    return out.drop(sent_text)

@@ -8,13 +8,14 @@ correlate within a class; correlated voters share their weight, and the given
 label is one more, fallible voter.  A linear classifier over the voters'
 presence and density is trained on the posterior labels.
 
-The fit uses a bounded sample of the labelled rows (``max_rows``, by hash); the
-model is ``max_voters`` terms, whatever the corpus.  Scoring reads every row
-and whole texts.
+The fit uses a bounded sample of the labelled rows (``max_rows``: those whose
+hash over id and text, on a scale from 0 to 1, falls under ``max_rows`` /
+number of labelled rows); the model is ``max_voters`` terms, whatever the
+corpus.  Scoring reads every row and whole texts, of any length.
 
 Defined results: a null text counts as empty and gets the score of a text
 without votes; repeated rows are scored one by one; labelled rows with a null
-label teach nothing; without labelled rows the lexicon alone decides; an empty
+label teach nothing, and of several labels of an id the largest holds; without labelled rows the lexicon alone decides; an empty
 table gives an empty result; other columns are ignored (``keep_clean`` carries
 them).
 """
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailspark.llm.storage import sampled
+
 MAX_ROWS, MAX_VOTERS, THRESHOLD = 12_000, 300, 0.7
 #: A word in so many makes a term dense; how often the given label says toxic in toxic and in clean texts.
 DENSE, LABEL_RATES = 100, (0.95, 0.02)
@@ -148,9 +151,9 @@ def train(x: np.ndarray, target: np.ndarray, ridge: float = 0.3, steps: int = 40
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_voters: int = MAX_VOTERS) -> tuple[list[str], np.ndarray]:
     """labelled (id, text, label 0/1) -> voters and weights."""
     rows = labelled.where("label in (0, 1)")
-    total = max(1, rows.count())
+    total = rows.count()
     if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1e6 * max_rows / total))
+        rows = sampled(rows, max_rows / total, "id", "text")
     rows = rows.select("text", F.col("label").cast("int").alias("label")).dropDuplicates()
     mined = rows.mapInArrow(_mine, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # Mostly toxic and not by chance: how far toxic lies above what clean texts would lead to.
@@ -172,6 +175,8 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_voters: int = MAX_VOT
 
     # A bounded sample: max_rows short lists.
     seen = rows.mapInArrow(votes, "label int, voters array<int>, hit_words int, words int").collect()
+    if total and not seen:
+        raise ValueError("no labelled row was drawn: raise max_rows")
     prior = [1.0] * len(voters) + [2.0, 2.0, 1.0, -3.0]
     if not any(r["label"] for r in seen):
         return voters, np.array(prior)
@@ -181,7 +186,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_voters: int = MAX_VOT
 
 
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, text_key, score."""
+    """Per row: id, score."""
     voters, weights = model
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -189,19 +194,19 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
         own, n, base = Votes(voters), len(voters), float(weights[-1])
         for batch in batches:
             out = []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(1).to_pylist():
                 hits, hit_words, words = own.of(text)
                 logit = base + (float(features(hits, hit_words, words, n) @ weights[:-1]) if hits or hit_words else 0.0)
                 out.append(float(1 / (1 + np.exp(-np.clip(logit, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=[id_col, "text_key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=[id_col, "score"])
 
-    return docs.select(id_col, F.xxhash64(text_col).alias("text_key"), text_col).mapInArrow(run, f"`{id_col}` {kind}, text_key bigint, score double")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id, text, label) of the rows that may teach."""
-    marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).groupBy("__id").agg(F.max("__label").alias("__label"))
-    return docs.where(learn).join(marks, F.col(id_col) == F.col("__id")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("__label").alias("label"))
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).groupBy("id").agg(F.max("label").alias("label"))
+    return docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id")
 
 
 def keep_clean(docs: DataFrame, model: tuple[list[str], np.ndarray], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,8 @@ a URL that no rule covers gets ``default`` and a null rule; repeated rows stay
 repeated; of the active rules the longest wins (ties: the longer host, then
 the rule text); repeated rules count once, and of rules with equal text
 ``block`` wins; tables without rows or rules work; other columns are carried
-through by ``judge``, and those named like a result column give way to it.
+through by ``judge``, and those named like a result column (in any case) give
+way to it; URLs may be of any length.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     sweep = W.partitionBy("_bucket").orderBy("_key", "_row").rowsBetween(W.unboundedPreceding, 0)
     swept = mine.unionByName(events, allowMissingColumns=True).withColumn("_stack", F.last("_stack", ignorenulls=True).over(sweep)).where("_row = 1")
     active = F.filter("_stack", lambda f: F.col("_key").startswith(f["key"]) & F.col("_path").startswith(f["path"]))
-    own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    own = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     best = F.col("_best")
     judged = swept.select("_own", "_host", "_path", F.array_max(active).alias("_best"))
     return judged.select(*[F.col("_own")[c].alias(c) for c in own], F.col("_host").alias("host"), F.col("_path").alias("path"), best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))
