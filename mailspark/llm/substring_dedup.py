@@ -300,7 +300,7 @@ def _digests(batches: Iterator[pa.RecordBatch], length: int, each: bool) -> Iter
 def _large_runs(contexts: DataFrame, length: int) -> DataFrame:
     """(gram, ctx, before, after) for runs too large for one task, by shuffled digests alone."""
     schema = "digest binary, gram bigint, ctx bigint, at int"
-    twice = lambda d: d.join(d.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "digest", "left_semi")
+    twice = lambda d: d.join(stash(d.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "met"), "digest", "left_semi")
     columns = ["gram", "ctx", "left", "context"]
     large = contexts.select(*columns).dropDuplicates(["gram", "ctx"])
     parts = stash(large.withColumn("stretch", F.lit(0)).mapInArrow(lambda it: _digests(it, length, False), schema), "stretches")
@@ -350,15 +350,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     long_rows = rows.where(F.octet_length("text") >= length)
     schema = "key binary, size bigint, places array<int>, grams array<bigint>, ctxs array<bigint>"
     found = stash(long_rows.select("key", "text").mapInArrow(lambda it: _find_anchors(it, length), schema), "anchors")
-    common = found.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Counts that are joined again are written first: such joins are of plain shuffles, which Spark splits where a gram is hot.
+    common = stash(found.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "common")
     each = found.select("key", "size", F.explode(F.arrays_zip("places", "grams", "ctxs")).alias("a")).select("key", "size", F.col("a.places").alias("place"), F.col("a.grams").alias("gram"), F.col("a.ctxs").alias("ctx"))
     members = stash(each.join(common, "gram", "left_semi").select("gram", "ctx", "key", "place", F.least(F.lit(length), F.col("size") - F.col("place")).cast("int").alias("after")), "members")
 
-    discard(found)
+    discard(found, common)
 
     # An entry for each context, with one owner and the number of owners; runs with their number of contexts.
     entries = stash(members.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("owner"), F.min("after").alias("after")), "entries")
-    runs = entries.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    runs = stash(entries.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1"), "runs")
     wanted = entries.join(runs, "gram").select(F.col("owner.key").alias("key"), F.struct(F.col("owner.place").alias("place"), "gram", "ctx", "n", (F.col("contexts") > RUN).alias("large")).alias("w"))
     per_text = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
     cut = long_rows.select("key", "text").join(per_text, "key").select("key", "text", "wanted").mapInArrow(lambda it: _cut_contexts(it, length), CONTEXT)
@@ -371,7 +372,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     owned = entries.where("n > 1").select("gram", "ctx", F.least(F.col("owner.place"), F.lit(reach)).alias("before"), "after")
     alone = _large_runs(contexts.where("large"), length).join(entries.where("n = 1").select("gram", "ctx"), ["gram", "ctx"], "left_semi")
     spans = stash(matched.unionByName(alone).unionByName(owned), "spans")
-    discard(contexts)
+    discard(runs, contexts)
     placed = members.select("gram", "ctx", "key", "place").join(spans, ["gram", "ctx"]).select("key", F.struct((F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("stop")).alias("span"))
     per_row = placed.groupBy("key").agg(F.collect_set("span").alias("spans"))
     out = rows.join(per_row, "key", "left").select("id", "text", "spans").mapInArrow(_apply, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, removed array<struct<start:int,stop:int>>, kept binary")
