@@ -14,6 +14,8 @@ MAGIC = [
 ]
 MACRO = ("doc", "docm", "xls", "xlsm", "xlsb", "ppt", "pptm", "dotm", "xlam")
 EXECUTABLE = ("exe", "scr", "com", "pif", "bat", "cmd", "js", "jse", "vbs", "vbe", "wsf", "wsh", "hta", "msi", "msp", "jar", "ps1", "lnk", "cpl", "dll", "iso", "img", "vhd", "apk")
+DOUBLE_EXTENSION = r"\.(pdf|doc|docx|xls|xlsx|jpg|png|txt|zip)\.[a-z0-9]{2,4}$"
+EXPECTED_TYPES = [(("pdf",), "pdf"), (("doc", "xls", "ppt"), "ole2-office"), (("docx", "xlsx", "pptx"), "zip-container")]
 ARCHIVE = ("zip", "rar", "7z", "tar", "gz", "bz2", "xz", "cab", "ace")
 
 
@@ -34,8 +36,11 @@ def auth(header: Column, from_domain: Column) -> dict[str, Column]:
     signed = F.lower(F.regexp_extract(header, r"(?i)header\.d=([^\s;]+)", 1))
     aligned = lambda d: F.when((d != "") & (from_domain != ""), registrable(d) == registrable(from_domain))
     passed = ((spf == "pass") & aligned(envelope).eqNullSafe(F.lit(True))) | ((dkim == "pass") & aligned(signed).eqNullSafe(F.lit(True)))
+    # Of several ARC results the last counts.
+    arcs = F.regexp_extract_all(header, F.lit(r"(?i)\barc\s*=\s*([a-z]+)"), 1)
+    arc = F.lower(F.coalesce(F.try_element_at(arcs, F.lit(-1)), F.lit("unknown")))
     dmarc = F.when(given != "unknown", given).when(passed, "pass").when((spf != "unknown") | (dkim != "unknown"), "fail").otherwise("unknown")
-    return {"spf": spf, "dkim": dkim, "dmarc": dmarc, "spf_domain": envelope, "dkim_domain": signed, "spf_aligned": aligned(envelope), "dkim_aligned": aligned(signed)}
+    return {"spf": spf, "dkim": dkim, "dmarc": dmarc, "arc": arc, "spf_domain": envelope, "dkim_domain": signed, "spf_aligned": aligned(envelope), "dkim_aligned": aligned(signed)}
 
 
 def received(header: Column) -> dict[str, Column]:
@@ -64,9 +69,11 @@ def magic(first_bytes_hex: Column) -> Column:
 def attachment(name: Column, first_bytes_hex: Column) -> dict[str, Column]:
     ext, kind = extension(name), magic(first_bytes_hex)
     binary = kind.isin("pe-executable", "elf-executable")
-    mismatch = ((ext == "pdf") & ~kind.isin("pdf", "unknown")) | (ext.isin("docx", "xlsx", "pptx") & ~kind.isin("zip-container", "unknown")) | (binary & ~ext.isin(*EXECUTABLE))
+    mismatch = binary & ~ext.isin(*EXECUTABLE)
+    for endings, expected in EXPECTED_TYPES:
+        mismatch = mismatch | (ext.isin(*endings) & ~kind.isin(expected, "unknown"))
     return {
-        "extension": ext, "detected_type": kind, "double_extension": F.lower(name).rlike(r"\.(pdf|doc|docx|xls|xlsx|jpg|png|txt)\.(exe|scr|js|vbs|bat|cmd|zip|com|pif|hta)$"), "mismatch": mismatch,
+        "extension": ext, "detected_type": kind, "double_extension": F.lower(name).rlike(DOUBLE_EXTENSION), "mismatch": mismatch,
         "is_archive": ext.isin(*ARCHIVE) | kind.isin("zip-container", "rar", "7z"), "is_macro": ext.isin(*MACRO), "is_executable": ext.isin(*EXECUTABLE) | binary,
     }
 

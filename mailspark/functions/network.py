@@ -10,14 +10,37 @@ DOCUMENTATION = [(3221225984, 3221226239), (3325256704, 3325256959), (3405803776
 PRIVATE = [(167772160, 184549375), (2886729728, 2887778303), (3232235520, 3232301055)]
 LOOPBACK, LINK_LOCAL, CGNAT = (2130706432, 2147483647), (2851995648, 2852061183), (1681915904, 1686110207)
 
-INFRASTRUCTURE = [("tor[-.]?exit|torproject", "tor exit"), ("vpn|proxy", "vpn or proxy"), ("bulletproof|offshore", "bulletproof hosting"), ("dyn|dhcp|pool|dsl|cable", "dynamic range"), ("cloud|aws|azure|gcp", "cloud"), ("vps|vm[0-9]|server", "hosting"), ("mail|smtp|mx", "mail host")]
+# Patterns of host names and of providers with the notes they stand for, and notes on kinds of addresses.
+HOSTNAMES = [
+    (r"(?i)\b(?:tor[-._]?(?:exit|relay|node))\b", "reverse DNS names this host as a Tor node"),
+    (r"(?i)\bexit[-._]?node\b", "reverse DNS suggests an anonymising exit node"),
+    (r"(?i)\b(?:vpn|proxy|socks)\b", "reverse DNS suggests VPN or proxy infrastructure"),
+    (r"(?i)\bopen[-._]?(?:smtp|relay|mail)\b", "reverse DNS suggests an open mail relay"),
+    (r"(?i)\b(?:dynamic|dyn|dsl|pppoe|broadband|cable|dhcp)\b", "reverse DNS pattern of a dynamic residential address, which is unusual for a legitimate mail server and consistent with a compromised host"),
+    (r"(?i)\b(?:vps|server|hosting|cloud|compute|instance|droplet|linode|ovh|colo)\b", "reverse DNS suggests hosting or cloud infrastructure rather than a corporate MTA"),
+    (r"(?i)\b(?:bullet|offshore|anon)\w*host", "reverse DNS suggests bulletproof hosting"),
+]
+PROVIDERS = [
+    (r"(?i)(?:digitalocean|linode|vultr|hetzner|ovh|contabo|scaleway|choopa)", "budget VPS provider commonly abused for bulk sending"),
+    (r"(?i)(?:amazon|aws|google cloud|microsoft azure|azure|oracle cloud|alibaba)", "large cloud provider: sending IP is not owned by the purported sender"),
+    (r"(?i)(?:tor project|nym|mullvad|nordvpn|expressvpn|private internet)", "anonymisation provider"),
+]
+PRIVATE_NOTE = "non-routable address: this hop is inside a private network"
+DOCUMENTATION_NOTE = "address is from a reserved documentation range (RFC 5737/3849), so it is either synthetic test traffic or a forged header"
+CGNAT_NOTE = "carrier-grade NAT range: the address maps to many subscribers"
+CLOUD_NOTE = "address belongs to a large cloud provider (%s)"
+NO_NAME_NOTE = "no reverse DNS name presented for this hop"
+
+
+def octets(ip: Column) -> Column:
+    """IPv4 text as an array of four numbers, cut once; an array with nulls or of another size if it isn't one."""
+    return F.transform(F.split(ip, "\\."), lambda x: F.when(F.length(x) <= 3, x.try_cast("int")))
 
 
 def ip_number(ip: Column) -> Column:
-    """IPv4 text as a number; null if it isn't one."""
-    good = ip.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$")
-    part = lambda k: F.try_element_at(F.split(ip, r"\."), F.lit(k)).try_cast("bigint")
-    return F.when(good & F.greatest(part(1), part(2), part(3), part(4)).between(0, 255), part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4))
+    """IPv4 text as a number; null if it isn't one (an address is split once)."""
+    step = lambda n, x: F.when((x >= 0) & (x <= 255), n * 256 + x)
+    return F.when(ip.rlike("^[0-9]{1,3}(?:\\.[0-9]{1,3}){3}$"), F.aggregate(octets(ip), F.lit(0).cast("bigint"), step))
 
 
 def _in(n: Column, ranges: list[tuple[int, int]]) -> Column:
@@ -36,7 +59,11 @@ def ip_class(ip: Column) -> Column:
     return F.when(n.isNotNull(), four).when(ip.contains(":"), six).otherwise("invalid")
 
 
-def infra_indicators(host: Column) -> Column:
-    """Sorted notes on a host name."""
-    notes = [F.when(F.lower(host).rlike(p), F.lit(t)) for p, t in INFRASTRUCTURE]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*notes, F.when(F.coalesce(host, F.lit("")) == "", F.lit("missing rDNS"))))))
+def infra_indicators(host: Column, ip: Column, isp: Column, cloud: Column) -> Column:
+    """Sorted notes on a hop: its address (``cloud``: whether it lies in a cloud provider's range), its host name and its provider."""
+    kind, name, owner = ip_class(ip), F.coalesce(host, F.lit("")), F.coalesce(isp, F.lit(""))
+    inside = kind.isin("private", "loopback", "link-local")
+    notes = [F.when(kind == k, F.lit(t)) for k, t in (("documentation", DOCUMENTATION_NOTE), ("cgnat", CGNAT_NOTE))]
+    notes += [F.when(inside, F.lit(PRIVATE_NOTE)), F.when(cloud, F.format_string(CLOUD_NOTE, owner)), F.when((F.coalesce(ip, F.lit("")) != "") & (name == "") & ~inside, F.lit(NO_NAME_NOTE))]
+    notes += [F.when(text.rlike(p), F.lit(t)) for text, table in ((name, HOSTNAMES), (owner, PROVIDERS)) for p, t in table]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*notes))))

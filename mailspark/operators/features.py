@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mailspark.functions.text import ngrams, tokens
+from mailspark.functions.text import anchor_words, ngrams, strip, tokens
 
 
 def term_counts(docs: DataFrame, n: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -31,25 +31,46 @@ def tfidf_transform(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def anchor_vectors(anchors: DataFrame) -> DataFrame:
-    """anchors (anchor, text) -> (term, anchor, idf, w): 1- and 2-gram TF-IDF fitted on the anchors themselves."""
-    counts = term_counts(anchors.select(F.col("anchor").alias("id"), "text"), 2)
-    n = anchors.count()  # a handful of texts
+#: For each kind of lure the least similarity that counts, the signal, and its weight as a factor of the similarity with least and largest (hundredths).
+LURES = [
+    ("urgency", 0.08, "nlp.urgency", 350, 40, 180), ("credential", 0.08, "nlp.credential_lure", 380, 50, 190), ("financial", 0.08, "nlp.payment_diversion", 380, 50, 190),
+    ("authority", 0.08, "nlp.authority_pressure", 350, 50, 180), ("secrecy", 0.08, "nlp.secrecy", 350, 50, 175), ("malware", 0.12, "nlp.malware_lure", 380, 60, 190),
+]
+
+
+def _anchor_terms(docs: DataFrame) -> DataFrame:
+    words = docs.select("id", anchor_words(F.col("text")).alias("words"))
+    return words.select("id", F.explode(ngrams("words", 2)).alias("term"))
+
+
+def anchor_vectors(spark: SparkSession, anchors: dict[str, str]) -> DataFrame:
+    """(term, idf, one weight for each anchor): 1- and 2-gram TF-IDF fitted on the anchors themselves, of norm 1.
+
+    As many rows as a handful of fixed texts has terms.
+    """
+    texts = spark.createDataFrame(list(anchors.items()), "id string, text string")
+    counts = _anchor_terms(texts).groupBy("id", "term").agg(F.count("*").alias("c"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = counts.join(df, "term").select("id", "term", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"), "c")
-    raw = raw.withColumn("w", (1 + F.log("c")) * F.col("idf"))
+    raw = counts.join(df, "term").withColumn("idf", F.log((1.0 + len(anchors)) / (1 + F.col("df"))) + 1).withColumn("w", (1 + F.log("c")) * F.col("idf"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("term", F.col("id").alias("anchor"), "idf", (F.col("w") / F.col("norm")).alias("w"))
+    each = raw.join(norm, "id").withColumn("w", F.col("w") / F.col("norm"))
+    return each.groupBy("term").agg(F.first("idf").alias("idf"), *[F.sum(F.when(F.col("id") == a, F.col("w")).otherwise(0.0)).alias(a) for a in anchors])
 
 
-def anchor_similarity(docs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(id, anchor, similarity): cosine, the document's norm taken over the anchors' vocabulary."""
-    counts = term_counts(docs, 2)
-    idf = vectors.select("term", "idf").distinct()
-    mine = counts.join(F.broadcast(idf), "term").select("id", "term", ((1 + F.log("c")) * F.col("idf")).alias("d"))
-    norm = mine.groupBy("id").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))
-    dots = mine.join(F.broadcast(vectors.select("term", "anchor", "w")), "term").groupBy("id", "anchor").agg(F.sum(F.col("d") * F.col("w")).alias("dot"))
-    return dots.join(norm, "id").select("id", "anchor", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
+def anchor_similarity(docs: DataFrame, anchors: dict[str, str]) -> DataFrame:
+    """docs (id, text) -> (id, a similarity for each anchor): cosines, a text's norm taken over the anchors' terms.
+
+    Only terms of the anchors leave the join; ids without one have no row.
+    """
+    vectors = F.broadcast(anchor_vectors(docs.sparkSession, anchors))
+    counted = _anchor_terms(docs.where(F.length(strip(F.col("text"))) >= 5)).join(vectors, "term").groupBy("id", "term").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("idf", *anchors)])
+    d = (1 + F.log("c")) * F.col("idf")
+    sums = counted.groupBy("id").agg(F.sqrt(F.sum(d * d)).alias("norm"), *[F.sum(d * F.col(a)).alias(a) for a in anchors])
+    return sums.select("id", *[F.round(F.col(a) / F.col("norm"), 6).alias(a) for a in anchors])
+
+
+def lure_weight(similarity: Column, factor: int, least: int, most: int) -> Column:
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.floor(similarity * factor + 0.5))).cast("int")
 
 
 def words_of(text: Column) -> Column:
@@ -89,6 +110,10 @@ def burstiness(docs: DataFrame) -> DataFrame:
     return stats.select("id", F.when(F.col("k") < 2, 0.0).otherwise(F.round((F.col("sd") - F.col("mean")) / (F.col("sd") + F.col("mean")), 4)).alias("burstiness"))
 
 
+#: Texts of fewer characters aren't judged, and the score they get.
+SHORT_TEXT, SHORT_SCORE = 20, 0.05
+
+
 def ai_score(perplexity_: Column, burstiness_: Column, phrases: Column) -> Column:
     sigmoid = lambda x: 1 / (1 + F.exp(x))
     p, b = sigmoid((perplexity_ - 520) / 104), sigmoid((burstiness_ + 0.2) * 10)

@@ -113,6 +113,26 @@ VIEWS = {
              CASE doc_id % 8 WHEN 0 THEN 'invoice.pdf' WHEN 1 THEN 'Invoice.PDF.exe' WHEN 2 THEN 'macro.xlsm' WHEN 3 THEN 'a.zip' WHEN 4 THEN 'photo.jpg' WHEN 5 THEN 'report.docx' WHEN 6 THEN 'noextension' ELSE '' END AS attachment,
              CASE doc_id % 5 WHEN 0 THEN '255044462D31' WHEN 1 THEN '4D5A9000' WHEN 2 THEN '504B0304' WHEN 3 THEN 'FFD8FFE0' ELSE '00000000' END AS first_bytes
       FROM documents""",
+    "v_parsed": """
+      SELECT doc_id AS msg_id, coalesce(text, '') AS body, CASE doc_id % 17 WHEN 0 THEN 'URGENT INVOICE NOTICE' WHEN 1 THEN 'Wire transfer instructions' ELSE 'Invoice ' || CAST(doc_id AS STRING) || ' ' || substr(split_part(coalesce(text, ''), chr(10), 1), 1, 30) END AS subject,
+             CASE doc_id % 5 WHEN 0 THEN 'PayPal Support' WHEN 1 THEN 'Microsоft Tëam' WHEN 2 THEN 'Jane Doe <jane@other.org>' ELSE 'Staff' END AS from_name,
+             'u' || CAST(doc_id AS STRING) || '@' || CASE doc_id % 13 WHEN 0 THEN 'paypa1.com' WHEN 1 THEN 'microsft.com' WHEN 2 THEN 'xn--80ak6aa92e.com' WHEN 3 THEN 'gmail.com' WHEN 4 THEN 'login7.example.top' ELSE coalesce(source, 'none') || '.example.com' END AS from_address,
+             CASE doc_id % 13 WHEN 0 THEN 'paypa1.com' WHEN 1 THEN 'microsft.com' WHEN 2 THEN 'xn--80ak6aa92e.com' WHEN 3 THEN 'gmail.com' WHEN 4 THEN 'login7.example.top' ELSE coalesce(source, 'none') || '.example.com' END AS from_domain,
+             CASE doc_id % 7 WHEN 0 THEN 'pay@gmail.com' WHEN 1 THEN 'help@support.example.org' ELSE '' END AS reply_to, CASE doc_id % 6 WHEN 0 THEN 'bounce@bulk.example.net' WHEN 1 THEN 'b@m.example.com' ELSE '' END AS return_path,
+             CASE doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN '<m' || CAST(doc_id AS STRING) || '@bulk.example.net>' ELSE '<m' || CAST(doc_id AS STRING) || '@mail.example.com>' END AS message_id, CASE doc_id % 12 WHEN 0 THEN 'PHPMailer 6' WHEN 1 THEN 'Outlook' ELSE '' END AS x_mailer,
+             CAST(CASE doc_id % 15 WHEN 0 THEN 0 WHEN 1 THEN 25 ELSE 1 + doc_id % 3 END AS INT) AS n_to, CAST(CASE WHEN doc_id % 15 = 2 THEN 21 ELSE 0 END AS INT) AS n_cc, CAST(doc_id % 6 AS INT) AS n_received, doc_id % 14 = 0 AS has_qr,
+             'mx; spf=' || CASE doc_id % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'pass' ELSE 'none' END || ' smtp.mailfrom=bounce@' || CASE doc_id % 6 WHEN 0 THEN 'bulk.example.net' ELSE 'm.example.com' END || '; dkim=' || CASE doc_id % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'none' END
+               || ' header.d=example.com' || CASE doc_id % 7 WHEN 0 THEN '; dmarc=pass' WHEN 1 THEN '; dmarc=fail' ELSE '' END || CASE doc_id % 8 WHEN 0 THEN '; arc=fail; arc=pass' WHEN 1 THEN '; arc=pass; arc=fail' ELSE '' END AS auth_header,
+             CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'http://20.1.2.3/login|Sign in' WHEN 2 THEN 'https://evil.example.top/verify?x=1|https://bank.example.com/verify' || chr(10) || 'https://bit.ly/abc.|here' WHEN 3 THEN 'https://xn--80ak6aa92e.com/a|www.example.org'
+               WHEN 4 THEN 'https://g00gle.com/q|' || chr(10) || 'https://googel.com/account|x' WHEN 5 THEN 'https://paypall.com/|Pay' WHEN 6 THEN repeat('https://cdn.example.com/img|x' || chr(10), 16) ELSE '' END AS link_lines,
+             CASE doc_id % 8 WHEN 0 THEN 'invoice.pdf|255044462D31' WHEN 1 THEN 'Invoice.PDF.exe|4D5A9000' || chr(10) || 'a.zip|504B0304' WHEN 2 THEN 'macro.xlsm|504B0304' WHEN 3 THEN 'old.doc|255044462D31' WHEN 4 THEN 'photo.jpg|4D5A9000' ELSE '' END AS file_lines,
+             CASE doc_id % 10 WHEN 0 THEN '<p style="display:none">x</p><b>' || substr(coalesce(text, ''), 1, 60) || '</b>' WHEN 1 THEN '<img src="cid:1" alt="' || repeat('a', 500) || '">' ELSE '' END AS body_html
+      FROM documents""",
+    "v_relays": """
+      SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'tor-exit' || CAST(p_partkey AS STRING) || '.dyn.example.net' WHEN 2 THEN 'vps.cloud.example.com' WHEN 3 THEN 'tor-relay.example.org' WHEN 4 THEN 'offshorehost.example.com' ELSE replace(p_name, ' ', '-') END AS host,
+             CASE p_partkey % 7 WHEN 0 THEN '10.1.2.' WHEN 1 THEN '8.8.8.' WHEN 2 THEN '203.0.113.' WHEN 3 THEN '100.70.1.' ELSE '20.7.9.' END || CAST(p_partkey % 250 AS STRING) AS ip,
+             CASE p_partkey % 5 WHEN 0 THEN 'Hetzner Online' WHEN 1 THEN 'Google Cloud' WHEN 2 THEN 'Mullvad VPN' ELSE '' END AS isp, p_partkey % 7 = 1 AS cloud
+      FROM part""",
     "v_html": """
       SELECT page_id, replace(coalesce(html, ''), 'href="/', 'href="https://site' || CAST(page_id % 50 AS STRING) || '.example.com/') AS html FROM pages""",
 }

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailspark.functions import headers, network, privacy, text, urls
-from mailspark.operators import corpus, features, models
+from mailspark.operators import corpus, features, models, signals
 from mailspark.plans.adapters import given, view
 
 NOW_S = 1_041_379_200
-ANCHORS = 5
 
 
 def _join(col: Column) -> Column:
@@ -36,13 +35,19 @@ def url_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def url_extract(spark: SparkSession, d: str) -> DataFrame:
-    """URLs of anchors first, then of the stripped text; each once, with where it was seen."""
+    """Links first, with the text they show, then URLs of the stripped text that no link has; each once, with where it was seen."""
     h = view(spark, d, "v_html")
-    anchors = h.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*href\s*=\s*"([^"]*)" """.strip()), 1)).alias("at", "url")).select("page_id", "url", F.lit(0).alias("kind"), "at")
-    plain = h.select("page_id", F.posexplode(F.regexp_extract_all(text.strip_html(F.col("html")), F.lit(r"(https?://[^\s<>\"]+)"), 1)).alias("at", "url")).select("page_id", "url", F.lit(1).alias("kind"), "at")
-    rows = anchors.unionByName(plain).withColumn("url", urls.normalise(F.col("url"))).where(F.col("url").contains("://"))
-    first = rows.groupBy("page_id", "url").agg(F.min(F.struct("kind", "at")).alias("f"))
-    return first.select("page_id", "url", F.when(F.col("f.kind") == 0, "anchor").otherwise("body_html").alias("location"), F.col("f.at").alias("position"))
+    links = h.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(urls.ANCHOR), 0)).alias("at", "whole"))
+    part = lambda k: F.regexp_extract("whole", urls.ANCHOR, k)
+    href = F.when(part(1) != "", part(1)).when(part(2) != "", part(2)).otherwise(part(3))
+    anchors = links.select("page_id", text.unescape(href).alias("url"), text.strip(text.strip_html(part(4))).alias("anchor"), F.lit(0).alias("kind"), "at")
+    plain = h.select("page_id", F.posexplode(F.regexp_extract_all(text.strip_html(F.col("html")), F.lit(urls.LINK), 0)).alias("at", "url")).select("page_id", "url", F.lit("").alias("anchor"), F.lit(1).alias("kind"), "at")
+    rows = anchors.unionByName(plain).withColumn("url", urls.normalise(F.col("url"))).where(~F.lower("url").rlike("^(?:" + "|".join(urls.SKIPPED_SCHEMES) + ")") & (urls.host(F.col("url")) != ""))
+    first = rows.groupBy("page_id", "url", "anchor").agg(F.min(F.struct("kind", "at")).alias("f"))
+    # A URL of the text is left out where a link has it.
+    linked = first.groupBy("page_id", "url").agg(F.min("f.kind").alias("least"))
+    kept = first.join(linked, ["page_id", "url"]).where(F.col("f.kind") == F.col("least"))
+    return kept.select("page_id", "url", F.substring("anchor", 1, 200).alias("anchor"), F.when(F.col("f.kind") == 0, "anchor").otherwise("body_html").alias("location"), F.col("f.at").alias("position"))
 
 
 def url_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +56,8 @@ def url_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def url_static_verdict(spark: SparkSession, d: str) -> DataFrame:
-    u = view(spark, d, "v_urls").select("page_id", urls.static_indicators(urls.normalise(F.col("url"))).alias("i"))
-    return u.select("page_id", _join(F.col("i")).alias("indicators"), urls.static_verdict(F.col("i")).alias("verdict"))
+    u = urls.static_analysis(view(spark, d, "v_urls").select("page_id", urls.normalise(F.col("url")).alias("url")), "url")
+    return u.select("page_id", _join(F.col("indicators")).alias("indicators"), "brand", "verdict")
 
 
 def html_strip(spark: SparkSession, d: str) -> DataFrame:
@@ -109,9 +114,7 @@ def ip_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 def infra_indicators(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    host = F.when(k % 6 == 0, "").when(k % 6 == 1, F.concat(F.lit("tor-exit"), k.cast("string"), F.lit(".dyn.example.net"))).when(k % 6 == 2, F.lit("vps7.cloud.example.com")).otherwise(F.replace("p_name", F.lit(" "), F.lit("-")))
-    return given(spark, d, "part").select("p_partkey", _join(network.infra_indicators(host)).alias("notes"))
+    return view(spark, d, "v_relays").select("p_partkey", _join(network.infra_indicators(F.col("host"), F.col("ip"), F.col("isp"), F.col("cloud"))).alias("notes"))
 
 
 def domain_age(spark: SparkSession, d: str) -> DataFrame:
@@ -177,16 +180,18 @@ def text_document(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "v_mail").select("msg_id", F.sha2(F.array_join(parts, "\n"), 256).alias("document_sha256"))
 
 
+def parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed messages with their links and files as arrays."""
+    lines = lambda c: F.array_remove(F.split(c, "\n"), "")
+    left, right = lambda x: F.substring_index(x, "|", 1), lambda x: F.expr("''") if x is None else F.regexp_extract(x, r"\|(.*)$", 1)
+    m = view(spark, d, "v_parsed")
+    links = F.transform(lines("link_lines"), lambda x: F.struct(left(x).alias("url"), right(x).alias("anchor")))
+    files = F.transform(lines("file_lines"), lambda x: F.struct(left(x).alias("name"), right(x).alias("first_bytes")))
+    return m.withColumns({"links": links, "files": files}).drop("link_lines", "file_lines")
+
+
 def meta_features(spark: SparkSession, d: str) -> DataFrame:
-    m = view(spark, d, "v_mail")
-    a = headers.auth(F.col("auth_header"), F.col("from_domain"))
-    att = headers.attachment(F.col("attachment"), F.col("first_bytes"))
-    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    return m.select(
-        "msg_id", flag(a["spf"].isin("fail", "softfail")).alias("spf_fail"), flag((a["spf"] == "pass") & a["spf_aligned"].eqNullSafe(F.lit(False))).alias("spf_unaligned"), flag(a["dkim"] == "fail").alias("dkim_fail"), flag(a["dkim"].isin("none", "unknown")).alias("dkim_missing"),
-        flag(a["dmarc"] == "fail").alias("dmarc_fail"), flag(F.col("attachment") != "").alias("has_attachment"), flag(att["is_executable"]).alias("attach_executable"), flag(att["is_macro"]).alias("attach_macro"), flag(att["double_extension"]).alias("attach_double_ext"),
-        flag(F.length("body") < 250).alias("short_body"), F.round(F.least(F.lit(1.0), F.length("body") / 6000), 6).alias("long_body"), flag(F.substring_index(urls.registrable(F.col("from_domain")), ".", 1).rlike("[0-9]")).alias("digit_domain"),
-    )
+    return signals.meta_features(parsed(spark, d))
 
 
 def structural_features(spark: SparkSession, d: str) -> DataFrame:
@@ -210,8 +215,10 @@ def tfidf_transform(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchor_similarity(spark: SparkSession, d: str) -> DataFrame:
-    anchors = given(spark, d, "benchmark").where(F.col("item_id") < ANCHORS).select(F.col("item_id").alias("anchor"), F.coalesce("text", F.lit("")).alias("text"))
-    return features.anchor_similarity(_docs(spark, d), features.anchor_vectors(anchors))
+    """Cosine to the five reference texts, and the weight of the signal where it counts (else null)."""
+    near = features.anchor_similarity(_docs(spark, d), text.ANCHORS)
+    weights = {kind: F.when(F.col(kind) >= least, features.lure_weight(F.col(kind), *clamp)) for kind, least, _, *clamp in features.LURES if kind in text.ANCHORS}
+    return near.select("id", *text.ANCHORS, *[w.alias(f"{kind}_w100") for kind, w in weights.items()])
 
 
 def _benign(spark: SparkSession, d: str) -> DataFrame:
@@ -237,30 +244,18 @@ def sentence_burstiness(spark: SparkSession, d: str) -> DataFrame:
 def ai_text_score(spark: SparkSession, d: str) -> DataFrame:
     t = _turns(spark, d)
     both = features.perplexity(t, features.lm_fit(_benign(spark, d))).join(features.burstiness(t), "id").join(t.select("id", "text"), "id")
-    phrases = F.regexp_count(F.lower("text"), F.lit("please feel free to|do not hesitate to contact|when convenient|there is no rush"))
-    s = features.ai_score(F.col("perplexity"), F.col("burstiness"), phrases)
+    s = features.ai_score(F.col("perplexity"), F.col("burstiness"), text.how_many(F.col("text"), text.AI_PHRASES))
+    s = F.when(F.length(text.strip(F.col("text"))) < features.SHORT_TEXT, features.SHORT_SCORE).otherwise(s)
     return both.select("id", s.alias("score"), F.when(s >= 0.70, "AI_GENERATED").when(s >= 0.45, "LIKELY_AI").otherwise("HUMAN").alias("verdict"))
 
 
 def spearphish_score(spark: SparkSession, d: str) -> DataFrame:
     points = text.spear_points(F.col("body"), F.col("msg_id") % 3)
-    return view(spark, d, "v_mail").select("msg_id", (F.least(points, F.lit(100)) / 100).alias("score"), F.when(points >= 45, 2).otherwise(F.col("msg_id") % 3).cast("int").alias("upgraded_class"))
+    return view(spark, d, "v_mail").select("msg_id", (F.least(points, F.lit(100)) / 100).alias("score"), F.when(points >= text.SPEAR_LIMIT, 2).otherwise(F.col("msg_id") % 3).cast("int").alias("upgraded_class"))
 
 
 def rule_signals(spark: SparkSession, d: str) -> DataFrame:
-    """All deterministic checks of a message as a long table: one projection, one explode."""
-    a = headers.auth(F.col("auth_header"), F.col("from_domain"))
-    att = headers.attachment(F.col("attachment"), F.col("first_bytes"))
-    name = text.skeleton(F.col("from_name"))
-    s = lambda test, sid, w: F.when(test, F.struct(F.lit(sid).alias("signal_id"), F.lit(w).alias("w100")))
-    checks = [
-        s(a["dmarc"] == "fail", "auth.dmarc_fail", 230), s(a["dmarc"] == "pass", "auth.dmarc_pass", -160), s(a["spf"].isin("fail", "softfail"), "auth.spf_fail", 120),
-        s((a["spf"] == "pass") & a["spf_aligned"].eqNullSafe(F.lit(False)), "auth.spf_unaligned", 155), s(a["dkim"] == "fail", "auth.dkim_fail", 140), s(a["dkim"].isin("none", "unknown") & a["spf"].isin("none", "unknown"), "auth.no_auth", 110),
-        s(F.col("from_name").rlike(r"[\w.+-]+@[\w.-]+\.\w+"), "id.name_contains_other_address", 210), s(name.rlike("paypal|microsoft"), "id.brand_impersonation", 190),
-        s(text.caps_ratio(F.col("subject")) > 0.6, "nlp.shouting_subject", 55), s(att["is_executable"], "att.executable.0", 250), s(att["double_extension"], "att.double_ext.0", 210), s(att["mismatch"], "att.type_mismatch.0", 180),
-        s(att["is_macro"], "att.macro.0", 140), s(att["is_archive"], "att.archive.0", 70),
-    ]
-    return view(spark, d, "v_mail").select("msg_id", F.explode(F.array_compact(F.array(*checks))).alias("s")).select("msg_id", "s.signal_id", "s.w100")
+    return signals.message_signals(parsed(spark, d))
 
 
 def takedown_draft(spark: SparkSession, d: str) -> DataFrame:
