@@ -6,21 +6,45 @@ order of the rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Prior log-odds in hundredths, and the classes with the ends of their risk bands.
 PRIOR = -260
 CLASSES = {0: ("benign", 1.0, 18.0), 1: ("suspicious", 28.0, 52.0), 2: ("phishing", 58.0, 78.0), 3: ("bec", 74.0, 89.0), 4: ("malware", 80.0, 95.0)}
-TECHNIQUES = [
-    ("auth.dmarc_fail", "T1672", "Email Spoofing", "initial-access"), ("auth.spf_fail", "T1672", "Email Spoofing", "initial-access"), ("auth.spf_unaligned", "T1672", "Email Spoofing", "initial-access"),
-    ("id.brand_impersonation", "T1656", "Impersonation", "defense-evasion"), ("id.lookalike_domain", "T1583.001", "Acquire Domains", "resource-development"), ("nlp.urgency", "T1566", "Phishing", "initial-access"),
-    ("nlp.credential_lure", "T1598", "Phishing for Information", "reconnaissance"), ("nlp.payment_diversion", "T1657", "Financial Theft", "impact"), ("url.credential_path", "T1566.002", "Spearphishing Link", "initial-access"),
-    ("url.credential_path", "T1598.003", "Spearphishing Link for Information", "reconnaissance"), ("url.shortener", "T1566.002", "Spearphishing Link", "initial-access"), ("att.macro", "T1566.001", "Spearphishing Attachment", "initial-access"),
-    ("att.macro", "T1204.002", "Malicious File", "execution"), ("intel.abuse_reports", "T1584", "Compromise Infrastructure", "resource-development"), ("intel.tor_exit", "T1090.003", "Multi-hop Proxy", "command-and-control"),
-    ("intel.new_domain", "T1583.001", "Acquire Domains", "resource-development"),
+# Techniques with their tactics, the tactics in kill-chain order, and the techniques that a signal is evidence of, the most specific first.
+TECHNIQUE_NAMES = {
+    "T1566": ("Phishing", "Initial Access"), "T1566.001": ("Phishing: Spearphishing Attachment", "Initial Access"), "T1566.002": ("Phishing: Spearphishing Link", "Initial Access"), "T1566.003": ("Phishing: Spearphishing via Service", "Initial Access"),
+    "T1598": ("Phishing for Information", "Reconnaissance"), "T1598.002": ("Phishing for Information: Spearphishing Attachment", "Reconnaissance"), "T1598.003": ("Phishing for Information: Spearphishing Link", "Reconnaissance"),
+    "T1656": ("Impersonation", "Defense Evasion"), "T1585.002": ("Establish Accounts: Email Accounts", "Resource Development"), "T1583.001": ("Acquire Infrastructure: Domains", "Resource Development"),
+    "T1583.006": ("Acquire Infrastructure: Web Services", "Resource Development"), "T1584.001": ("Compromise Infrastructure: Domains", "Resource Development"), "T1586.002": ("Compromise Accounts: Email Accounts", "Resource Development"),
+    "T1036": ("Masquerading", "Defense Evasion"), "T1036.005": ("Masquerading: Match Legitimate Name or Location", "Defense Evasion"), "T1036.007": ("Masquerading: Double File Extension", "Defense Evasion"),
+    "T1027": ("Obfuscated Files or Information", "Defense Evasion"), "T1027.006": ("Obfuscated Files or Information: HTML Smuggling", "Defense Evasion"), "T1204.001": ("User Execution: Malicious Link", "Execution"),
+    "T1204.002": ("User Execution: Malicious File", "Execution"), "T1059": ("Command and Scripting Interpreter", "Execution"), "T1137": ("Office Application Startup", "Persistence"), "T1090.003": ("Proxy: Multi-hop Proxy", "Command and Control"),
+    "T1102": ("Web Service", "Command and Control"), "T1534": ("Internal Spearphishing", "Lateral Movement"), "T1114": ("Email Collection", "Collection"), "T1056.003": ("Input Capture: Web Portal Capture", "Collection"),
+    "T1657": ("Financial Theft", "Impact"), "T1078": ("Valid Accounts", "Defense Evasion"), "T1620": ("Reflective Code Loading", "Defense Evasion"), "T1070": ("Indicator Removal", "Defense Evasion"),
+}
+TACTICS = [
+    "Reconnaissance", "Resource Development", "Initial Access", "Execution", "Persistence", "Privilege Escalation", "Defense Evasion", "Credential Access", "Discovery", "Lateral Movement", "Collection", "Command and Control", "Exfiltration", "Impact",
 ]
-TACTICS = ["reconnaissance", "resource-development", "initial-access", "execution", "defense-evasion", "command-and-control", "impact"]
+SIGNAL_TECHNIQUES = {
+    "auth.spf_fail": ("T1566", "T1656"), "auth.spf_unaligned": ("T1656", "T1036.005"), "auth.dkim_fail": ("T1566", "T1656"), "auth.dmarc_fail": ("T1566", "T1656"), "auth.no_auth": ("T1566",), "auth.arc_fail": ("T1566",),
+    "id.brand_impersonation": ("T1656", "T1036.005"), "id.lookalike_domain": ("T1583.001", "T1036.005"), "id.confusable_chars": ("T1036", "T1583.001"), "id.punycode_sender": ("T1036", "T1583.001"),
+    "id.name_contains_other_address": ("T1656", "T1036"), "id.replyto_divergence": ("T1585.002", "T1656"), "id.returnpath_mismatch": ("T1656",), "id.suspicious_tld": ("T1583.001",),
+    "nlp.urgency": ("T1566",), "nlp.credential_lure": ("T1598.003", "T1056.003"), "nlp.payment_diversion": ("T1657", "T1566"), "nlp.authority_pressure": ("T1656", "T1657"), "nlp.secrecy": ("T1657",),
+    "nlp.bec_no_payload": ("T1656", "T1657", "T1534"), "nlp.shouting_subject": ("T1566",), "nlp.hidden_text": ("T1027",), "nlp.image_only": ("T1027",), "nlp.possible_quishing": ("T1566.002", "T1204.001"),
+    "url.ip_literal": ("T1566.002", "T1583.006"), "url.anchor_mismatch": ("T1566.002", "T1036"), "url.punycode": ("T1566.002", "T1036"), "url.shortener": ("T1566.002", "T1102"), "url.lookalike": ("T1566.002", "T1583.001"),
+    "url.credential_path": ("T1566.002", "T1056.003", "T1204.001"), "url.bad_tld": ("T1583.001",), "url.many": ("T1566.002",),
+    "att.executable": ("T1566.001", "T1204.002"), "att.double_ext": ("T1036.007", "T1204.002"), "att.type_mismatch": ("T1036", "T1027"), "att.macro": ("T1566.001", "T1137", "T1059"), "att.archive": ("T1027", "T1566.001"),
+    "hdr.no_message_id": ("T1566",), "hdr.message_id_mismatch": ("T1036",), "hdr.no_received": ("T1027",), "hdr.undisclosed_recipients": ("T1566",), "hdr.mass_recipients": ("T1566",), "hdr.bulk_mailer": ("T1566",),
+    "relay.multi_country": ("T1090.003",), "relay.forged_timestamp": ("T1070", "T1090.003"), "relay.chain_manipulation": ("T1090.003",),
+    "intel.tor_exit": ("T1090.003",), "intel.abuse_reports": ("T1583.006",), "intel.new_domain": ("T1583.001",), "intel.blacklisted": ("T1583.006",), "intel.no_mx": ("T1583.001",),
+    "sandbox.credential_form": ("T1056.003", "T1204.001"), "sandbox.redirect_chain": ("T1027", "T1204.001"), "sandbox.brand_clone": ("T1656", "T1036.005"),
+}
 
 
 def dedupe(signals: DataFrame) -> DataFrame:
@@ -108,7 +132,8 @@ def canonical(signal_id: Column) -> Column:
 
 
 def technique_table(spark) -> DataFrame:
-    rows = [(i, *t, TACTICS.index(t[3])) for i, t in enumerate(TECHNIQUES)]
+    pairs = [(signal, t) for signal, techniques in SIGNAL_TECHNIQUES.items() for t in techniques]
+    rows = [(i, signal, t, *TECHNIQUE_NAMES[t], TACTICS.index(TECHNIQUE_NAMES[t][1])) for i, (signal, t) in enumerate(pairs)]
     return spark.createDataFrame(rows, "ord int, id string, technique string, name string, tactic string, tactic_ord int")
 
 
@@ -134,7 +159,7 @@ def threat_class(signals: DataFrame, verdicts: DataFrame) -> DataFrame:
     ids = signals.where("triggered").groupBy("case_id").agg(F.collect_set(canonical(F.col("signal_id"))).alias("ids"))
     both = verdicts.join(ids, "case_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
     has = lambda *names: F.arrays_overlap("ids", F.array(*[F.lit(n) for n in names]))
-    credential = has("nlp.credential_lure", "url.credential_path")
+    credential = has("nlp.credential_lure", "url.credential_path", "sandbox.credential_form")
     fraud = has("nlp.payment_diversion", "nlp.bec_no_payload", "nlp.secrecy")
     fake = has("id.brand_impersonation", "id.lookalike_domain", "id.confusable_chars", "id.punycode_sender", "id.name_contains_other_address", "auth.spf_unaligned")
     v = F.col("verdict")
@@ -146,29 +171,56 @@ def threat_class(signals: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-#: Attribution rules on single signals: id, actor, weight in hundredths.
-ACTOR_RULES = [
-    ("intel.tor_exit", "anonymised", 200), ("auth.spf_fail", "spoofed-domain", 120), ("auth.dkim_fail", "spoofed-domain", 120), ("auth.dmarc_fail", "spoofed-domain", 120), ("auth.spf_unaligned", "spoofed-domain", 120),
-    ("id.brand_impersonation", "spoofed-domain", 100), ("auth.no_auth", "spoofed-domain", 80), ("auth.dmarc_pass", "compromised-account", 60), ("hdr.mass_recipients", "compromised-account", 80),
-    ("intel.new_domain", "direct-actor", 200), ("id.lookalike_domain", "direct-actor", 120), ("intel.abuse_reports", "direct-actor", 60),
-]
+# Words in notes on the origin, and the four hypotheses in the order that breaks ties.
+ANONYMISING = ("tor", "vpn", "proxy", "open relay", "open-relay", "anonymis", "anonymiz", "bulletproof")
+HOSTING = ("hosting", "cloud", "data center", "datacenter", "colo", "vps")
+RESIDENTIAL = ("dynamic", "residential", "botnet", "cpe", "dsl", "broadband")
 ACTORS = ["compromised-account", "spoofed-domain", "anonymised", "direct-actor"]
-
-
-def attribution(signals: DataFrame) -> DataFrame:
-    """The strongest hypothesis per case, gated by the malicious weight; confidence is its share times an evidence factor."""
-    spark = signals.sparkSession
-    rules = spark.createDataFrame(ACTOR_RULES, "id string, actor string, points int")
-    live = signals.where("triggered")
-    gate = live.groupBy("case_id").agg(F.sum(F.greatest(F.col("w100"), F.lit(0))).alias("malicious"))
-    seen = live.select("case_id", canonical(F.col("signal_id")).alias("id")).distinct()
-    points = seen.join(F.broadcast(rules), "id").groupBy("case_id", "actor").agg(F.sum("points").alias("points"))
-    order = F.array_position(F.array(*[F.lit(a) for a in ACTORS]), F.col("actor"))
-    best = points.groupBy("case_id").agg(F.sum("points").alias("total"), F.max_by(F.struct("actor", "points"), F.struct("points", -order)).alias("top"))
-    both = gate.join(best, "case_id", "left")
-    known = (F.col("malicious") >= 150) & (F.col("total") > 0)
-    conf = F.round(100.0 * F.col("top.points") / F.col("total") * (0.55 + 0.45 * F.least(F.lit(1.0), F.col("top.points") / 400.0)), 1)
-    return both.select("case_id", F.when(known, F.col("top.actor")).otherwise("unknown").alias("actor_type"), F.when(known, F.least(F.lit(95.0), conf)).otherwise(0.0).alias("confidence"))
+SPOOFING = ("auth.spf_fail", "auth.dkim_fail", "auth.dmarc_fail", "auth.spf_unaligned", "id.returnpath_mismatch")
+SOCIAL = ("nlp.payment_diversion", "nlp.bec_no_payload", "nlp.credential_lure", "nlp.authority_pressure", "nlp.secrecy")
+FAKE_DOMAIN = ("id.lookalike_domain", "id.confusable_chars", "id.punycode_sender")
+LEAST_MALICIOUS = 150
+
+
+def actor_points(c: dict[str, Column]) -> dict[str, Column]:
+    """Points (hundredths) of each hypothesis: a table of (points, test) for each, or points times a count."""
+    ids, notes = c["ids"], F.lower(c["indicators"])
+    has = lambda *names: F.arrays_overlap(ids, F.array(*[F.lit(n) for n in names]))
+    says = lambda words, text=notes: reduce(or_, [text.contains(w) for w in words])
+    anonymous = says(ANONYMISING) | says(ANONYMISING, F.lower(c["hop_hosts"]))
+    passes, age = c["aligned"] & c["dmarc_pass"], c["domain_age"]
+    unsupported = F.size(F.array_intersect(ids, F.array(*[F.lit(n) for n in SPOOFING])))
+    rules = {
+        "compromised-account": [(300, passes & has(*SOCIAL)), (60, passes & ~has(*SOCIAL)), (100, passes & (age > 365)), (80, c["aligned"] & has("hdr.mass_recipients"))],
+        "spoofed-domain": [(100, has("id.brand_impersonation") & (F.coalesce(age, F.lit(0)) == 0)), (80, has("auth.no_auth"))],
+        "anonymised": [(300, anonymous), (200, has("intel.tor_exit")), (150, c["manipulated"]), (50, c["unplaced"]), (100, says(RESIDENTIAL))],
+        "direct-actor": [(200, age <= 30), (120, has(*FAKE_DOMAIN)), (80, says(HOSTING) & ~says(ANONYMISING)), (60, has("intel.abuse_reports"))],
+    }
+    points = {actor: reduce(add, [F.when(test, p).otherwise(0) for p, test in table]) for actor, table in rules.items()}
+    points["spoofed-domain"] = points["spoofed-domain"] + 120 * unsupported
+    return points
+
+
+def attribution(signals: DataFrame, context: DataFrame) -> DataFrame:
+    """The strongest hypothesis of each case and the ranked others, gated by the malicious weight.
+
+    context: case_id, indicators, hop_hosts (texts), aligned, dmarc_pass, manipulated, unplaced (booleans), domain_age (days or
+    null).  A case's signal ids are a small set.  Confidence is the winner's share times a factor of how much there is.
+    """
+    seen = signals.where("triggered").groupBy("case_id").agg(F.collect_set(canonical(F.col("signal_id"))).alias("ids"), F.sum(F.greatest(F.col("w100"), F.lit(0))).alias("malicious"))
+    both = seen.join(context, "case_id", "left")
+    values = {"ids": F.col("ids"), "domain_age": F.col("domain_age")} | {c: F.coalesce(F.col(c), F.lit("")) for c in ("indicators", "hop_hosts")} | {c: F.coalesce(F.col(c), F.lit(False)) for c in ("aligned", "dmarc_pass", "manipulated", "unplaced")}
+    points = actor_points(values)
+    ranked = F.array_sort(F.array(*[F.struct((-points[a]).alias("minus"), F.lit(i).alias("order"), F.lit(a).alias("actor")) for i, a in enumerate(ACTORS)]))
+    scored = both.select("case_id", "malicious", ranked.alias("ranked")).withColumn("total", F.aggregate("ranked", F.lit(0), lambda n, x: n - x["minus"]))
+    top = -F.col("ranked")[0]["minus"]
+    known = (F.col("malicious") >= LEAST_MALICIOUS) & (F.col("total") > 0)
+    confidence = F.round(100.0 * top / F.col("total") * (0.55 + 0.45 * F.least(F.lit(1.0), top / 400.0)), 1)
+    others = F.filter(F.slice("ranked", 2, len(ACTORS)), lambda x: x["minus"] < 0)
+    shown = F.array_join(F.transform(others, lambda x: F.concat(x["actor"], F.lit(":"), (-x["minus"]).cast("string"))), ";")
+    return scored.select(
+        "case_id", F.when(known, F.col("ranked")[0]["actor"]).otherwise("unknown").alias("actor_type"), F.when(known, F.least(F.lit(95.0), confidence)).otherwise(0.0).alias("confidence"), F.when(known, shown).otherwise("").alias("alternatives")
+    )
 
 
 def ml_weight(p: Column) -> Column:

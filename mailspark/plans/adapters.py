@@ -49,6 +49,11 @@ VIEWS = {
       SELECT l_orderkey AS case_id, c.signal_id, c.w100 + (l_linenumber % 3) * 5 AS w100, c.severity, c.category, c.signal_type,
              (l_linenumber + l_partkey) % 5 <> 0 AS triggered, l_linenumber * 1000000 + l_partkey AS pos
       FROM lineitem JOIN {CATALOGUE} ON c.k = l_partkey % 24""",
+    "v_context": """
+      SELECT o_orderkey AS case_id, CASE o_orderkey % 9 WHEN 0 THEN 'reverse DNS names this host as a Tor node' WHEN 1 THEN 'reverse DNS suggests hosting or cloud infrastructure' WHEN 2 THEN 'dynamic residential address' ELSE '' END AS indicators,
+             CASE o_orderkey % 8 WHEN 0 THEN 'mail.vpn7.example.net' ELSE 'mx.example.com' END AS hop_hosts, o_orderkey % 3 <> 0 AS aligned, o_orderkey % 4 <> 0 AS dmarc_pass, o_orderkey % 10 = 0 AS manipulated, o_orderkey % 6 = 0 AS unplaced,
+             CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST((o_orderkey * 37) % 900 AS INT) END AS domain_age
+      FROM orders""",
     "v_links": """
       SELECT DISTINCT case_id, kind, value FROM (
         SELECT l_orderkey AS case_id, 'attachment' AS kind, 'a' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey % 3 AS STRING) AS value FROM lineitem WHERE l_returnflag = 'R'

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from mailspark.operators.scoring import ACTOR_RULES, TECHNIQUES, TACTICS
+from mailspark.plans import expected as E
 
-_TECH = "(VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{t}', {TACTICS.index(t)})" for i, (a, b, _, t) in enumerate(TECHNIQUES)) + ") AS tt(ord, id, technique, tactic, tactic_ord)"
-_ACTORS = "(VALUES " + ", ".join(f"('{a}', '{b}', {p})" for a, b, p in ACTOR_RULES) + ") AS ar(id, actor, points)"
+_TECHNIQUE_ROWS = [(signal, t) for signal, techniques in E.SIGNAL_TECHNIQUES.items() for t in techniques]
+_TECH = "(VALUES " + ", ".join(f"({i}, '{a}', '{t}', '{E.TECHNIQUE_NAMES[t][1]}', {E.TACTICS.index(E.TECHNIQUE_NAMES[t][1])})" for i, (a, t) in enumerate(_TECHNIQUE_ROWS)) + ") AS tt(ord, id, technique, tactic, tactic_ord)"
+_SAYS = lambda x, words: "(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in words) + ")"
+_HAS_ID = lambda *names: "list_has_any(ids, [" + ", ".join(f"'{n}'" for n in names) + "])"
+_ANON = ("tor", "vpn", "proxy", "open relay", "open-relay", "anonymis", "anonymiz", "bulletproof")
+_SOC = _HAS_ID("nlp.payment_diversion", "nlp.bec_no_payload", "nlp.credential_lure", "nlp.authority_pressure", "nlp.secrecy")
+_POINTS = {
+    "compromised-account": [(300, f"aligned AND dmarc_pass AND {_SOC}"), (60, f"aligned AND dmarc_pass AND NOT {_SOC}"), (100, "aligned AND dmarc_pass AND domain_age > 365"), (80, f"aligned AND {_HAS_ID('hdr.mass_recipients')}")],
+    "spoofed-domain": [(100, f"{_HAS_ID('id.brand_impersonation')} AND coalesce(domain_age, 0) = 0"), (80, _HAS_ID("auth.no_auth"))] + [(120, _HAS_ID(n)) for n in ("auth.spf_fail", "auth.dkim_fail", "auth.dmarc_fail", "auth.spf_unaligned", "id.returnpath_mismatch")],
+    "anonymised": [(300, f"{_SAYS('indicators', _ANON)} OR {_SAYS('hop_hosts', _ANON)}"), (200, _HAS_ID("intel.tor_exit")), (150, "manipulated"), (50, "unplaced"), (100, _SAYS("indicators", ("dynamic", "residential", "botnet", "cpe", "dsl", "broadband")))],
+    "direct-actor": [(200, "domain_age <= 30"), (120, _HAS_ID("id.lookalike_domain", "id.confusable_chars", "id.punycode_sender")),
+                     (80, f"{_SAYS('indicators', ('hosting', 'cloud', 'data center', 'datacenter', 'colo', 'vps'))} AND NOT {_SAYS('indicators', _ANON)}"), (60, _HAS_ID("intel.abuse_reports"))],
+}
+_SUMS = " UNION ALL ".join(f"SELECT case_id, malicious, '{a}' AS actor, {i} AS o, " + " + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for p, c in rules) + " AS pts FROM cx" for i, (a, rules) in enumerate(_POINTS.items()))
 _CANON = r"regexp_replace(signal_id, '\.\d+$', '')"
 _DEDUPE = "dd AS (SELECT * FROM v_signals QUALIFY row_number() OVER (PARTITION BY case_id, signal_id ORDER BY abs(w100) DESC, pos) = 1)"
 _SCORE = """sc AS (SELECT case_id, (sum(w100) - 260) / 100e0 AS logit FROM dd WHERE triggered GROUP BY 1),
@@ -91,13 +103,14 @@ SQL = {
     "signal_techniques": f"""WITH s AS (SELECT DISTINCT case_id, signal_id, {_CANON} AS id FROM v_signals WHERE triggered), t AS (SELECT *, ord = min(ord) OVER (PARTITION BY id) AS is_primary FROM {_TECH})
       SELECT case_id, signal_id, technique, is_primary FROM s LEFT JOIN t USING (id)""",
     "technique_coverage": f"""WITH s AS (SELECT DISTINCT {_CANON} AS id FROM v_signals WHERE triggered), k AS (SELECT id, count(*) AS n FROM {_TECH} GROUP BY 1) SELECT id, coalesce(n, 0) AS techniques, n IS NULL AS missing FROM s LEFT JOIN k USING (id)""",
-    "attribution": f"""WITH lv AS (SELECT case_id, w100, {_CANON} AS id FROM v_signals WHERE triggered), g AS (SELECT case_id, sum(greatest(w100, 0)) AS mal FROM lv GROUP BY 1),
-      p AS (SELECT case_id, actor, sum(points) AS pts FROM (SELECT DISTINCT case_id, id FROM lv) JOIN {_ACTORS} USING (id) GROUP BY ALL),
-      r AS (SELECT *, sum(pts) OVER (PARTITION BY case_id) AS total, row_number() OVER (PARTITION BY case_id ORDER BY pts DESC, list_position(['compromised-account', 'spoofed-domain', 'anonymised', 'direct-actor'], actor)) AS nth FROM p)
-      SELECT case_id, CASE WHEN mal >= 150 AND total > 0 THEN actor ELSE 'unknown' END AS actor_type,
-        CASE WHEN mal >= 150 AND total > 0 THEN least(95e0, round(100e0 * pts / total * (0.55e0 + 0.45e0 * least(1e0, pts / 400e0)), 1)) ELSE 0e0 END AS confidence FROM g LEFT JOIN (SELECT * FROM r WHERE nth = 1) USING (case_id)""",
+    "attribution": f"""WITH lv AS (SELECT case_id, list(DISTINCT {_CANON}) AS ids, sum(greatest(w100, 0)) AS malicious FROM v_signals WHERE triggered GROUP BY 1), cx AS (SELECT * FROM lv LEFT JOIN v_context USING (case_id)), pt AS ({_SUMS}),
+      rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY pts DESC, o) AS r, sum(pts) OVER (PARTITION BY case_id) AS total FROM pt),
+      al AS (SELECT case_id, string_agg(actor || ':' || pts, ';' ORDER BY r) AS alternatives FROM rk WHERE r > 1 AND pts > 0 GROUP BY 1)
+      SELECT case_id, CASE WHEN malicious >= 150 AND total > 0 THEN actor ELSE 'unknown' END AS actor_type,
+        CASE WHEN malicious >= 150 AND total > 0 THEN least(95e0, round(100e0 * pts / total * (0.55e0 + 0.45e0 * least(1e0, pts / 400e0)), 1)) ELSE 0e0 END AS confidence,
+        CASE WHEN malicious >= 150 AND total > 0 THEN coalesce(alternatives, '') ELSE '' END AS alternatives FROM rk LEFT JOIN al USING (case_id) WHERE r = 1""",
     "threat_class": f"""WITH i AS (SELECT case_id, list(DISTINCT {_CANON}) AS ids FROM v_signals WHERE triggered GROUP BY 1), b AS (SELECT case_id, verdict AS v, coalesce(ids, []) AS ids FROM v_cases LEFT JOIN i USING (case_id)),
-      x AS (SELECT *, list_has_any(ids, ['nlp.credential_lure', 'url.credential_path']) AS cr, list_has_any(ids, ['nlp.payment_diversion', 'nlp.bec_no_payload', 'nlp.secrecy']) AS fr,
+      x AS (SELECT *, list_has_any(ids, ['nlp.credential_lure', 'url.credential_path', 'sandbox.credential_form']) AS cr, list_has_any(ids, ['nlp.payment_diversion', 'nlp.bec_no_payload', 'nlp.secrecy']) AS fr,
         list_has_any(ids, ['id.brand_impersonation', 'id.lookalike_domain', 'id.confusable_chars', 'id.punycode_sender', 'id.name_contains_other_address', 'auth.spf_unaligned']) AS im FROM b)
       SELECT case_id, CASE WHEN v = 'benign' OR (v = 'likely_benign' AND len(list_filter(ids, lambda z: z <> 'ml.score')) = 0) THEN 'legitimate' WHEN v = 'phishing' AND cr THEN 'phishing' WHEN fr AND NOT cr THEN 'fraud'
         WHEN im AND v IN ('phishing', 'suspicious') THEN 'impersonated' WHEN v = 'phishing' THEN 'phishing' ELSE 'suspicious' END AS threat_class FROM x""",
@@ -126,7 +139,7 @@ SQL = {
     "relate_cases": f"WITH {_PAIRS} SELECT a, b, w100 FROM rl",
     "case_clusters": f"""WITH {_PAIRS}, bo AS (SELECT a, b, w100 FROM rl UNION ALL SELECT b, a, w100 FROM rl), n AS (SELECT a, list(b ORDER BY w100 DESC, created_s, b) AS near FROM bo JOIN v_cases AS c ON c.case_id = bo.b GROUP BY 1)
       SELECT a AS case_id, 'cl-' || substr(sha256(array_to_string(list_sort(list_transform(list_append(near, a), lambda x: CAST(x AS VARCHAR))), '|')), 1, 16) AS cluster_id, CAST(len(near) + 1 AS BIGINT) AS cluster_size, array_to_string(near[1:10], ',') AS related FROM n""",
-    "artefact_intersect": f"""WITH {_PAIRS} SELECT a, b, kind, array_to_string(list_sort(list(value))[1:3], ',') AS shared FROM (SELECT rl.a, rl.b, x.kind, x.value FROM rl JOIN v_links AS x ON x.case_id = rl.a JOIN v_links AS y ON y.case_id = rl.b AND y.kind = x.kind AND y.value = x.value WHERE w100 >= 160) GROUP BY ALL""",
+    "artefact_intersect": f"""WITH {_PAIRS} SELECT a, b, kind, array_to_string(list_sort(list(value))[1:3], ',') AS shared FROM (SELECT rl.a, rl.b, x.kind, x.value FROM rl JOIN v_links AS x ON x.case_id = rl.a JOIN v_links AS y ON y.case_id = rl.b AND y.kind = x.kind AND y.value = x.value WHERE w100 >= 80) GROUP BY ALL""",
     "graph_nodes": "SELECT kind || ':' || value AS id, kind, count(*) AS weight FROM v_links GROUP BY ALL UNION ALL SELECT 'case:' || case_id, 'case', count(*) FROM v_links GROUP BY ALL",
     "graph_edges": "SELECT DISTINCT 'case:' || case_id AS source, kind || ':' || value AS target, kind AS link FROM v_links",
     "new_indicators": "SELECT DISTINCT ioc_type, lower(value) AS value FROM v_iocs WHERE first_seen_s >= 946684800 EXCEPT SELECT ioc_type, lower(value) FROM v_iocs WHERE first_seen_s < 946684800",

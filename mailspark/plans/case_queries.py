@@ -145,7 +145,7 @@ def technique_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attribution(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.attribution(view(spark, d, "v_signals"))
+    return scoring.attribution(view(spark, d, "v_signals"), view(spark, d, "v_context"))
 
 
 def threat_class(spark: SparkSession, d: str) -> DataFrame:

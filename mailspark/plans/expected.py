@@ -190,6 +190,34 @@ LURES = [
     ("secrecy", 0.08, "nlp.secrecy", 350, 50, 175),
     ("malware", 0.12, "nlp.malware_lure", 380, 60, 190),
 ]
+TECHNIQUE_NAMES = {
+    "T1566": ("Phishing", "Initial Access"), "T1566.001": ("Phishing: Spearphishing Attachment", "Initial Access"), "T1566.002": ("Phishing: Spearphishing Link", "Initial Access"), "T1566.003": ("Phishing: Spearphishing via Service", "Initial Access"),
+    "T1598": ("Phishing for Information", "Reconnaissance"), "T1598.002": ("Phishing for Information: Spearphishing Attachment", "Reconnaissance"), "T1598.003": ("Phishing for Information: Spearphishing Link", "Reconnaissance"),
+    "T1656": ("Impersonation", "Defense Evasion"), "T1585.002": ("Establish Accounts: Email Accounts", "Resource Development"), "T1583.001": ("Acquire Infrastructure: Domains", "Resource Development"),
+    "T1583.006": ("Acquire Infrastructure: Web Services", "Resource Development"), "T1584.001": ("Compromise Infrastructure: Domains", "Resource Development"), "T1586.002": ("Compromise Accounts: Email Accounts", "Resource Development"),
+    "T1036": ("Masquerading", "Defense Evasion"), "T1036.005": ("Masquerading: Match Legitimate Name or Location", "Defense Evasion"), "T1036.007": ("Masquerading: Double File Extension", "Defense Evasion"),
+    "T1027": ("Obfuscated Files or Information", "Defense Evasion"), "T1027.006": ("Obfuscated Files or Information: HTML Smuggling", "Defense Evasion"), "T1204.001": ("User Execution: Malicious Link", "Execution"),
+    "T1204.002": ("User Execution: Malicious File", "Execution"), "T1059": ("Command and Scripting Interpreter", "Execution"), "T1137": ("Office Application Startup", "Persistence"), "T1090.003": ("Proxy: Multi-hop Proxy", "Command and Control"),
+    "T1102": ("Web Service", "Command and Control"), "T1534": ("Internal Spearphishing", "Lateral Movement"), "T1114": ("Email Collection", "Collection"), "T1056.003": ("Input Capture: Web Portal Capture", "Collection"),
+    "T1657": ("Financial Theft", "Impact"), "T1078": ("Valid Accounts", "Defense Evasion"), "T1620": ("Reflective Code Loading", "Defense Evasion"), "T1070": ("Indicator Removal", "Defense Evasion"),
+}
+TACTICS = [
+    "Reconnaissance", "Resource Development", "Initial Access", "Execution", "Persistence", "Privilege Escalation", "Defense Evasion", "Credential Access", "Discovery", "Lateral Movement", "Collection", "Command and Control", "Exfiltration", "Impact",
+]
+SIGNAL_TECHNIQUES = {
+    "auth.spf_fail": ("T1566", "T1656"), "auth.spf_unaligned": ("T1656", "T1036.005"), "auth.dkim_fail": ("T1566", "T1656"), "auth.dmarc_fail": ("T1566", "T1656"), "auth.no_auth": ("T1566",), "auth.arc_fail": ("T1566",),
+    "id.brand_impersonation": ("T1656", "T1036.005"), "id.lookalike_domain": ("T1583.001", "T1036.005"), "id.confusable_chars": ("T1036", "T1583.001"), "id.punycode_sender": ("T1036", "T1583.001"),
+    "id.name_contains_other_address": ("T1656", "T1036"), "id.replyto_divergence": ("T1585.002", "T1656"), "id.returnpath_mismatch": ("T1656",), "id.suspicious_tld": ("T1583.001",),
+    "nlp.urgency": ("T1566",), "nlp.credential_lure": ("T1598.003", "T1056.003"), "nlp.payment_diversion": ("T1657", "T1566"), "nlp.authority_pressure": ("T1656", "T1657"), "nlp.secrecy": ("T1657",),
+    "nlp.bec_no_payload": ("T1656", "T1657", "T1534"), "nlp.shouting_subject": ("T1566",), "nlp.hidden_text": ("T1027",), "nlp.image_only": ("T1027",), "nlp.possible_quishing": ("T1566.002", "T1204.001"),
+    "url.ip_literal": ("T1566.002", "T1583.006"), "url.anchor_mismatch": ("T1566.002", "T1036"), "url.punycode": ("T1566.002", "T1036"), "url.shortener": ("T1566.002", "T1102"), "url.lookalike": ("T1566.002", "T1583.001"),
+    "url.credential_path": ("T1566.002", "T1056.003", "T1204.001"), "url.bad_tld": ("T1583.001",), "url.many": ("T1566.002",),
+    "att.executable": ("T1566.001", "T1204.002"), "att.double_ext": ("T1036.007", "T1204.002"), "att.type_mismatch": ("T1036", "T1027"), "att.macro": ("T1566.001", "T1137", "T1059"), "att.archive": ("T1027", "T1566.001"),
+    "hdr.no_message_id": ("T1566",), "hdr.message_id_mismatch": ("T1036",), "hdr.no_received": ("T1027",), "hdr.undisclosed_recipients": ("T1566",), "hdr.mass_recipients": ("T1566",), "hdr.bulk_mailer": ("T1566",),
+    "relay.multi_country": ("T1090.003",), "relay.forged_timestamp": ("T1070", "T1090.003"), "relay.chain_manipulation": ("T1090.003",),
+    "intel.tor_exit": ("T1090.003",), "intel.abuse_reports": ("T1583.006",), "intel.new_domain": ("T1583.001",), "intel.blacklisted": ("T1583.006",), "intel.no_mx": ("T1583.001",),
+    "sandbox.credential_form": ("T1056.003", "T1204.001"), "sandbox.redirect_chain": ("T1027", "T1204.001"), "sandbox.brand_clone": ("T1656", "T1036.005"),
+}
 
 
 def compatible() -> tuple[str, str]:
