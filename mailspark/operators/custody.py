@@ -2,11 +2,15 @@
 
 An entry's hash covers its case, index, kind, payload digest and the hash of
 the entry before.  Since each row carries that hash, all links are verified in
-one pass; only building a chain is sequential, and is a fold inside a case.
+one pass; only building a chain is sequential, and reads each case in order.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,14 +22,28 @@ def entry_hash(case: Column, idx: Column, kind: Column, payload: Column, prev: C
     return F.sha2(F.concat_ws("|", case.cast("string"), idx.cast("string"), kind, payload, prev), 256)
 
 
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by case and index -> with both hashes; only the last hash is carried on."""
+    case, last = None, ZERO
+    for batch in batches:
+        before, own = [], []
+        for c, idx, kind, payload in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if c != case:
+                case, last = c, ZERO
+            before.append(last)
+            last = hashlib.sha256("|".join(str(x) for x in (c, idx, kind, payload, last) if x is not None).encode()).hexdigest()
+            own.append(last)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], names=[*batch.schema.names, "prev_hash", "entry_hash"])
+
+
 def append(entries: DataFrame) -> DataFrame:
-    """(case_id, idx, kind, payload_hash) -> with prev_hash and entry_hash: a fold over each case's sorted entries."""
-    rows = entries.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("idx", "kind", "payload_hash"))).alias("rows"))
-    start = F.array().cast("array<string>")
-    last = lambda acc: F.when(F.size(acc) == 0, F.lit(ZERO)).otherwise(F.element_at(acc, -1))
-    chain = F.aggregate("rows", start, lambda acc, r: F.concat(acc, F.array(entry_hash(F.col("case_id"), r["idx"], r["kind"], r["payload_hash"], last(acc)))))
-    each = rows.withColumn("chain", chain).select("case_id", "chain", F.posexplode("rows").alias("i", "r"))
-    return each.select("case_id", "r.idx", "r.kind", "r.payload_hash", F.when(F.col("i") == 0, F.lit(ZERO)).otherwise(F.try_element_at("chain", F.col("i"))).alias("prev_hash"), F.col("chain")[F.col("i")].alias("entry_hash"))
+    """(case_id, idx, kind, payload_hash) -> with prev_hash and entry_hash.
+
+    A chain is sequential within its case: entries are dealt by case, sorted, and read once, a batch at a time.
+    """
+    rows = entries.select("case_id", "idx", "kind", "payload_hash")
+    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    return rows.repartition("case_id").sortWithinPartitions("case_id", "idx").mapInArrow(_chain, f"{kinds}, prev_hash string, entry_hash string")
 
 
 def verify(log: DataFrame) -> DataFrame:

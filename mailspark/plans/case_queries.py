@@ -271,8 +271,16 @@ def sink_case_upsert(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert_iocs(i.where("case_id % 2 = 0"), i.where("case_id % 2 = 1"))
 
 
+def case_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Cases saved again replace the stored row of the same id: every third case comes back with another verdict, some twice."""
+    stored = view(spark, d, "v_cases").select("case_id", "verdict", "risk", F.lit(0).alias("version"))
+    fresh = stored.where("case_id % 3 = 0").select("case_id", F.lit("benign").alias("verdict"), "risk", F.explode(F.when(F.col("case_id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("version"))
+    return store.upsert_cases(stored, fresh, "case_id", "version")
+
+
 def sla_report(spark: SparkSession, d: str) -> DataFrame:
-    return store.sla_report(view(spark, d, "v_cases"), NOW_S)
+    closed = F.when(F.col("status") == "closed", F.col("created_s") + F.col("case_id") % 3600)
+    return store.sla_report(view(spark, d, "v_cases").withColumn("closed_s", closed), NOW_S)
 
 
 def apply_decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +352,7 @@ NAMES = """queue_filter case_summary search_prefix search_contains ioc_pivot aud
 resubmission_join stats_counters stats_breakdowns top_techniques top_origins campaign_rollup signal_dedupe logodds_score verdict_confidence class_risk verdict_assembly
 evidence_coverage relay_signals ml_signal case_techniques signal_techniques technique_coverage attribution threat_class top_rationale exposure_directory blast_radius
 containment_priority wave_lookup recipients_complete hop_index relay_path earliest_reliable_hop origin_summary case_numbering campaign_assign campaign_siblings custody_append
-custody_verify queue_sorted_page relate_cases case_clusters artefact_intersect graph_nodes graph_edges new_indicators extract_iocs sink_case_upsert sla_report apply_decisions
+custody_verify queue_sorted_page relate_cases case_clusters artefact_intersect graph_nodes graph_edges new_indicators extract_iocs sink_case_upsert case_upsert sla_report apply_decisions
 geo_resolve intel_asof intel_signals intel_plan ip_range_join next_actions campaign_risk_reach""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}
