@@ -32,9 +32,12 @@ SQL = {
       e AS (SELECT user_id, k, min(us) AS a, max(us) AS z, count(*) AS n FROM s GROUP BY ALL) SELECT a // 1000000 AS start_s, user_id, n FROM e, mx WHERE z + 1800000000 <= wm""",
     "stream_replay_since": "SELECT event_id, event_type FROM events WHERE event_id > 300 ORDER BY event_id LIMIT 400",
     "stream_enrich_static": "SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey",
-    "stream_exposure_join": "SELECT a.event_id AS delivery, b.event_id AS click FROM events AS a JOIN events AS b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR",
+    "stream_exposure_join": """WITH m AS (SELECT a.event_id AS delivery, b.event_id AS click FROM events AS a JOIN events AS b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR),
+      wm AS (SELECT least(max(epoch_us(ts)) FILTER (event_type = 'view'), max(epoch_us(ts)) FILTER (event_type = 'click')) // 1000 * 1000 - 3600000000 AS w FROM events)
+      SELECT * FROM m UNION ALL SELECT event_id, NULL FROM events, wm WHERE event_type = 'view' AND event_id NOT IN (SELECT delivery FROM m) AND epoch_us(ts) + 86400000000 < w""",
     "stream_ioc_upsert": "SELECT l_partkey % 50 AS key, max(l_quantity) AS confidence FROM lineitem GROUP BY 1",
     "stream_alerts": "SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('error', 'purchase')",
-    "stream_sla_timer": """SELECT a.event_id, NOT coalesce(bool_or(b.event_id IS NOT NULL AND epoch_us(b.ts) // 1000000 <= epoch_us(a.ts) // 1000000 + 1200), FALSE) AS breached FROM events AS a LEFT JOIN events AS b ON b.user_id = a.user_id AND b.event_type = 'purchase'
-      AND (epoch_us(b.ts) // 1000000, b.event_id) > (epoch_us(a.ts) // 1000000, a.event_id) WHERE a.event_type = 'signup' GROUP BY 1""",
+    "stream_sla_timer": """WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type IN ('signup', 'purchase')), wm AS (SELECT max(ms) - 3600000 AS w FROM e)
+      SELECT a.event_id, NOT coalesce(bool_or(b.event_id IS NOT NULL), FALSE) AS breached FROM e AS a LEFT JOIN e AS b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND (b.ms, b.event_id) > (a.ms, a.event_id) AND b.ms <= a.ms + 1200000, wm
+      WHERE a.event_type = 'signup' AND a.ms + 1200001 < w GROUP BY 1""",
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailspark.operators import corpus, custody
@@ -73,7 +72,7 @@ def sink_custody_append(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_ingest_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    docs = streams.stream(spark, d, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.timestamp_seconds(F.lit(1704067200)).alias("at"))
+    docs = streams.stream(spark, d, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("at"))
     return streams.drain(streams.dedupe(docs, "digest", "at"), "ingest").select("digest")
 
 
@@ -90,7 +89,9 @@ def stream_wave_session(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_replay_since(spark: SparkSession, d: str) -> DataFrame:
-    return given(spark, d, "events").where("event_id > 300").select("event_id", "event_type").orderBy("event_id").limit(400)
+    """What a reader that has seen event 300 gets next: the stream past its cursor, a page of 400 in order."""
+    fresh = streams.stream(spark, d, "events").where("event_id > 300").select("event_id", "event_type")
+    return streams.drain(fresh, "replay").orderBy("event_id").limit(400)
 
 
 def stream_enrich_static(spark: SparkSession, d: str) -> DataFrame:
@@ -104,16 +105,8 @@ def stream_exposure_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_ioc_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Each micro-batch is merged with the stored table; the newest version's folder is the table."""
-    stored: list[DataFrame] = []
-
-    def merge(batch: DataFrame, _: int) -> None:
-        part = batch.select((F.col("l_partkey") % 50).alias("key"), F.col("l_quantity").alias("confidence"))
-        rows = part.unionByName(stored[-1]) if stored else part
-        stored.append(shared.saved(rows.groupBy("key").agg(F.max("confidence").alias("confidence")), "iocs"))
-
-    streams.drain_batches(streams.stream(spark, d, "lineitem"), merge, "upsert")
-    return stored[-1]
+    rows = streams.stream(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("key"), F.col("l_quantity").alias("confidence"))
+    return streams.upsert(rows, "key", "confidence", "upsert")
 
 
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
@@ -121,11 +114,10 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_sla_timer(spark: SparkSession, d: str) -> DataFrame:
-    """Breaches by the batch rule: signups with no purchase of the user within 20 minutes (a window over both kinds)."""
-    e = given(spark, d, "events").where("event_type in ('signup', 'purchase')").select("event_id", "user_id", "event_type", F.unix_timestamp("ts").alias("s"))
-    later = W.partitionBy("user_id").orderBy("s", "event_id").rowsBetween(1, W.unboundedFollowing)
-    due = e.withColumn("done", F.min(F.when(F.col("event_type") == "purchase", F.col("s"))).over(later))
-    return due.where("event_type = 'signup'").select("event_id", (F.col("done").isNull() | (F.col("done") > F.col("s") + 1200)).alias("breached"))
+    """Signups with no purchase of the user within 20 minutes, once the watermark has passed their deadline."""
+    e = streams.stream(spark, d, "events").where("event_type in ('signup', 'purchase')")
+    cases = e.select(F.col("user_id").alias("owner"), F.col("event_id").alias("case_id"), (F.col("event_type") == "signup").alias("opened"), F.col("ts").alias("at"))
+    return streams.drain(streams.sla_timer(cases), "sla").select(F.col("case_id").alias("event_id"), "breached")
 
 
 NAMES = """src_messages_raw src_parse_messages src_corpus_jsonl src_reference_maps sink_corpus_splits sink_ioc_csv sink_ioc_stix sink_ioc_misp sink_custody_append stream_ingest_dedupe
