@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 from mailspark.functions.text import anchor_words, ngrams, strip, tokens
 
 
-def term_counts(docs: DataFrame, n: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
+def term_counts(docs: DataFrame, n: int, id_col: str = "id", text_col: str = "text", words: Callable[[Column], Column] = tokens) -> DataFrame:
+    words = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
     return words.select("id", F.explode(ngrams("words", n)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
 
 

@@ -10,15 +10,22 @@ from __future__ import annotations
 from mailspark.plans.case_oracle import _CHAIN
 from mailspark.plans.message_oracle import LAB
 
-_RAW = """rw AS (SELECT msg_id AS id, body, from_domain, 'From: Staff <u' || msg_id || '@' || from_domain || '>' || chr(10) || 'Subject: Invoice ' || msg_id || chr(10) || 'Message-ID: <m' || msg_id || '@x>' || chr(10) || 'Received: ' || received_header || chr(10)
-  || 'Content-Type: text/plain; charset=utf-8' || chr(10) || 'Content-Transfer-Encoding: 8bit' || chr(10) || chr(10) || body AS raw FROM v_mail)"""
+_RAW = """rw AS (SELECT msg_id AS id, body, 'From: Staff <u' || msg_id || '@' || from_domain || '>' || chr(10) || 'Subject: ' || CASE WHEN msg_id % 4 = 1 THEN '=?utf-8?B?' || base64(encode('Invoice é ' || msg_id)) || '?=' ELSE 'Invoice é ' || msg_id END || chr(10) || 'Message-ID: <m' || msg_id || '@x>' || chr(10)
+    || 'Received: ' || replace(received_header, ' by ', chr(10) || chr(9) || 'by ') || chr(10) AS top, chr(10) AS n, 'Content-Type: text/plain; charset=utf-8' || chr(10) || 'Content-Transfer-Encoding: ' AS t,
+    'Content-Type: application/pdf; name="a.pdf"' || chr(10) || 'Content-Disposition: attachment; filename="a.pdf"' || chr(10) || 'Content-Transfer-Encoding: base64' || chr(10) || chr(10) || base64(encode('%PDF-' || msg_id)) AS file FROM v_mail),
+  rx AS (SELECT id, top || CASE id % 4 WHEN 0 THEN t || '8bit' || n || n || body WHEN 2 THEN t || 'quoted-printable' || n || n || regexp_replace(hex(encode(body)), '(..)', '=\\1', 'g')
+    WHEN 1 THEN 'Content-Type: multipart/mixed; boundary="b1"' || n || n || 'preamble' || n || '--b1' || n || t || 'base64' || n || n || base64(encode(body)) || n || '--b1' || n || file || n || '--b1--' || n
+    ELSE 'Content-Type: multipart/mixed; boundary="b1"' || n || n || 'preamble' || n || '--b1' || n || 'Content-Type: multipart/alternative; boundary="b2"' || n || n || 'preamble' || n || '--b2' || n || t || '8bit' || n || n || body || n || '--b2' || n
+      || 'Content-Type: text/html; charset=utf-8' || n || n || '<p>' || id || '</p>' || n || '--b2--' || n || n || '--b1' || n || file || n || '--b1--' || n END || n AS raw FROM rw)"""
 _EV = "ev AS (SELECT *, epoch_us(ts) AS us FROM events), mx AS (SELECT max(us) - 3600000000 AS wm FROM ev)"
 _T = {"ipv4-addr": ("ipv4-addr:value", "ip-src"), "domain-name": ("domain-name:value", "domain"), "url": ("url:value", "url"), "email-addr": ("email-addr:value", "email-src"), "file-hash": ("file:hashes.''SHA-256''", "sha256")}
 _CASE = lambda k, d: "CASE ioc_type " + " ".join(f"WHEN '{t}' THEN '{v[k]}'" for t, v in _T.items()) + f" {d} END"
 
 SQL = {
-    "src_messages_raw": f"WITH {_RAW} SELECT id, strlen(raw) AS size, sha256(raw) AS sha256 FROM rw",
-    "src_parse_messages": f"WITH {_RAW} SELECT id, 'Invoice ' || id AS subject, 'u' || id || '@' || from_domain AS from_address, '<m' || id || '@x>' AS message_id, 1 AS n_received, length(trim(body)) > 0 AS has_body, 0 AS n_attachments FROM rw",
+    "src_messages_raw": f"WITH {_RAW} SELECT id, strlen(raw) AS size, sha256(raw) AS sha256 FROM rx",
+    "src_parse_messages": r"""WITH x AS (SELECT msg_id AS id, from_domain, regexp_replace(body, '^\s+|\s+$', '', 'g') AS b FROM v_mail) SELECT id, 'Invoice é ' || id AS subject, 'Staff' AS from_name, 'u' || id || '@' || from_domain AS from_address, '<m' || id || '@x>' AS message_id, 1 AS n_received, sha256(b) AS body_sha256,
+      CASE WHEN id % 4 = 3 THEN '<p>' || id || '</p>' ELSE '' END AS html, CASE WHEN id % 2 = 1 THEN 1 ELSE 0 END AS n_attachments, CASE WHEN id % 2 = 1 THEN 'a.pdf,application/pdf,' || sha256('%PDF-' || id) ELSE '' END AS files,
+      CASE WHEN b = '' AND id % 4 <> 3 THEN 'no readable body content' ELSE '' END AS parse_errors FROM x""",
     "src_corpus_jsonl": f"WITH {LAB} SELECT id, CAST(label AS INT) AS label, sha256(body) AS sha256 FROM la WHERE trim(body) <> ''",
     "src_reference_maps": "SELECT event_id, unnest(json_keys(props)) AS map_key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS map_value FROM events",
     "sink_corpus_splits": f"WITH {LAB} SELECT CASE WHEN r <= floor(k * 0.8e0) THEN 'train' ELSE 'test' END AS split, CAST(label AS BIGINT) AS label, count(*) AS n FROM rn GROUP BY ALL",

@@ -13,21 +13,37 @@ from mailspark.streaming import streams
 
 
 def _rendered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as raw mail of four shapes: plain, encoded words and base64 with a file, quoted-printable, nested multiparts."""
     m = view(spark, d, "v_mail")
-    text = F.concat(
-        F.lit("From: Staff <u"), F.col("msg_id").cast("string"), F.lit("@"), F.col("from_domain"), F.lit(">\nSubject: Invoice "), F.col("msg_id").cast("string"), F.lit("\nMessage-ID: <m"), F.col("msg_id").cast("string"), F.lit("@x>\nReceived: "), F.col("received_header"),
-        F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.col("body"),
+    key, utf8 = F.col("msg_id").cast("string"), lambda x: F.encode(x, "UTF-8")
+    subject, in64 = F.concat(F.lit("Invoice é "), key), lambda x: F.regexp_replace(F.base64(utf8(x)), r"\s", "")
+    top = F.concat(
+        F.lit("From: Staff <u"), key, F.lit("@"), F.col("from_domain"), F.lit(">\nSubject: "), F.when(F.col("msg_id") % 4 == 1, F.concat(F.lit("=?utf-8?B?"), in64(subject), F.lit("?="))).otherwise(subject),
+        F.lit("\nMessage-ID: <m"), key, F.lit("@x>\nReceived: "), F.replace("received_header", F.lit(" by "), F.lit("\n\tby ")), F.lit("\n"),
     )
-    return m.select(F.col("msg_id").alias("id"), F.encode(text, "UTF-8").alias("content"), F.col("body"))
+    text = lambda coding, body: F.concat(F.lit(f"Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: {coding}\n\n"), body)
+    quoted = F.regexp_replace(F.hex(utf8(F.col("body"))), "(..)", "=$1")
+    file = F.concat(F.lit('Content-Type: application/pdf; name="a.pdf"\nContent-Disposition: attachment; filename="a.pdf"\nContent-Transfer-Encoding: base64\n\n'), in64(F.concat(F.lit("%PDF-"), key)))
+    many = lambda mark, kind, *parts: F.concat(F.lit(f'Content-Type: multipart/{kind}; boundary="{mark}"\n\npreamble'), *[F.concat(F.lit(f"\n--{mark}\n"), x) for x in parts], F.lit(f"\n--{mark}--\n"))
+    html = F.concat(F.lit("Content-Type: text/html; charset=utf-8\n\n<p>"), key, F.lit("</p>"))
+    shape = F.when(F.col("msg_id") % 4 == 0, text("8bit", F.col("body"))).when(F.col("msg_id") % 4 == 1, many("b1", "mixed", text("base64", in64(F.col("body"))), file)).when(F.col("msg_id") % 4 == 2, text("quoted-printable", quoted))
+    return m.select(F.col("msg_id").alias("id"), utf8(F.concat(top, shape.otherwise(many("b1", "mixed", many("b2", "alternative", text("8bit", F.col("body")), html), file)))).alias("content"))
 
 
 def src_messages_raw(spark: SparkSession, d: str) -> DataFrame:
-    return _rendered(spark, d).select("id", F.length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """One file a message is written, then all are read with size and digest."""
+    path = shared.new_path(spark, "mails")
+    _rendered(spark, d).select("id", F.col("content").cast("string").alias("value")).write.partitionBy("id").text(path)
+    files = mail.read_raw(spark, path, "*.txt")
+    return files.select(F.regexp_extract("path", r"id=(\d+)/", 1).cast("bigint").alias("id"), F.col("length").alias("size"), "sha256")
 
 
 def src_parse_messages(spark: SparkSession, d: str) -> DataFrame:
     out = mail.parse_messages(_rendered(spark, d))
-    return out.select("id", "subject", "from_address", "message_id", "n_received", (F.length("body") > 0).alias("has_body"), "n_attachments")
+    return out.select(
+        "id", "subject", "from_name", "from_address", "message_id", "n_received", F.sha2("body", 256).alias("body_sha256"), F.col("body_html").alias("html"), F.size("attachments").alias("n_attachments"),
+        F.array_join(F.transform("attachments", lambda a: F.concat_ws(",", a["name"], a["mime"], a["sha256"])), ";").alias("files"), "parse_errors",
+    )
 
 
 def src_corpus_jsonl(spark: SparkSession, d: str) -> DataFrame:

@@ -275,7 +275,8 @@ SQL = {
     "stratified_split": f"WITH {LAB} SELECT id, label, CASE WHEN r <= floor(k * 0.8e0) THEN 'train' ELSE 'test' END AS split FROM rn",
     "stratified_kfold": f"WITH {LAB} SELECT id, label, CAST((r - 1) % 5 AS INT) AS fold FROM rn",
     "corpus_class_report": f"WITH {LAB}, sp AS (SELECT label, CASE WHEN r <= floor(k * 0.8e0) THEN 'train' ELSE 'test' END AS split FROM rn) SELECT label, split, count(*) AS n, grouping(label, split) AS level FROM sp GROUP BY ROLLUP (label, split)",
-    "corpus_stats": "SELECT count(*) AS rows, round(avg(n), 4) AS mean, round(stddev_samp(n), 4) AS sd, min(n) AS least, max(n) AS most, count(DISTINCT body) AS texts, count(DISTINCT source) AS sources FROM (SELECT *, length(body) AS n FROM v_mail)",
+    "corpus_stats": """WITH x AS (SELECT count(*) AS rows, round(avg(n), 4) AS mean, round(stddev_samp(n), 4) AS sd, min(n) AS least, max(n) AS most, count(DISTINCT body) AS texts, count(DISTINCT source) AS sources FROM (SELECT *, length(body) AS n FROM v_mail)),
+      c AS (SELECT round(max(c) / min(c), 4) AS balance FROM (SELECT count(*) AS c FROM v_messages WHERE label IS NOT NULL GROUP BY label)), s AS (SELECT round(max(c) / sum(c), 6) AS largest_share FROM (SELECT count(*) AS c FROM v_mail GROUP BY source)) SELECT * FROM x, c, s""",
     "corpus_union": "SELECT msg_id, source AS origin FROM v_mail",
     "exact_dedupe": "SELECT msg_id, source FROM v_mail QUALIFY row_number() OVER (PARTITION BY body ORDER BY source, msg_id) = 1",
     "train_test_leakage": "SELECT msg_id AS id FROM v_mail WHERE msg_id % 5 = 0 AND body IN (SELECT body FROM v_mail WHERE msg_id % 5 <> 0)",
@@ -283,11 +284,20 @@ SQL = {
       SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 4) AS cosine FROM tg AS x JOIN tg AS y ON x.term = y.term AND x.label = y.label AND x.id < y.id GROUP BY ALL HAVING round(sum(x.w * y.w), 6) >= 0.82e0""",
     "feature_means": f"WITH {FIT(1)}, {VEC} SELECT term, round(sum(w) / (SELECT n FROM nn), 6) AS mean FROM tv GROUP BY 1",
     "shap_top_features": f"""WITH {FIT(1)}, {VEC}, mn AS (SELECT term, sum(w) / (SELECT n FROM nn) AS mean FROM tv GROUP BY 1), ph AS (SELECT id, term, round({_W('term')} * (w - mean), 6) AS phi FROM tv JOIN mn USING (term)),
-      tp AS (SELECT * FROM ph QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(phi) DESC, term) <= 10) SELECT id, round(sum(abs(phi)), 3) AS total, count(*) AS n FROM tp GROUP BY 1""",
-    "batch_predict": f"""WITH {FIT(1)}, {VEC}, z AS (SELECT id, k, sum(w * {_W("term || k")}) AS z FROM tv, (SELECT unnest(range(5)) AS k) GROUP BY ALL), e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY id)) AS e FROM z)
-      SELECT id, CAST(arg_max(k, z) AS INT) AS prediction, round(1 - max(e) FILTER (k = 0) / sum(e), 5) AS p_malicious FROM e GROUP BY 1""",
+      tp AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(phi) DESC, term) AS INT) AS nth FROM ph) SELECT id, nth, term, phi FROM tp WHERE nth <= 10""",
+    "batch_predict": f"""WITH {FIT(1)}, {VEC}, z AS (SELECT id, k, sum(w * {_W("term || k")}) AS z FROM tv, (SELECT unnest(range(5)) AS k) GROUP BY ALL), e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY id)) AS e FROM z),
+      pr AS (SELECT id, CAST(arg_max(k, z) AS INT) AS y, coalesce(max(e) FILTER (k = 0), 0) / sum(e) AS p0, coalesce(max(e) FILTER (k = 2), 0) / sum(e) AS p2 FROM e GROUP BY 1),
+      po AS (SELECT id, y, p0, p2, CASE WHEN y IN (0, 1) THEN 35 * ({_SP('framing')} AND {_SP('link')})::INT + 25 * {_SP('authority')}::INT + 20 * {_SP('soft_urgency')}::INT + 30 * ({_SP('internal')} AND ({_SP('credential_ask')} OR {_SP('financial_ask')}))::INT + CASE WHEN {_STY} >= 2 THEN 15 * ({_STY}) ELSE 0 END ELSE 0 END AS pt FROM pr JOIN (SELECT msg_id AS id, body FROM v_mail) USING (id)),
+      ov AS (SELECT *, pt >= 45 AS raised, least(pt, 100) / 100e0 AS sc, CASE WHEN pt >= 45 THEN least(p0, round(1 - least(pt, 100) / 100e0, 4)) ELSE p0 END AS b FROM po)
+      SELECT id, CASE WHEN raised THEN 2 ELSE y END AS prediction, raised, round(CASE WHEN raised THEN greatest(p2, sc) ELSE p2 END, 5) AS p_phishing, round(CASE WHEN raised THEN greatest(1 - b, 0.85e0) ELSE 1 - b END, 5) AS p_malicious FROM ov""",
     "classification_metrics": """WITH r AS (SELECT CAST(label AS INT) AS y, CAST(CASE WHEN length(body) > 1500 THEN 1 WHEN msg_id % 4 = 0 THEN 3 ELSE msg_id % 3 END AS INT) AS p FROM v_messages WHERE label IS NOT NULL),
-      a AS (SELECT y AS class, count(*) AS support, count(*) FILTER (y = p) AS tp FROM r GROUP BY 1), b AS (SELECT p AS class, count(*) AS predicted FROM r GROUP BY 1)
-      SELECT class, round(CASE WHEN coalesce(predicted, 0) > 0 THEN tp / predicted ELSE 0e0 END, 6) AS precision, round(tp / support, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / (predicted + support) ELSE 0e0 END, 6) AS f1, support FROM a LEFT JOIN b USING (class)""",
-    "roc_auc_ovr": "WITH l AS (SELECT toxic, (doc_id * 37) % 100 + toxic * 20 AS s FROM labels) SELECT round(sum(CASE WHEN p.s > n.s THEN 1e0 WHEN p.s = n.s THEN 0.5e0 ELSE 0e0 END) / count(*), 6) AS auc FROM l AS p, l AS n WHERE p.toxic = 1 AND n.toxic <> 1",
+      c AS (SELECT y AS k FROM r UNION SELECT p FROM r), a AS (SELECT k, count(*) FILTER (y = k) AS support, count(*) FILTER (y = k AND p = k) AS tp, count(*) FILTER (p = k) AS predicted FROM c, r GROUP BY 1),
+      m AS (SELECT CAST(k AS VARCHAR) AS name, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0e0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0e0 END AS recall, CASE WHEN predicted + support > 0 THEN 2 * tp / (predicted + support) ELSE 0e0 END AS f1, support, tp FROM a),
+      u AS (SELECT name, precision, recall, f1, support FROM m UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM m UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM m
+        UNION ALL SELECT 'accuracy', sum(tp) / sum(support), sum(tp) / sum(support), sum(tp) / sum(support), sum(support) FROM m)
+      SELECT name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM u""",
+    "confusion_matrix": "WITH r AS (SELECT CAST(label AS INT) AS y, CAST(CASE WHEN length(body) > 1500 THEN 1 WHEN msg_id % 4 = 0 THEN 3 ELSE msg_id % 3 END AS INT) AS p FROM v_messages WHERE label IS NOT NULL) SELECT y AS label, p AS prediction, count(*) AS n FROM r GROUP BY ALL",
+    "roc_auc_ovr": """WITH l AS (SELECT k AS class, (msg_id * 37 + k * 11) % 100 + (label = k)::INT * 20 AS s, label = k AS pos FROM v_messages, (SELECT unnest(range(4)) AS k) WHERE label IS NOT NULL),
+      a AS (SELECT p.class, sum(CASE WHEN p.s > n.s THEN 1e0 WHEN p.s = n.s THEN 0.5e0 ELSE 0e0 END) / count(*) AS auc FROM l AS p JOIN l AS n ON p.class = n.class AND p.pos AND NOT n.pos GROUP BY 1)
+      SELECT CAST(class AS VARCHAR) AS name, round(auc, 6) AS auc FROM a UNION ALL SELECT 'macro', round(avg(auc), 6) FROM a""",
 }

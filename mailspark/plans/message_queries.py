@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -282,8 +284,12 @@ def corpus_class_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths and distinct texts, the largest class over the smallest, the number of sources and the share of the largest."""
     m = view(spark, d, "v_mail").select("source", F.length("body").alias("n"), F.sha2("body", 256).alias("h"))
-    return m.agg(F.count("*").alias("rows"), F.round(F.avg("n"), 4).alias("mean"), F.round(F.stddev_samp("n"), 4).alias("sd"), F.min("n").cast("bigint").alias("least"), F.max("n").cast("bigint").alias("most"), F.count_distinct("h").alias("texts"), F.count_distinct("source").alias("sources"))
+    lengths = m.agg(F.count("*").alias("rows"), F.round(F.avg("n"), 4).alias("mean"), F.round(F.stddev_samp("n"), 4).alias("sd"), F.min("n").cast("bigint").alias("least"), F.max("n").cast("bigint").alias("most"), F.count_distinct("h").alias("texts"), F.count_distinct("source").alias("sources"))
+    classes = view(spark, d, "v_messages").where("label is not null").groupBy("label").agg(F.count("*").alias("c")).agg(F.round(F.max("c") / F.min("c"), 4).alias("balance"))
+    shares = m.groupBy("source").agg(F.count("*").alias("c")).agg(F.round(F.max("c") / F.sum("c"), 6).alias("largest_share"))
+    return lengths.join(classes).join(shares)  # one row each
 
 
 def corpus_union(spark: SparkSession, d: str) -> DataFrame:
@@ -335,15 +341,15 @@ def shap_top_features(spark: SparkSession, d: str) -> DataFrame:
     counts, vocabulary, n = _fitted(spark, d)
     v = features.tfidf_transform(counts, vocabulary)
     top = features.top_features(v, _weights(vocabulary), features.feature_means(v, n))
-    # Two engines' last digits may order equal contributions differently: the summed size of the ten is compared.
-    return top.groupBy("id").agg(F.round(F.sum(F.abs("phi")), 3).alias("total"), F.count("*").alias("n"))
+    return top.select("id", F.col("nth").cast("int").alias("nth"), "term", "phi")
 
 
 def batch_predict(spark: SparkSession, d: str) -> DataFrame:
     counts, vocabulary, _ = _fitted(spark, d)
     classes = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("class")
     w = vocabulary.select("term", classes).select("term", "class", ((F.conv(F.substring(F.md5(F.concat("term", F.col("class").cast("string"))), 1, 4), 16, 10).cast("int") % 201 - 100) / 50.0).alias("weight"))
-    return models.batch_predict(features.tfidf_transform(counts, vocabulary), w).select("id", F.col("prediction").cast("int").alias("prediction"), F.round("p_malicious", 5).alias("p_malicious"))
+    out = models.spear_override(models.batch_predict(features.tfidf_transform(counts, vocabulary), w), _docs(spark, d))
+    return out.select("id", "prediction", "raised", F.round("p_phishing", 5).alias("p_phishing"), F.round("p_malicious", 5).alias("p_malicious"))
 
 
 def _rule_predicted(spark: SparkSession, d: str) -> DataFrame:
@@ -354,43 +360,51 @@ def classification_metrics(spark: SparkSession, d: str) -> DataFrame:
     return models.metrics(_rule_predicted(spark, d))
 
 
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return models.confusion(_rule_predicted(spark, d))
+
+
 def roc_auc_ovr(spark: SparkSession, d: str) -> DataFrame:
-    l = given(spark, d, "labels").select("toxic", ((F.col("doc_id") * 37) % 100 + F.col("toxic") * 20).alias("score"))
-    return models.auc(l, "score", F.col("toxic") == 1)
+    """One class against the rest, for each class, and their mean."""
+    rows = _labelled(spark, d).select("id", "label", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("class"))
+    mine = F.col("label") == F.col("class")
+    return models.macro_auc(rows.select("class", ((F.col("id") * 37 + F.col("class") * 11) % 100 + mine.cast("int") * 20).alias("score"), mine.alias("positive")))
 
 
-def _trained(spark: SparkSession, d: str) -> tuple:
-    rows = models.vectorised(_labelled(spark, d).select("id", F.col("label").cast("double").alias("label"), "text"))
-    return models.train(rows, iterations=8), rows
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return models.vectorised(_labelled(spark, d).select("id", "label", "text"), max_features=5000)
 
 
 def train_logreg(spark: SparkSession, d: str) -> DataFrame:
-    model, rows = _trained(spark, d)
-    return models.confusion(models.probabilities(model, rows).select("label", F.col("prediction").cast("double").alias("prediction")))
+    """Confusion of the held-out fifth by a model of the other four."""
+    rows = _vectors(spark, d).join(corpus.split(_labelled(spark, d), "label", "o").select("id", "split"), "id")
+    model = models.train(rows.where("split = 'train'").drop("split"), iterations=8)
+    return models.confusion(models.probabilities(model, rows.where("split = 'test'")).select("label", F.col("prediction").cast("double").alias("prediction")))
 
 
 def calibrate_isotonic(spark: SparkSession, d: str) -> DataFrame:
-    model, rows = _trained(spark, d)
-    return models.calibrate(models.probabilities(model, rows), 4)
+    rows = _vectors(spark, d)
+    folds = corpus.folds(_labelled(spark, d), "label", "o", 3)
+    return models.calibrate(models.saved(models.out_of_fold(rows, folds, 3, c=1.0, iterations=5), "scored"), 4)
 
 
 def cross_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy on each fold's held-out rows and on its training rows."""
-    rows = _labelled(spark, d)
-    vectors = models.vectorised(rows.select("id", F.col("label").cast("double").alias("label"), "text")).join(corpus.folds(rows, "label", "o").select("id", "fold"), "id")
-    out = None
+    """Accuracy and macro-F1 on each fold's held-out rows and on its training rows, and the gap of the accuracies."""
+    rows = _vectors(spark, d).join(corpus.folds(_labelled(spark, d), "label", "o").select("id", "fold"), "id")
+    out = []
     for k in range(5):
-        model = models.train(vectors.where(F.col("fold") != k).drop("fold"), c=0.5, iterations=5)
-        p = model.transform(vectors).select((F.col("fold") == k).alias("held_out"), (F.col("prediction") == F.col("label")).cast("int").alias("good"))
-        one = p.groupBy("held_out").agg(F.round(F.avg("good"), 6).alias("accuracy"), F.count("*").alias("n")).withColumn("fold", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out
+        model = models.train(rows.where(F.col("fold") != k).drop("fold"), c=0.5, iterations=5)
+        p = models.saved(model.transform(rows).select((F.col("fold") == k).alias("held_out"), "label", "prediction"), "predicted")
+        side = lambda held, mark: models.metrics(p.where(F.col("held_out") == held)).where("name in ('accuracy', 'macro avg')").select("name", F.col("f1").alias(mark))
+        both = side(True, "val").join(side(False, "train"), "name")
+        out.append(both.select(F.lit(k).alias("fold"), F.when(F.col("name") == "accuracy", "accuracy").otherwise("macro_f1").alias("measure"), "train", "val", F.round(F.col("train") - F.col("val"), 6).alias("gap")))
+    return reduce(DataFrame.unionByName, out)
 
 
 NAMES = """content_hash address_split registrable_domain url_normalise url_extract url_flags url_static_verdict html_strip attachment_flags auth_results received_parse subject_shape
 campaign_fingerprint confusable_skeleton lookalike_brand brand_in_name ip_class infra_indicators domain_age pii_inventory pii_mask pii_mask_full pii_leak_scan redact_nested
 text_obfuscation mail_text_normalise ngram_tokens text_document meta_features structural_features tfidf_fit tfidf_transform anchor_similarity bigram_lm_fit bigram_perplexity
 sentence_burstiness ai_text_score spearphish_score rule_signals takedown_draft stratified_split stratified_kfold corpus_class_report corpus_stats corpus_union exact_dedupe
-train_test_leakage near_dup_pairs near_dup_keep feature_means shap_top_features batch_predict classification_metrics roc_auc_ovr train_logreg calibrate_isotonic cross_validate""".split()
+train_test_leakage near_dup_pairs near_dup_keep feature_means shap_top_features batch_predict classification_metrics confusion_matrix roc_auc_ovr train_logreg calibrate_isotonic cross_validate""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -1,49 +1,133 @@
-"""Raw messages and reference files as tables; parsing never fails, it collects errors."""
+"""Raw messages and reference files as tables; parsing never fails, it collects errors.
 
-from __future__ import annotations
+A message is parsed by column expressions in one projection: bytes are read as
+Latin-1 characters (one each), headers are cut and unfolded, multipart bodies
+are split at their boundaries level by level, and each leaf is decoded by its
+transfer encoding and character set.
+"""
 
-import email
-import email.policy
-import hashlib
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MESSAGES = "id bigint, subject string, from_address string, message_id string, n_received int, body string, n_attachments int, parse_errors string"
+BYTES = "ISO-8859-1"
+WORD = r"=\?([^?]+)\?([bBqQ])\?([^?]*)\?="
+#: Characters that Windows-1252 has in place of the second control block.
+WINDOWS = [(b, bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+LATIN, WESTERN, UNICODE = ("iso-8859-1", "latin-1", "latin1"), ("windows-1252", "cp1252"), ("", "utf-8", "utf8", "us-ascii", "ascii")
 
 
 def read_raw(spark: SparkSession, folder: str, pattern: str = "*.eml") -> DataFrame:
-    """Files of a folder with size and digest; contents stay binary."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    """Files below a folder with size and digest; contents stay binary."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
     return files.select("path", "modificationTime", "length", F.sha2("content", 256).alias("sha256"), "content")
 
 
-def _parse(batches: Iterator[pd.DataFrame], text_cap: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for key, raw in zip(batch["id"], batch["content"], strict=True):
-            errors, body, files = [], [], 0
-            message = email.message_from_bytes(bytes(raw or b""), policy=email.policy.compat32)
-            for part in message.walk():
-                if part.is_multipart():
-                    continue
-                if (part.get_content_disposition() or "") == "attachment":
-                    files += 1
-                elif part.get_content_type().startswith("text/"):
-                    try:
-                        body.append((part.get_payload(decode=True) or b"").decode(part.get_content_charset() or "utf-8", "replace"))
-                    except LookupError as bad:
-                        errors.append(str(bad))
-            errors += [type(x).__name__ for x in message.defects]
-            rows.append((key, message.get("Subject") or "", email.utils.parseaddr(message.get("From") or "")[1].lower(), message.get("Message-ID") or "", len(message.get_all("Received") or []), "\n".join(body).strip()[:text_cap], files, ";".join(errors)))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in MESSAGES.split(", ")])
-
-
-def parse_messages(raw: DataFrame, text_cap: int = 200_000) -> DataFrame:
-    """(id, content) -> messages."""
-    return raw.select("id", "content").mapInPandas(lambda it: _parse(it, text_cap), MESSAGES)
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _headers(head: Column) -> Column:
+    """Unfolded header lines as (name in lower case, value)."""
+    lines = F.filter(F.split(F.regexp_replace(head, r"\r?\n[ \t]+", " "), r"\r?\n"), lambda x: x.rlike("^[!-9;-~]+:"))
+    return F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("name"), _strip(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("value")))
+
+
+def _values(headers: Column, name: str) -> Column:
+    return F.transform(F.filter(headers, lambda h: h["name"] == name), lambda h: h["value"])
+
+
+def _first(headers: Column, name: str) -> Column:
+    return F.coalesce(F.try_element_at(_values(headers, name), F.lit(1)), F.lit(""))
+
+
+def _cut(entity: Column) -> tuple[Column, Column]:
+    """Header text and body of an entity: the first empty line parts them."""
+    whole = F.split(F.concat(F.lit("\n"), entity), r"\r?\n\r?\n", 2)
+    return whole[0], F.coalesce(F.try_element_at(whole, F.lit(2)), F.lit(""))
+
+
+def _children(entity: Column) -> Column:
+    """The parts of a multipart entity; any other is its own only part."""
+    head, body = _cut(entity)
+    kind = _first(_headers(head), "content-type")
+    boundary = F.coalesce(F.nullif(F.regexp_extract(kind, '(?i)boundary="([^"]+)"', 1), F.lit("")), F.regexp_extract(kind, r"(?i)boundary=([^\s;\"]+)", 1))
+    pieces = F.split(F.concat(F.lit("\n"), body), F.concat(F.lit(r"\r?\n--\Q"), boundary, F.lit(r"\E")))
+    inner = F.transform(F.filter(F.slice(pieces, 2, 1 << 20), lambda p: ~p.startswith("--")), lambda p: F.regexp_replace(p, r"^[^\n]*\n", ""))
+    return F.when(F.lower(kind).startswith("multipart/") & (boundary != ""), inner).otherwise(F.array(entity))
+
+
+def _unquoted(text: Column) -> Column:
+    """Quoted-printable text (or, with underscores made blanks before, an encoded word) as bytes."""
+    pieces = F.split(F.regexp_replace(text, "=[ \\t]*\\r?\\n", ""), "=")
+    plain = lambda x: F.hex(F.encode(x, BYTES))
+    coded = lambda x: F.when(x.rlike("(?s)^[0-9A-Fa-f]{2}"), F.concat(F.substring(x, 1, 2), plain(F.substring(x, 3, 1 << 30)))).otherwise(F.concat(F.lit("3D"), plain(x)))
+    return F.unhex(F.array_join(F.concat(F.array(plain(pieces[0])), F.transform(F.slice(pieces, 2, 1 << 30), coded)), ""))
+
+
+def _unbase64(text: Column) -> Column:
+    return F.try_to_binary(F.regexp_replace(text, "[^A-Za-z0-9+/=]", ""), F.lit("base64"))
+
+
+def _text(data: Column, charset: Column) -> Column:
+    """Bytes as text; what isn't valid becomes a replacement character, an unknown character set counts as UTF-8."""
+    latin = F.decode(data, BYTES)
+    western = F.translate(latin, "".join(chr(b) for b, _ in WINDOWS), "".join(c for _, c in WINDOWS))
+    return F.when(charset.isin(*LATIN), latin).when(charset.isin(*WESTERN), western).otherwise(F.make_valid_utf8(data.cast("string")))
+
+
+def decoded_header(value: Column) -> Column:
+    """Encoded words as text; other bytes are read as UTF-8."""
+    joined = F.regexp_replace(value, r"\?=\s+=\?", "?==?")
+    tokens = F.regexp_extract_all(joined, F.lit(rf"(?s)({WORD}|(?:(?!=\?).)+|.)"), 1)
+    part = lambda t, k: F.regexp_extract(t, f"^{WORD}$", k)
+    data = lambda t: F.when(F.upper(part(t, 2)) == "B", _unbase64(part(t, 3))).otherwise(_unquoted(F.replace(part(t, 3), F.lit("_"), F.lit(" "))))
+    text = F.transform(tokens, lambda t: F.when(t.rlike(f"^{WORD}$"), F.coalesce(_text(data(t), F.lower(part(t, 1))), t)).otherwise(F.make_valid_utf8(F.encode(t, BYTES).cast("string"))))
+    return _strip(F.array_join(text, ""))
+
+
+def _leaf(entity: Column) -> Column:
+    """One part: type, disposition, file name, decoded bytes and text, and what went wrong."""
+    head, body = _cut(entity)
+    headers = _headers(head)
+    kind, disposition = _first(headers, "content-type"), _first(headers, "content-disposition")
+    coding, charset = F.lower(_first(headers, "content-transfer-encoding")), F.lower(F.regexp_extract(kind, r"(?i)charset=\"?([^\s;\"]+)", 1))
+    mime = F.lower(F.regexp_extract(kind, r"^\s*([^\s;]+/[^\s;]+)", 1))
+    data = F.when(coding == "base64", _unbase64(body)).when(coding == "quoted-printable", _unquoted(body)).otherwise(F.encode(body, BYTES))
+    named = F.coalesce(F.nullif(F.regexp_extract(disposition, '(?i)filename="([^"]*)"', 1), F.lit("")), F.nullif(F.regexp_extract(disposition, r"(?i)filename=([^\s;]+)", 1), F.lit("")), F.nullif(F.regexp_extract(kind, '(?i)name="?([^";]*)', 1), F.lit("")), F.lit(""))
+    problem = F.when(data.isNull(), F.concat(F.lit("undecodable part "), mime)).when(mime.startswith("text/") & ~charset.isin(*LATIN, *WESTERN, *UNICODE), F.concat(F.lit("unknown charset '"), charset, F.lit("', fell back to utf-8")))
+    raw = F.coalesce(data, F.encode(body, BYTES))
+    return F.struct(F.when(mime == "", "text/plain").otherwise(mime).alias("mime"), F.lower(disposition).startswith("attachment").alias("attached"), decoded_header(named).alias("name"), raw.alias("data"), _text(raw, charset).alias("text"), problem.alias("problem"))
+
+
+def parse_messages(raw: DataFrame, depth: int = 3, text_cap: int | None = None) -> DataFrame:
+    """(id, content) -> headers, sender, bodies, attachments (name, type, size, sha256, first bytes) and parse_errors.
+
+    ``depth``: levels of nested multiparts.  ``text_cap``: bodies are cut there only if it is given, and the cut is an error
+    entry.  A null or empty content gives empty fields and "no readable body content".
+    """
+    whole = raw.select("id", F.decode(F.coalesce("content", F.lit(b"")), BYTES).alias("whole"))
+    parts = F.array("whole")
+    head, _ = _cut(F.col("whole"))
+    rows = whole.select("id", _headers(head).alias("headers"), parts.alias("parts"))
+    for _ in range(depth):
+        rows = rows.withColumn("parts", F.flatten(F.transform("parts", _children)))
+    rows = rows.select("id", "headers", F.transform("parts", _leaf).alias("parts"))
+    is_file = lambda p: p["attached"] | ((p["name"] != "") & ~p["mime"].isin("text/plain", "text/html"))
+    texts = lambda test: _strip(F.array_join(F.transform(F.filter("parts", lambda p: ~is_file(p) & test(p["mime"])), lambda p: p["text"]), "\n"))
+    files = F.transform(F.filter("parts", is_file), lambda p: F.struct(F.when(p["name"] == "", "unnamed").otherwise(p["name"]).alias("name"), p["mime"].alias("mime"), F.octet_length(p["data"]).alias("size"), F.sha2(p["data"], 256).alias("sha256"), F.hex(F.substring(p["data"], 1, 16)).alias("first_bytes")))
+    sender = _first(F.col("headers"), "from")
+    address = F.lower(F.regexp_extract(sender, r"<?([^\s<>,\"]+@[^\s<>,\"]+)>?", 1))
+    rows = rows.select(
+        "id", decoded_header(_first(F.col("headers"), "subject")).alias("subject"), decoded_header(_strip(F.regexp_extract(sender, r'^\s*"?([^"<]*)"?\s*<', 1))).alias("from_name"), address.alias("from_address"), _first(F.col("headers"), "message-id").alias("message_id"),
+        F.size(_values(F.col("headers"), "received")).alias("n_received"), texts(lambda m: m.startswith("text/") & (m != "text/html")).alias("body"), texts(lambda m: m == "text/html").alias("body_html"), files.alias("attachments"),
+        F.array_compact(F.transform("parts", lambda p: p["problem"])).alias("problems"), (F.size("headers") == 0).alias("bare"),
+    )
+    over = (F.length("body") > text_cap) | (F.length("body_html") > 2 * text_cap) if text_cap else F.lit(False)
+    notes = F.array_compact(F.array(F.when(F.col("bare"), F.lit("no readable headers found")), F.when((F.col("body") == "") & (F.col("body_html") == ""), F.lit("no readable body content")), F.when(over, F.lit("body cut at the limit"))))
+    cut = lambda c, n: F.substring(c, 1, n) if text_cap else F.col(c)
+    return rows.select("id", "subject", "from_name", "from_address", "message_id", "n_received", cut("body", text_cap).alias("body"), cut("body_html", 2 * (text_cap or 0)).alias("body_html"), "attachments", F.array_join(F.concat("problems", notes), ";").alias("parse_errors"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +139,3 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 def reference_map(rows: DataFrame, column: str, value_type: str = "bigint") -> DataFrame:
     """A JSON object in a column as (key, value) rows."""
     return rows.select("*", F.explode(F.from_json(column, f"map<string,{value_type}>"))).withColumnsRenamed({"key": "map_key", "value": "map_value"})
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
