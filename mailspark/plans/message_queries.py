@@ -142,10 +142,15 @@ def pii_mask_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pii_leak_scan(spark: SparkSession, d: str) -> DataFrame:
-    rest = F.regexp_replace(privacy.mask_fixed(F.col("body")), r"[A-Za-z0-9]?\*{2,}[A-Za-z0-9]?@[A-Za-z0-9.\-]+|[A-Z]+-[A-Za-z0-9]*\*+[A-Za-z0-9 \-]*", " ")
-    found = privacy.counts(F.col("rest"))
-    leaks = F.array_compact(F.array(*[F.when(c > 0, F.lit(n)) for n, c in sorted(found.items())]))
-    return view(spark, d, "v_mail").select("msg_id", rest.alias("rest")).select("msg_id", _join(leaks).alias("leaks"))
+    """What the fixed masks leave, and what is left once all masks are on."""
+    m = view(spark, d, "v_mail").select("msg_id", privacy.mask_fixed(F.col("body")).alias("some"))
+    return m.select("msg_id", _join(privacy.leaks(F.col("some"))).alias("leaks"))
+
+
+def pii_leak_scan_full(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds that a fully masked text still shows: none, where masks and scan agree."""
+    m = view(spark, d, "v_mail").select("msg_id", privacy.mask_full(F.col("body")).alias("all"))
+    return m.select("msg_id", _join(privacy.leaks(F.col("all"))).alias("leaks"))
 
 
 def redact_nested(spark: SparkSession, d: str) -> DataFrame:
@@ -402,7 +407,7 @@ def cross_validate(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = """content_hash address_split registrable_domain url_normalise url_extract url_flags url_static_verdict html_strip attachment_flags auth_results received_parse subject_shape
-campaign_fingerprint confusable_skeleton lookalike_brand brand_in_name ip_class infra_indicators domain_age pii_inventory pii_mask pii_mask_full pii_leak_scan redact_nested
+campaign_fingerprint confusable_skeleton lookalike_brand brand_in_name ip_class infra_indicators domain_age pii_inventory pii_mask pii_mask_full pii_leak_scan pii_leak_scan_full redact_nested
 text_obfuscation mail_text_normalise ngram_tokens text_document meta_features structural_features tfidf_fit tfidf_transform anchor_similarity bigram_lm_fit bigram_perplexity
 sentence_burstiness ai_text_score spearphish_score rule_signals takedown_draft stratified_split stratified_kfold corpus_class_report corpus_stats corpus_union exact_dedupe
 train_test_leakage near_dup_pairs near_dup_keep feature_means shap_top_features batch_predict classification_metrics confusion_matrix roc_auc_ovr train_logreg calibrate_isotonic cross_validate""".split()
