@@ -37,7 +37,7 @@ def vectorised(docs: DataFrame, max_features: int = 50_000, n: int = 3) -> DataF
     own = docs.select("id", "label", F.array(*[c for _, c in text.structural(F.col("text")).items()]).alias("own"))
     size = max_features + len(names)
 
-    @F.udf(VectorUDT())
+    @F.udf(VectorUDT(), useArrow=False)
     def vector(found: list, more: list) -> SparseVector:
         pairs = [(x["place"], x["w"]) for x in found or []] + [(max_features + i, v) for i, v in enumerate(more) if v]
         return SparseVector(size, [p for p, _ in pairs], [v for _, v in pairs])
@@ -100,7 +100,7 @@ def metrics(rows: DataFrame) -> DataFrame:
 
 
 def auc(scores: DataFrame, ranges: int = 64) -> DataFrame:
-    """scores (class, score, positive) -> (class, auc): area under the ROC curve with ties.
+    """scores (class, score, positive) -> (class, auc): area under the ROC curve with ties; null for a class with one kind of rows.
 
     Equal scores are summed first; the running sum is taken within ranges of scores (cut at sampled quantiles) and
     shifted by the sums of the ranges before, a table of ``ranges`` rows a class.
@@ -112,7 +112,7 @@ def auc(scores: DataFrame, ranges: int = 64) -> DataFrame:
     before = sums.select("class", "r", (F.sum("n").over(W.partitionBy("class").orderBy("r")) - F.col("n")).alias("before"))
     below = F.col("before") + F.sum("neg").over(W.partitionBy("class", "r").orderBy("score")) - F.col("neg")
     each = cut.join(F.broadcast(before), ["class", "r"]).select("class", "pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
-    return each.groupBy("class").agg((F.sum("wins") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return each.groupBy("class").agg(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def macro_auc(scores: DataFrame) -> DataFrame:

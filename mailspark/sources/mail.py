@@ -19,7 +19,7 @@ LATIN, WESTERN, UNICODE = ("iso-8859-1", "latin-1", "latin1"), ("windows-1252",
 
 
 def read_raw(spark: SparkSession, folder: str, pattern: str = "*.eml") -> DataFrame:
-    """Files below a folder with size and digest; contents stay binary."""
+    """Files below a folder with size and digest; contents stay binary (Spark skips files of no bytes)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
     return files.select("path", "modificationTime", "length", F.sha2("content", 256).alias("sha256"), "content")
 

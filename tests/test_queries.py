@@ -5,7 +5,7 @@ from tests.oracle import same
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = registry.oracle_sql()
-#: Slow at any size, or without a twin: covered by their own tests.
+#: Without a twin, and covered by their own tests in test_models.py.
 SKIP = {"cross_validate", "calibrate_isotonic", "train_logreg"}
 
 

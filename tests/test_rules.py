@@ -75,7 +75,8 @@ def test_functions(spark):
     assert one(spark, network.ip_class(F.lit("203.0.113.9"))) == "documentation" and one(spark, network.ip_class(F.lit("::1"))) == "loopback"
     assert one(spark, headers.domain_age_days(F.lit("1970-01-02"), 86400 * 11)) == 10
     assert one(spark, sinks.uuid5(F.lit("url:http://x"))) == str(uuid.uuid5(uuid.UUID("00abedb4-aa42-466c-9c01-fed23315a9b7"), "url:http://x"))
-    assert privacy.mask_one("priya.sharma@acme.co.in") == "p**********a@acme.co.in"
+    masked = privacy.mask_one("priya.sharma@acme.co.in")
+    assert masked == f"p**********a@acme.co.in [#{privacy.tag('Priya.Sharma@acme.co.in ')}]" and len(privacy.tag("x")) == 6
     assert "4242424242424242" not in privacy.mask_one("card 4242424242424242")
 
 
