@@ -167,15 +167,17 @@ ARCHIVE = [
 ]
 PII = {
     "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
-    "card": r"(?:^|\D)((?:\d[ \-]?){13,19})(?:$|\D)",
-    "aadhaar": r"(?:^|\D)(\d{4}[\s\-]?\d{4}[\s\-]?\d{4})(?:$|\D)",
+    "card": r"(?:\d[ \-]?){13,19}",
+    "aadhaar": r"\d{4}[\s\-]?\d{4}[\s\-]?\d{4}",
     "gstin": r"\b\d{2}[A-Z]{5}\d{4}[A-Z]\d[A-Z\d]Z[A-Z\d]\b",
     "pan": r"\b[A-Z]{5}\d{4}[A-Z]\b",
     "ifsc": r"\b[A-Z]{4}0[A-Z0-9]{6}\b",
     "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b",
     "upi": r"\b[\w.\-]{3,}@(?:okaxis|oksbi|okhdfcbank|okicici|ybl|paytm|upi|axl)\b",
-    "phone": r"(?:^|\D)((?:\+?\d{1,3}[\s\-]?)?(?:\d[\s\-]?){9,13}\d)(?:$|\D)",
+    "phone": r"(?:\+?\d{1,3}[\s\-]?)?(?:\d[\s\-]?){9,13}\d",
 }
+#: Those of them that no digit may touch on either side.
+PII_ALONE = ("card", "aadhaar", "phone")
 MASKED = r"(?:[A-Z]+-)?[A-Za-z0-9._%+\-]*\*{2,}[A-Za-z0-9._%+\-]*(?:@[A-Za-z0-9.\-]+)?(?:\s*\[#[0-9a-f]{6}\])?|\[#[0-9a-f]{6}\]"
 ABUSED_TLDS = [
     "zip", "mov", "top", "xyz", "gq", "cf", "tk", "ml", "buzz", "click", "link", "work", "support", "review", "country", "kim", "loan", "rest", "cam", "quest",

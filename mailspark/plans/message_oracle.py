@@ -110,8 +110,16 @@ ATT = f"""t0 AS (SELECT msg_id, attachment, {_EXT} AS extension, {_MAGIC} AS det
 _CAPS = lambda x: rf"CASE WHEN length(regexp_replace({x}, '\P{{L}}', '', 'g')) >= 8 THEN length(regexp_replace({x}, '\P{{Lu}}', '', 'g')) / length(regexp_replace({x}, '\P{{L}}', '', 'g')) ELSE 0e0 END"
 _MASK = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '\b([A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]*@([A-Za-z0-9.\-]+\.[A-Za-z]{2,})\b', '\1***@\2', 'g'),
   '\b\d(?:[ \-]?\d){8,14}([ \-]?\d[ \-]?\d[ \-]?\d[ \-]?\d)\b', 'NUMBER-********\1', 'g'), '\b(\d{2})[A-Z]{5}\d{4}[A-Z]\d[A-Z\d]Z([A-Z\d])\b', 'GSTIN-\1***********\2', 'g'), '\b([A-Z]{2})[A-Z]{3}\d{4}([A-Z])\b', 'PAN-\1******\2', 'g'), '\b([A-Z]{4})0[A-Z0-9]{6}\b', 'IFSC-\1*******', 'g')"""
-_TWICE = lambda x: rf"regexp_replace({x}, '([^0-9A-Za-z@._%+\- ])', '\1\1', 'g')"
-_COUNT = lambda x, p: f"len(regexp_extract_all({_TWICE(x) if p.startswith('(?:^|') else x}, {q(p)}))"
+_COUNT = lambda x, p: f"len(regexp_extract_all({x}, {q(p)}))"
+_MARK = lambda x, p: rf"regexp_replace({x}, '(^|\D){p}($|\D)', '\1' || chr(1) || '\2', 'g')"
+
+
+def pii_count(x: str, kind: str) -> str:
+    """Matches; those that no digit may touch are marked in two passes, since two neighbours share the character between them."""
+    p = E.PII[kind]
+    return f"(length({_MARK(_MARK(x, p), p)}) - length(replace({_MARK(_MARK(x, p), p)}, chr(1), '')))" if kind in E.PII_ALONE else _COUNT(x, p)
+
+
 _HAS = lambda n: f"regexp_matches(lower(body), {q(E.PATTERNS[n])})"
 _STRUCT = {
     "feat_suspicious_attachment_ext": f"{_HAS('risky_extension')} OR {_HAS('payload_context')}", "feat_enable_macro_content": _HAS("enable_macro"), "feat_url_shortener": _HAS("shortener"), "feat_financial_iban_swift_routing": _HAS("financial"),
@@ -248,10 +256,10 @@ SQL = {
       ['private', 'private', 'private', 'loopback', 'link-local', 'cgnat', 'documentation', 'documentation', 'global', 'invalid'][s_suppkey % 10 + 1] AS class FROM supplier""",
     "infra_indicators": f"SELECT p_partkey, array_to_string({_INFRA}, ';') AS notes FROM v_relays",
     "domain_age": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 6 THEN greatest(0, (1041379200 - (epoch_us(o_orderdate) // 1000000)) // 86400) END AS age_days FROM orders""",
-    "pii_inventory": "SELECT msg_id, " + ", ".join(f"{_COUNT('body', p)} AS {n}" for n, p in E.PII.items()) + " FROM v_mail",
+    "pii_inventory": "SELECT msg_id, " + ", ".join(f"{pii_count('body', n)} AS {n}" for n in E.PII) + " FROM v_mail",
     "pii_mask": f"SELECT msg_id, sha256({_MASK}) AS masked_sha256 FROM v_mail",
     "pii_leak_scan": rf"""WITH r AS (SELECT msg_id, regexp_replace({_MASK}, {q(E.MASKED)}, ' ', 'g') AS rest FROM v_mail)
-      SELECT msg_id, array_to_string(list_filter([{', '.join(f"CASE WHEN {_COUNT('rest', p)} > 0 THEN '{n}' END" for n, p in sorted(E.PII.items()))}], lambda z: z IS NOT NULL), ';') AS leaks FROM r""",
+      SELECT msg_id, array_to_string(list_filter([{', '.join(f"CASE WHEN {pii_count('rest', n)} > 0 THEN '{n}' END" for n in sorted(E.PII))}], lambda z: z IS NOT NULL), ';') AS leaks FROM r""",
     "pii_leak_scan_full": "SELECT msg_id, '' AS leaks FROM v_mail",
     "redact_nested": f"SELECT msg_id, '***' AS display_name, sha256({_MASK}) AS text_sha256, sha256(body) AS digest, {_MASK.replace('body', 'subject')} AS line FROM v_mail",
     "text_obfuscation": f"""WITH x AS (SELECT page_id, html, {squeeze(strip('html'))} AS vis, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM v_html)
