@@ -137,8 +137,11 @@ SQL = {
       SELECT case_id, count(*) AS entries, min(idx) FILTER (NOT good) AS first_broken, arg_max(entry_hash, idx) AS head FROM ck GROUP BY 1""",
     "queue_sorted_page": "SELECT case_id, risk FROM v_cases ORDER BY risk DESC, case_id LIMIT 40 OFFSET 20",
     "relate_cases": f"WITH {_PAIRS} SELECT a, b, w100 FROM rl",
-    "case_clusters": f"""WITH {_PAIRS}, bo AS (SELECT a, b, w100 FROM rl UNION ALL SELECT b, a, w100 FROM rl), n AS (SELECT a, list(b ORDER BY w100 DESC, created_s, b) AS near FROM bo JOIN v_cases AS c ON c.case_id = bo.b GROUP BY 1)
-      SELECT a AS case_id, 'cl-' || substr(sha256(array_to_string(list_sort(list_transform(list_append(near, a), lambda x: CAST(x AS VARCHAR))), '|')), 1, 16) AS cluster_id, CAST(len(near) + 1 AS BIGINT) AS cluster_size, array_to_string(near[1:10], ',') AS related FROM n""",
+    "case_clusters": f"""WITH {_PAIRS}, bo AS (SELECT a, b, w100 FROM rl UNION ALL SELECT b, a, w100 FROM rl), da AS (SELECT a, b, w100, created_s, verdict, substr(subject, 1, 120) AS subject, row_number() OVER (PARTITION BY a ORDER BY w100 DESC, created_s, b) AS nth FROM bo JOIN v_cases AS c ON c.case_id = bo.b),
+      n AS (SELECT a, list(b ORDER BY nth) AS near, string_agg(b || '|' || verdict || '|' || subject, ';' ORDER BY nth) FILTER (nth <= 10) AS summaries FROM da GROUP BY 1),
+      ki AS (SELECT da.a, x.kind, x.value, min(nth) AS nth, any_value(list_position(['attachment', 'sender', 'url_host', 'ip', 'domain', 'subject_shape', 'asn'], x.kind)) AS k FROM da JOIN v_links AS x ON x.case_id = da.a JOIN v_links AS y ON y.case_id = da.b AND y.kind = x.kind AND y.value = x.value GROUP BY ALL),
+      sh AS (SELECT a, string_agg(kind || ':' || value, ',' ORDER BY r) AS shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY nth, k, value) AS r FROM ki) WHERE r <= 12 GROUP BY 1)
+      SELECT a AS case_id, 'cl-' || substr(sha256(array_to_string(list_sort(list_transform(list_append(near, a), lambda x: CAST(x AS VARCHAR))), '|')), 1, 16) AS cluster_id, CAST(len(near) + 1 AS BIGINT) AS cluster_size, array_to_string(near[1:10], ',') AS related, summaries, shared FROM n JOIN sh USING (a)""",
     "artefact_intersect": f"""WITH {_PAIRS} SELECT a, b, kind, array_to_string(list_sort(list(value))[1:3], ',') AS shared FROM (SELECT rl.a, rl.b, x.kind, x.value FROM rl JOIN v_links AS x ON x.case_id = rl.a JOIN v_links AS y ON y.case_id = rl.b AND y.kind = x.kind AND y.value = x.value WHERE w100 >= 80) GROUP BY ALL""",
     "case_upsert": "SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'benign' ELSE verdict END AS verdict, risk, CAST(CASE WHEN case_id % 3 <> 0 THEN 0 WHEN case_id % 2 = 0 THEN 2 ELSE 1 END AS INT) AS version FROM v_cases",
     "graph_nodes": "SELECT kind || ':' || value AS id, kind, count(*) AS weight FROM v_links GROUP BY ALL UNION ALL SELECT 'case:' || case_id, 'case', count(*) FROM v_links GROUP BY ALL",

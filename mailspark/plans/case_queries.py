@@ -232,7 +232,7 @@ def relate_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def case_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return links.clusters(links.relate(view(spark, d, "v_links")), view(spark, d, "v_cases"))
+    return links.clusters(view(spark, d, "v_links"), view(spark, d, "v_cases"))
 
 
 def artefact_intersect(spark: SparkSession, d: str) -> DataFrame:

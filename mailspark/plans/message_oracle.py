@@ -264,7 +264,7 @@ SQL = {
     "redact_nested": f"SELECT msg_id, '***' AS display_name, sha256({_MASK}) AS text_sha256, sha256(body) AS digest, {_MASK.replace('body', 'subject')} AS line FROM v_mail",
     "text_obfuscation": f"""WITH x AS (SELECT page_id, html, {squeeze(strip('html'))} AS vis, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM v_html)
       SELECT page_id, round({_CAPS('title')}, 6) AS caps_ratio, {_COUNT('html', E.HIDDEN)} AS hidden, length(html) > 400 AND length(vis) < 40 AS image_only FROM x""",
-    "mail_text_normalise": f"""WITH x AS (SELECT page_id, substr({squeeze("concat_ws(' ', url, " + strip("coalesce(html, '')") + ", '[Attachment: ' || page_id || '.pdf]')")}, 1, 4000) AS t FROM pages) SELECT page_id, sha256(t) AS text_sha256, length(t) AS chars FROM x WHERE length(t) > 30""",
+    "mail_text_normalise": f"""WITH x AS (SELECT page_id, {squeeze("concat_ws(' ', url, " + strip("coalesce(html, '')") + ", '[Attachment: ' || page_id || '.pdf]')")} AS t FROM pages) SELECT page_id, sha256(t) AS text_sha256, length(t) AS chars FROM x WHERE length(t) > 30""",
     "ngram_tokens": f"WITH y AS MATERIALIZED (SELECT msg_id, {words('body')} AS w FROM v_mail), x AS (SELECT msg_id, {grams(2)} AS t FROM y) SELECT msg_id, len(t) AS n, sha256(array_to_string(t, '|')) AS tokens_sha256 FROM x",
     "text_document": "SELECT msg_id, sha256(array_to_string(list_filter([subject, from_name, from_domain, body, attachment], lambda z: z <> ''), chr(10))) AS document_sha256 FROM v_mail",
     "meta_features": META,

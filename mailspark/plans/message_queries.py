@@ -169,7 +169,7 @@ def text_obfuscation(spark: SparkSession, d: str) -> DataFrame:
 def mail_text_normalise(spark: SparkSession, d: str) -> DataFrame:
     p = given(spark, d, "pages")
     body = text.squeeze(F.concat_ws(" ", "url", text.strip_html(F.col("html")), F.concat(F.lit("[Attachment: "), F.col("page_id").cast("string"), F.lit(".pdf]"))))
-    return p.select("page_id", F.substring(body, 1, 4000).alias("text")).where("length(text) > 30").select("page_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("bigint").alias("chars"))
+    return p.select("page_id", body.alias("text")).where("length(text) > 30").select("page_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("bigint").alias("chars"))
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
