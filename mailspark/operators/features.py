@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailspark.functions.text import anchor_words, ngrams, strip, tokens
+from mailspark.sources.shared import saved
 
 
 def term_counts(docs: DataFrame, n: int, id_col: str = "id", text_col: str = "text", words: Callable[[Column], Column] = tokens) -> DataFrame:
@@ -62,10 +63,16 @@ def anchor_vectors(spark: SparkSession, anchors: dict[str, str]) -> DataFrame:
 def anchor_similarity(docs: DataFrame, anchors: dict[str, str]) -> DataFrame:
     """docs (id, text) -> (id, a similarity for each anchor): cosines, a text's norm taken over the anchors' terms.
 
-    Only terms of the anchors leave the join; ids without one have no row.
+    Only words of the anchors leave the first join; ids without one have no row.
     """
-    vectors = F.broadcast(anchor_vectors(docs.sparkSession, anchors))
-    counted = _anchor_terms(docs.where(F.length(strip(F.col("text"))) >= 5)).join(vectors, "term").groupBy("id", "term").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("idf", *anchors)])
+    vectors = saved(anchor_vectors(docs.sparkSession, anchors), "anchors")
+    # Both words of a pair are terms themselves, so only words that are terms are looked at.
+    known = F.broadcast(vectors.where(~F.col("term").contains(" ")).select(F.col("term").alias("word")))
+    words = docs.where(F.length(strip(F.col("text"))) >= 5).select("id", F.posexplode(anchor_words(F.col("text"))).alias("at", "word")).join(known, "word", "left_semi")
+    after = F.lead(F.struct("at", "word")).over(W.partitionBy("id").orderBy("at"))
+    paired = words.select("id", "at", "word", after.alias("next"))
+    terms = paired.select("id", F.explode(F.array_compact(F.array("word", F.when(F.col("next.at") == F.col("at") + 1, F.concat_ws(" ", "word", "next.word"))))).alias("term"))
+    counted = terms.join(F.broadcast(vectors), "term").groupBy("id", "term").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("idf", *anchors)])
     d = (1 + F.log("c")) * F.col("idf")
     sums = counted.groupBy("id").agg(F.sqrt(F.sum(d * d)).alias("norm"), *[F.sum(d * F.col(a)).alias(a) for a in anchors])
     return sums.select("id", *[F.round(F.col(a) / F.col("norm"), 6).alias(a) for a in anchors])

@@ -42,27 +42,35 @@ def _first(headers: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(_values(headers, name), F.lit(1)), F.lit(""))
 
 
-def _cut(entity: Column) -> tuple[Column, Column]:
+def _pair(entity: Column) -> Column:
     """Header text and body of an entity: the first empty line parts them."""
-    whole = F.split(F.concat(F.lit("\n"), entity), r"\r?\n\r?\n", 2)
-    return whole[0], F.coalesce(F.try_element_at(whole, F.lit(2)), F.lit(""))
+    return F.split(F.concat(F.lit("\n"), entity), r"\r?\n\r?\n", 2)
 
 
-def _children(entity: Column) -> Column:
-    """The parts of a multipart entity; any other is its own only part."""
-    head, body = _cut(entity)
-    kind = _first(_headers(head), "content-type")
-    boundary = F.coalesce(F.nullif(F.regexp_extract(kind, '(?i)boundary="([^"]+)"', 1), F.lit("")), F.regexp_extract(kind, r"(?i)boundary=([^\s;\"]+)", 1))
-    pieces = F.split(F.concat(F.lit("\n"), body), F.concat(F.lit(r"\r?\n--\Q"), boundary, F.lit(r"\E")))
-    inner = F.transform(F.filter(F.slice(pieces, 2, 1 << 20), lambda p: ~p.startswith("--")), lambda p: F.regexp_replace(p, r"^[^\n]*\n", ""))
-    return F.when(F.lower(kind).startswith("multipart/") & (boundary != ""), inner).otherwise(F.array(entity))
+def _kind(pair: Column) -> Column:
+    return _first(_headers(pair[0]), "content-type")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """One level of multiparts: each entity of ``parts`` is replaced by its parts; any other is its own only part.
+
+    Made in steps, so that an entity is cut once.
+    """
+    rows = rows.withColumn("parts", F.transform("parts", lambda e: F.struct(e.alias("entity"), F.when(e.rlike(r"(?i)content-type:\s*multipart/"), _pair(e)).alias("pair"))))
+    rows = rows.withColumn("parts", F.transform("parts", lambda p: p.withField("kind", F.when(p["pair"].isNotNull(), _kind(p["pair"])))))
+    quoted, bare = lambda k: F.regexp_extract(k, '(?i)boundary="([^"]+)"', 1), lambda k: F.regexp_extract(k, r"(?i)boundary=([^\s;\"]+)", 1)
+    mark = lambda k: F.when(F.lower(k).startswith("multipart/"), F.coalesce(F.nullif(quoted(k), F.lit("")), F.nullif(bare(k), F.lit(""))))
+    rows = rows.withColumn("parts", F.transform("parts", lambda p: F.struct(p["entity"].alias("entity"), p["pair"].alias("pair"), mark(p["kind"]).alias("mark"))))
+    pieces = lambda p: F.split(F.concat(F.lit("\n"), F.coalesce(F.try_element_at(p["pair"], F.lit(2)), F.lit(""))), F.concat(F.lit(r"\r?\n--\Q"), p["mark"], F.lit(r"\E")))
+    inner = lambda p: F.transform(F.filter(F.slice(pieces(p), 2, 1 << 20), lambda x: ~x.startswith("--")), lambda x: F.regexp_replace(x, r"^[^\n]*\n", ""))
+    return rows.withColumn("parts", F.flatten(F.transform("parts", lambda p: F.when(p["mark"].isNotNull(), inner(p)).otherwise(F.array(p["entity"])))))
 
 
 def _unquoted(text: Column) -> Column:
     """Quoted-printable text (or, with underscores made blanks before, an encoded word) as bytes."""
     pieces = F.split(F.regexp_replace(text, "=[ \\t]*\\r?\\n", ""), "=")
     plain = lambda x: F.hex(F.encode(x, BYTES))
-    coded = lambda x: F.when(x.rlike("(?s)^[0-9A-Fa-f]{2}"), F.concat(F.substring(x, 1, 2), plain(F.substring(x, 3, 1 << 30)))).otherwise(F.concat(F.lit("3D"), plain(x)))
+    coded = lambda x: F.when(x.rlike("^[0-9A-Fa-f]{2}$"), x).when(x.rlike("(?s)^[0-9A-Fa-f]{2}"), F.concat(F.substring(x, 1, 2), plain(F.substring(x, 3, 1 << 30)))).otherwise(F.concat(F.lit("3D"), plain(x)))
     return F.unhex(F.array_join(F.concat(F.array(plain(pieces[0])), F.transform(F.slice(pieces, 2, 1 << 30), coded)), ""))
 
 
@@ -87,18 +95,25 @@ def decoded_header(value: Column) -> Column:
     return _strip(F.array_join(text, ""))
 
 
-def _leaf(entity: Column) -> Column:
-    """One part: type, disposition, file name, decoded bytes and text, and what went wrong."""
-    head, body = _cut(entity)
-    headers = _headers(head)
-    kind, disposition = _first(headers, "content-type"), _first(headers, "content-disposition")
-    coding, charset = F.lower(_first(headers, "content-transfer-encoding")), F.lower(F.regexp_extract(kind, r"(?i)charset=\"?([^\s;\"]+)", 1))
-    mime = F.lower(F.regexp_extract(kind, r"^\s*([^\s;]+/[^\s;]+)", 1))
-    data = F.when(coding == "base64", _unbase64(body)).when(coding == "quoted-printable", _unquoted(body)).otherwise(F.encode(body, BYTES))
-    named = F.coalesce(F.nullif(F.regexp_extract(disposition, '(?i)filename="([^"]*)"', 1), F.lit("")), F.nullif(F.regexp_extract(disposition, r"(?i)filename=([^\s;]+)", 1), F.lit("")), F.nullif(F.regexp_extract(kind, '(?i)name="?([^";]*)', 1), F.lit("")), F.lit(""))
-    problem = F.when(data.isNull(), F.concat(F.lit("undecodable part "), mime)).when(mime.startswith("text/") & ~charset.isin(*LATIN, *WESTERN, *UNICODE), F.concat(F.lit("unknown charset '"), charset, F.lit("', fell back to utf-8")))
-    raw = F.coalesce(data, F.encode(body, BYTES))
-    return F.struct(F.when(mime == "", "text/plain").otherwise(mime).alias("mime"), F.lower(disposition).startswith("attachment").alias("attached"), decoded_header(named).alias("name"), raw.alias("data"), _text(raw, charset).alias("text"), problem.alias("problem"))
+def _leaves(rows: DataFrame) -> DataFrame:
+    """Each part's type, disposition, file name, decoded bytes and text, and what went wrong; in steps, each from the one before."""
+    step = lambda rows, make: rows.withColumn("parts", F.transform("parts", make))
+    rows = step(rows, _pair)
+    rows = step(rows, lambda p: F.struct(_headers(p[0]).alias("headers"), F.coalesce(F.try_element_at(p, F.lit(2)), F.lit("")).alias("body")))
+    rows = step(rows, lambda p: F.struct(p["body"].alias("body"), _first(p["headers"], "content-type").alias("kind"), _first(p["headers"], "content-disposition").alias("disposition"), F.lower(_first(p["headers"], "content-transfer-encoding")).alias("coding")))
+    mime = lambda kind: F.coalesce(F.nullif(F.lower(F.regexp_extract(kind, r"^\s*([^\s;]+/[^\s;]+)", 1)), F.lit("")), F.lit("text/plain"))
+    data = lambda p: F.when(p["coding"] == "base64", _unbase64(p["body"])).when(p["coding"] == "quoted-printable", _unquoted(p["body"])).otherwise(F.encode(p["body"], BYTES))
+    found = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    named = lambda p: F.coalesce(found(p["disposition"], '(?i)filename="([^"]*)"'), found(p["disposition"], r"(?i)filename=([^\s;]+)"), found(p["kind"], '(?i)name="?([^";]*)'), F.lit(""))
+    rows = step(rows, lambda p: F.struct(
+        p["body"].alias("body"), mime(p["kind"]).alias("mime"), F.lower(F.regexp_extract(p["kind"], r"(?i)charset=\"?([^\s;\"]+)", 1)).alias("charset"), F.lower(p["disposition"]).startswith("attachment").alias("attached"), named(p).alias("name"), data(p).alias("data")
+    ))
+    known = lambda c: c.isin(*LATIN, *WESTERN, *UNICODE)
+    problem = lambda p: F.when(p["data"].isNull(), F.concat(F.lit("undecodable part "), p["mime"])).when(p["mime"].startswith("text/") & ~known(p["charset"]), F.concat(F.lit("unknown charset '"), p["charset"], F.lit("', fell back to utf-8")))
+    raw = lambda p: F.coalesce(p["data"], F.encode(p["body"], BYTES))
+    rows = step(rows, lambda p: F.struct(p["mime"].alias("mime"), p["charset"].alias("charset"), p["attached"].alias("attached"), F.when(p["name"] != "", decoded_header(p["name"])).otherwise("").alias("name"), raw(p).alias("data"), problem(p).alias("problem")))
+    is_file = lambda p: p["attached"] | ((p["name"] != "") & ~p["mime"].isin("text/plain", "text/html"))
+    return step(rows, lambda p: F.struct(*[p[n].alias(n) for n in ("mime", "name", "data", "problem")], is_file(p).alias("is_file"), F.when(~is_file(p) & p["mime"].startswith("text/"), _text(p["data"], p["charset"])).alias("text")))
 
 
 def parse_messages(raw: DataFrame, depth: int = 3, text_cap: int | None = None) -> DataFrame:
@@ -108,15 +123,12 @@ def parse_messages(raw: DataFrame, depth: int = 3, text_cap: int | None = None)
     entry.  A null or empty content gives empty fields and "no readable body content".
     """
     whole = raw.select("id", F.decode(F.coalesce("content", F.lit(b"")), BYTES).alias("whole"))
-    parts = F.array("whole")
-    head, _ = _cut(F.col("whole"))
-    rows = whole.select("id", _headers(head).alias("headers"), parts.alias("parts"))
+    rows = whole.select("id", _headers(_pair(F.col("whole"))[0]).alias("headers"), F.array("whole").alias("parts"))
     for _ in range(depth):
-        rows = rows.withColumn("parts", F.flatten(F.transform("parts", _children)))
-    rows = rows.select("id", "headers", F.transform("parts", _leaf).alias("parts"))
-    is_file = lambda p: p["attached"] | ((p["name"] != "") & ~p["mime"].isin("text/plain", "text/html"))
-    texts = lambda test: _strip(F.array_join(F.transform(F.filter("parts", lambda p: ~is_file(p) & test(p["mime"])), lambda p: p["text"]), "\n"))
-    files = F.transform(F.filter("parts", is_file), lambda p: F.struct(F.when(p["name"] == "", "unnamed").otherwise(p["name"]).alias("name"), p["mime"].alias("mime"), F.octet_length(p["data"]).alias("size"), F.sha2(p["data"], 256).alias("sha256"), F.hex(F.substring(p["data"], 1, 16)).alias("first_bytes")))
+        rows = _open(rows)
+    rows = _leaves(rows)
+    texts = lambda test: _strip(F.array_join(F.transform(F.filter("parts", lambda p: p["text"].isNotNull() & test(p["mime"])), lambda p: p["text"]), "\n"))
+    files = F.transform(F.filter("parts", lambda p: p["is_file"]), lambda p: F.struct(F.when(p["name"] == "", "unnamed").otherwise(p["name"]).alias("name"), p["mime"].alias("mime"), F.octet_length(p["data"]).alias("size"), F.sha2(p["data"], 256).alias("sha256"), F.hex(F.substring(p["data"], 1, 16)).alias("first_bytes")))
     sender = _first(F.col("headers"), "from")
     address = F.lower(F.regexp_extract(sender, r"<?([^\s<>,\"]+@[^\s<>,\"]+)>?", 1))
     rows = rows.select(
