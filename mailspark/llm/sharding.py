@@ -21,6 +21,9 @@ third of all rows is 24 counts after the map side.  Ranks come from windows
 inside small buckets (hot keys are dealt over sub-buckets) plus the running
 sum of bucket sizes, a table of bounded length.
 
+Texts are linked by a 64-bit hash: should two share one, they would only be
+placed together.  Texts may be of any length.
+
 Law: ``rows``, shard sizes differ by one row at most.  Defined results: a null
 text has 0 bytes, checksum 0 and the key of the empty text; null ids are
 documents like others; repeated rows each take a slot; an empty table gives an
