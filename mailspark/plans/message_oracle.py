@@ -281,6 +281,8 @@ SQL = {
     "spearphish_score": f"""WITH p AS (SELECT msg_id, CASE WHEN msg_id % 3 IN (0, 1) THEN 35 * ({_SP('framing')} AND {_SP('link')})::INT + 25 * {_SP('authority')}::INT + 20 * {_SP('soft_urgency')}::INT + 30 * ({_SP('internal')} AND ({_SP('credential_ask')} OR {_SP('financial_ask')}))::INT
       + CASE WHEN {_STY} >= 2 THEN 15 * ({_STY}) ELSE 0 END ELSE 0 END AS p FROM v_mail) SELECT msg_id, least(p, 100) / 100e0 AS score, CAST(CASE WHEN p >= 45 THEN 2 ELSE msg_id % 3 END AS INT) AS upgraded_class FROM p""",
     "rule_signals": RULES,
+    "message_risk": f"""SELECT msg_id, risk, CASE WHEN risk >= 85 THEN 'critical' WHEN risk >= 65 THEN 'high' WHEN risk >= 40 THEN 'medium' WHEN risk >= 15 THEN 'low' ELSE 'clean' END AS level
+      FROM (SELECT msg_id, round(least(99.9e0, greatest(0.1e0, 100 / (1 + exp(-(sum(w100) - 260) / 100e0)))), 1) AS risk FROM ({RULES}) GROUP BY 1)""",
     "takedown_draft": f"""WITH {U}, t AS (SELECT page_id, {reg('host')} AS target FROM uh) SELECT page_id, target, CASE WHEN page_id % 4 = 0 THEN 'registrar' || page_id % 9 || '@abuse.example' ELSE 'abuse@' || target END AS abuse_contact, 'Phishing abuse report - ' || target || ' - case ' || page_id AS subject FROM t""",
     "stratified_split": f"WITH {LAB} SELECT id, label, CASE WHEN r <= floor(k * 0.8e0) THEN 'train' ELSE 'test' END AS split FROM rn",
     "stratified_kfold": f"WITH {LAB} SELECT id, label, CAST((r - 1) % 5 AS INT) AS fold FROM rn",

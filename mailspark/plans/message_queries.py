@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailspark.functions import headers, network, privacy, text, urls
-from mailspark.operators import corpus, features, models, signals
+from mailspark.operators import corpus, features, models, scoring, signals
 from mailspark.plans.adapters import given, view
 
 NOW_S = 1_041_379_200
@@ -265,6 +265,13 @@ def rule_signals(spark: SparkSession, d: str) -> DataFrame:
     return signals.message_signals(parsed(spark, d))
 
 
+def message_risk(spark: SparkSession, d: str) -> DataFrame:
+    """From parsed mail to a score: all checks of a message, combined in log-odds space."""
+    found = signals.message_signals(parsed(spark, d))
+    rows = found.select(F.col("msg_id").alias("case_id"), "signal_id", "w100", F.lit("heuristic").alias("category"), F.lit(True).alias("triggered"), F.lit(0).alias("pos"))
+    return scoring.score(rows).select(F.col("case_id").alias("msg_id"), "risk", "level")
+
+
 def takedown_draft(spark: SparkSession, d: str) -> DataFrame:
     u = urls.normalise(F.col("url"))
     target = urls.registrable(urls.host(u))
@@ -409,7 +416,7 @@ def cross_validate(spark: SparkSession, d: str) -> DataFrame:
 NAMES = """content_hash address_split registrable_domain url_normalise url_extract url_flags url_static_verdict html_strip attachment_flags auth_results received_parse subject_shape
 campaign_fingerprint confusable_skeleton lookalike_brand brand_in_name ip_class infra_indicators domain_age pii_inventory pii_mask pii_mask_full pii_leak_scan pii_leak_scan_full redact_nested
 text_obfuscation mail_text_normalise ngram_tokens text_document meta_features structural_features tfidf_fit tfidf_transform anchor_similarity bigram_lm_fit bigram_perplexity
-sentence_burstiness ai_text_score spearphish_score rule_signals takedown_draft stratified_split stratified_kfold corpus_class_report corpus_stats corpus_union exact_dedupe
+sentence_burstiness ai_text_score spearphish_score rule_signals message_risk takedown_draft stratified_split stratified_kfold corpus_class_report corpus_stats corpus_union exact_dedupe
 train_test_leakage near_dup_pairs near_dup_keep feature_means shap_top_features batch_predict classification_metrics confusion_matrix roc_auc_ovr train_logreg calibrate_isotonic cross_validate""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}
