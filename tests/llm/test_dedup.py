@@ -64,6 +64,29 @@ def test_near(spark):
     assert minhash_dedup.keep_one(docs(spark, [(1, "a b"), (1, "a b"), (2, "a b"), (3, None)])).count() == 2
 
 
+def test_near_query_on_documents(spark):
+    """The query's rows against an exact join of all shingle sets: no link is lost or made up."""
+    folder = "/root/testdata/sf0.01"
+    sets = {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    holders, shared = {}, Counter()
+    for i in sorted(sets):
+        for x in sets[i]:
+            for j in holders.setdefault(x, []):
+                shared[j, i] += 1
+            holders[x].append(i)
+    component = {i: i for i in sets}
+    find = lambda i: i if component[i] == i else find(component[i])
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in links:
+        one, two = find(a), find(b)
+        component[max(one, two)] = min(one, two)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op9_minhash_dedup(spark, folder).collect()}
+    assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in sets} and len(links) > 50
+
+
 def test_bayes_bounds_rise():
     least = minhash_dedup.least_matches(0.85, 1e-9)
     assert least == sorted(least) and least[-1] < 0.85 * 128
