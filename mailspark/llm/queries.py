@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspark.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, sentencepiece_codec, sharding, substring_dedup, toxicity, url_filter
+from mailspark.llm import conversation_repair, decontaminate, exact_dedup, html_extract, language_id, line_dedup, minhash_dedup, sentencepiece_codec, sharding, substring_dedup, token_alignment, toxicity, url_filter
 from mailspark.llm.storage import table
 
 
@@ -78,5 +78,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.col("_n_tokens").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_decoded", 256).alias("decoded_sha256"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), piece_model(), columns=["doc_id"], written=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"), columns=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_sharding, op4_toxicity, op5_decontaminate, op6_suffix_dedup, op7_language_id, op8_exact_dedup, op9_minhash_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_sharding, op4_toxicity, op5_decontaminate, op6_suffix_dedup, op7_language_id, op8_exact_dedup, op9_minhash_dedup, op10_sentencepiece, op11_alignment, op12_html_extraction, op13_conversation_repair)}
