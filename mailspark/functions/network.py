@@ -67,3 +67,53 @@ def infra_indicators(host: Column, ip: Column, isp: Column, cloud: Column) -> Co
     notes += [F.when(inside, F.lit(PRIVATE_NOTE)), F.when(cloud, F.format_string(CLOUD_NOTE, owner)), F.when((F.coalesce(ip, F.lit("")) != "") & (name == "") & ~inside, F.lit(NO_NAME_NOTE))]
     notes += [F.when(text.rlike(p), F.lit(t)) for text, table in ((name, HOSTNAMES), (owner, PROVIDERS)) for p, t in table]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*notes))))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _bits(hexadecimal: Column, digits: int) -> Column:
+    """Hexadecimal digits as a text of zeros and ones (``conv`` holds 64 bits at most)."""
+    step = 8
+    return F.concat(*[F.lpad(F.conv(F.substring(hexadecimal, 1 + i, step), 16, 2), 4 * step, "0") for i in range(0, digits, step)])
+
+
+def _six(text: Column) -> Column:
+    """The bits of an IPv6 text; null if it isn't one."""
+    cut = lambda x: F.filter(F.split(x, ":", -1), lambda g: g != "")
+    dotted = lambda n: F.concat(F.regexp_replace(text, r"[^:]*$", ""), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF))))
+    groups = F.when(F.contains(text, F.lit(".")), _let(ip_number(F.regexp_extract(text, r":([0-9.]+)$", 1)), dotted)).otherwise(text)
+
+    def filled(half: Column) -> Column:
+        left, right = cut(half[0]), cut(half[1])
+        missing = 8 - F.size(left) - F.size(right)
+        return F.when(missing > 0, F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+
+    whole = lambda g: F.when(F.contains(g, F.lit("::")), _let(F.split(g, "::", 2), filled)).otherwise(F.split(g, ":", -1))
+    valid = lambda w: (F.size(w) == 8) & F.forall(w, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+    bits = lambda w: F.when(valid(w), _bits(F.array_join(F.transform(w, lambda x: F.lpad(x, 4, "0")), ""), 32))
+    return _let(_let(groups, lambda g: F.when(~g.rlike("^:[^:]|[^:]:$|:::|::.*::"), whole(g))), bits)
+
+
+def ip_bits(ip: Column) -> Column:
+    """An IPv4 or IPv6 address as 32 or 128 zeros and ones; null if it is neither.  Zone ids are ignored; a dotted tail is read."""
+    four = lambda n: F.lpad(F.conv(n.cast("string"), 10, 2), 32, "0")
+    text = F.lower(F.trim(F.regexp_replace(ip, "%.*$", "")))
+    return _let(text, lambda t: F.when(F.contains(t, F.lit(":")), _six(t)).otherwise(_let(ip_number(t), four)))
+
+
+def network_prefix(cidr: Column) -> Column:
+    """``address/length`` as the zeros and ones that all its addresses begin with, led by 4 or 6; null if it isn't one.  Bits after the length are ignored."""
+    parts = F.split(cidr, "/", 2)
+
+    def begun(bits: Column) -> Column:
+        length = F.when(F.size(parts) == 2, parts[1].try_cast("int")).otherwise(F.length(bits))
+        return F.when(length.between(0, F.length(bits)), F.concat(family(bits), F.substring(bits, F.lit(1), length)))
+
+    return _let(ip_bits(parts[0]), begun)
+
+
+def family(bits: Column) -> Column:
+    return F.when(F.length(bits) == 32, "4").otherwise("6")

@@ -6,21 +6,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mailspark.functions.network import ip_number
+from mailspark.functions.network import family, ip_bits
+from mailspark.sources.shared import saved
 
 
-def range_join(rows: DataFrame, ranges: DataFrame, ip_col: str) -> DataFrame:
-    """First matching range of each address.
+#: Networks with fewer leading bits than this are few (2^8 prefixes of each shorter length at most) and hold many addresses: they are broadcast.
+SHORT = 8
+
+
+def range_prefixes(first: Column, last: Column) -> Column:
+    """An IPv4 range as the fewest aligned networks that make it up (62 at most): at each size the odd one out on either side."""
+    low, high = lambda k: F.floor((first + (1 << k) - 1) / (1 << k)), lambda k: F.floor((last + 1) / (1 << k))
+    name = lambda number, k: F.concat(F.lit("4"), F.substring(F.lpad(F.conv(number.cast("string"), 10, 2), 32, "0"), 1 + k, 32 - k) if k < 32 else F.lit(""))
+    each = []
+    for k in range(33):
+        here = low(k) < high(k)
+        each += [F.when(here & (low(k) % 2 == 1), name(low(k), k)), F.when(here & (high(k) % 2 == 1), name(high(k) - 1, k))]
+    return F.array_compact(F.array(*each))
 
-    ranges (ord, first, last, ...).  Both sides are cut into /16 blocks, so it
-    is an equality join on the block plus the bounds; distinct addresses only.
+
+def prefix_join(rows: DataFrame, networks: DataFrame, ip_col: str, rule: str = "first") -> DataFrame:
+    """The network of each address: the ``first`` in order, or the ``longest`` prefix (of equal ones the first).
+
+    networks (ord, prefix, ...): a family digit and leading bits, as ``network_prefix`` and ``range_prefixes`` write
+    them.  Each distinct address is looked up once for every prefix length that occurs (33 + 129 at most), by
+    equality; a network is one row, whatever it holds.  Short prefixes would be hot keys: they are at most one
+    row each and are broadcast, longer ones are joined by shuffle.  Rows without a network keep nulls.
     """
-    # The number is made before the distinct: a filter on it would be pushed below anyway.
-    ips = rows.select(F.col(ip_col).alias("ip"), ip_number(F.col(ip_col)).alias("n")).where("n is not null").distinct()
-    blocks = ranges.select("*", F.explode(F.sequence(F.shiftright("first", 16), F.shiftright("last", 16))).alias("block"))
-    hits = ips.withColumn("block", F.shiftright("n", 16)).join(blocks, "block").where("n between first and last")
-    best = hits.groupBy("ip").agg(F.min_by(F.struct(*[c for c in ranges.columns]), "ord").alias("r")).select("ip", "r.*")
-    return rows.join(best, rows[ip_col] == best["ip"], "left").drop(best["ip"])
+    others = [c for c in networks.columns if c != "prefix"]
+    best = networks.where("prefix is not null").groupBy("prefix").agg(F.min_by(F.struct(*others), "ord").alias("r"))
+    best = saved(best.withColumn("bits", F.length("prefix") - 1), "networks")
+    lengths = {(r["f"], r["bits"]) for r in best.select(F.substring("prefix", 1, 1).alias("f"), "bits").distinct().collect()}
+    ips = rows.select(F.col(ip_col).alias("ip")).distinct().withColumn("b", ip_bits(F.col("ip"))).where("b is not null").withColumn("b", F.concat(family(F.col("b")), F.col("b")))
+    ips = saved(ips, "addresses")
+
+    def hits(part: DataFrame, few: bool) -> DataFrame:
+        sizes = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(n).alias("n")) for f, n in sorted(lengths) if (n < SHORT) == few] or [F.struct(F.lit("").alias("f"), F.lit(0).alias("n"))])
+        keyed = ips.select("ip", "b", F.explode(sizes).alias("s")).where(F.col("s.f") == F.substring("b", 1, 1)).select("ip", F.substring("b", F.lit(1), F.col("s.n") + 1).alias("prefix"))
+        return keyed.join(F.broadcast(part) if few else part, "prefix").select("ip", "bits", "r")
+
+    found = hits(best.where(F.col("bits") < SHORT), True).unionByName(hits(best.where(F.col("bits") >= SHORT), False))
+    order = F.struct(F.col("r.ord")) if rule == "first" else F.struct(-F.col("bits"), F.col("r.ord"))
+    one = found.groupBy(F.col("ip").alias(ip_col)).agg(F.min_by("r", order).alias("r")).select(ip_col, "r.*")
+    return rows.join(saved(one, "resolved"), ip_col, "left")
+
+
+def range_join(rows: DataFrame, ranges: DataFrame, ip_col: str) -> DataFrame:
+    """First matching IPv4 range of each address; ranges (ord, first, last, ...) by number, ends included."""
+    networks = ranges.withColumn("prefix", F.explode(range_prefixes(F.col("first"), F.col("last"))))
+    return prefix_join(rows, networks, ip_col)
 
 
 def as_of(lookups: DataFrame, records: DataFrame, ttl_s: int) -> DataFrame:
@@ -43,15 +77,35 @@ def geo_resolve(rows: DataFrame, first: DataFrame, second: DataFrame, key: str)
     return both.withColumn("place", F.coalesce("p1", "p2")).withColumn("source", F.when(F.col("p1").isNotNull(), "live").when(F.col("p2").isNotNull(), "offline-table").otherwise("unavailable")).drop("p1", "p2")
 
 
-def intel_signal_id(provider: Column, score: Column) -> Column:
-    return F.when((provider == "abuseipdb") & (score >= 50), "intel.abuse_reports").when((provider == "virustotal") & (score >= 25), "intel.url_malicious").when((provider == "whois") & (score <= 5), "intel.new_domain")
-
+def intel_signals(answers: DataFrame) -> DataFrame:
+    """Providers' answers as weighted signals.
 
-def intel_signals(records: DataFrame) -> DataFrame:
-    """Reputation rows past their provider's threshold, as weighted signals."""
-    sid = intel_signal_id(F.col("provider"), F.col("score"))
-    weight = F.when(sid == "intel.abuse_reports", 130).when(sid == "intel.url_malicious", 210).when(sid == "intel.new_domain", 160)
-    return records.select("subject", sid.alias("signal_id"), weight.alias("w100"), "event_id").where("signal_id is not null")
+    answers (provider, subject, status, data, summary, source): ``data`` is each
+    provider's own JSON, read as a VARIANT; paths that are missing or of another
+    type count as absent, and text that isn't JSON gives no signal.  An answer may raise several signals.
+    """
+    rows = answers.where("status = 'ok'").withColumn("d", F.try_parse_json("data"))
+    at = lambda path, kind: F.try_variant_get("d", f"$.{path}", kind)
+    whole = lambda path: F.coalesce(at(path, "double"), F.lit(0.0)).cast("bigint")
+    is_ = lambda path: F.coalesce(at(path, "boolean"), F.lit(False))
+    subject, provider = F.col("subject"), F.col("provider")
+    score, flagged, listed = whole("abuse_confidence_score"), whole("malicious") + whole("suspicious"), whole("listed_count")
+    age = F.when(F.schema_of_variant(at("domain_age_days", "variant")) == "BIGINT", at("domain_age_days", "bigint"))
+    signal = lambda test, name, title, result, weight, severity, evidence: F.when(test, F.struct(F.concat(F.lit(f"intel.{name}."), subject if name != "vt" else F.substring(subject, 1, 60)).alias("signal_id"), F.lit(title).alias("title"), result.alias("result"), F.round(weight.cast("double"), 4).alias("weight"), severity.alias("severity"), evidence.alias("evidence")))
+    # Thresholds, weights, severities and texts of each provider's signals.
+    found = [
+        signal((provider == "abuseipdb") & (score >= 25), "abuse", "Sending IP has abuse reports", F.format_string("%d%% confidence, %d report(s)", score, whole("total_reports")), 0.9 + F.least(F.lit(1.3), score / 100.0 * 1.3), F.when(score >= 60, "high").otherwise("medium"), F.col("summary")),
+        signal((provider == "abuseipdb") & is_("is_tor"), "tor", "Sending IP is a known Tor node", F.lit("tor exit"), F.lit(1.5), F.lit("high"), F.lit("AbuseIPDB flags this address as Tor infrastructure")),
+        signal((provider == "whois") & (age <= 30), "newdomain", "Sender domain registered very recently", F.format_string("%d day(s) old", age), F.when(age <= 7, 2.0).otherwise(1.5), F.when(age <= 7, "critical").otherwise("high"), F.format_string("Registered %s. Phishing domains are typically used within days of registration.", F.coalesce(at("created", "string"), F.lit("")))),
+        signal((provider == "virustotal") & (flagged != 0), "vt", "URL flagged by URL-reputation engines", F.format_string("%d engine(s)", flagged), F.least(F.lit(2.3), 0.8 + 0.25 * flagged), F.when(flagged >= 5, "critical").otherwise("high"), F.col("summary")),
+        signal((provider == "dnsbl") & (listed != 0), "dnsbl", "Sending IP is on a public blocklist", F.array_join(F.coalesce(at("listed_on", "array<string>"), F.array().cast("array<string>")), ", "), 0.9 + 0.5 * listed, F.lit("high"), F.col("summary")),
+        signal((provider == "rdns") & (F.size(F.coalesce(at("ptr", "array<string>"), F.array().cast("array<string>"))) > 0) & ~is_("forward_confirmed"), "rdns", "Reverse DNS does not forward-confirm", F.array_join(F.slice(at("ptr", "array<string>"), 1, 2), ", "), F.lit(0.8), F.lit("medium"), F.col("summary")),
+    ]
+    notes = F.when(provider == "dns", F.coalesce(at("notes", "array<string>"), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    # The note's number is a checksum: it must be the same in every process.
+    noted = F.transform(notes, lambda note: F.struct(F.concat(F.lit("intel.dns."), subject, F.lit("."), (F.crc32(note.cast("binary")) % 9999).cast("string")).alias("signal_id"), F.lit("Sender-domain DNS weakness").alias("title"), note.alias("result"), F.lit(0.7).cast("double").alias("weight"), F.lit("medium").alias("severity"), F.concat(F.lit("Structural DNS check on "), subject).alias("evidence")))
+    carried = [c for c in answers.columns if c not in ("status", "data", "summary")]
+    return rows.select(*carried, F.explode(F.concat(F.array_compact(F.array(*found)), noted)).alias("s")).select(*carried, "s.*")
 
 
 def plan(cases: DataFrame, urls: DataFrame, hops: DataFrame) -> DataFrame:

@@ -95,6 +95,22 @@ VIEWS = {
     "v_intel": """
       SELECT CASE event_id % 3 WHEN 0 THEN 'abuseipdb' WHEN 1 THEN 'virustotal' ELSE 'whois' END AS provider, user_id AS subject, EPOCH(ts) AS queried_s, CAST(value AS DOUBLE) AS score, event_id
       FROM events WHERE event_type <> 'click'""",
+    "v_answers": """
+      SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'abuseipdb' WHEN 1 THEN 'whois' WHEN 2 THEN 'virustotal' WHEN 3 THEN 'dnsbl' WHEN 4 THEN 'dns' WHEN 5 THEN 'rdns' ELSE 'other' END AS provider, 's' || CAST(user_id AS STRING) AS subject, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
+             'seen by ' || event_type AS summary, 'cache' AS source, '{' || CASE event_id % 7 WHEN 0 THEN '"abuse_confidence_score": ' || CAST(user_id % 101 AS STRING) || ', "total_reports": ' || CAST(event_id % 13 AS STRING) || CASE event_id % 3 WHEN 0 THEN ', "is_tor": true' WHEN 1 THEN ', "is_tor": false' ELSE '' END
+               WHEN 1 THEN CASE event_id % 5 WHEN 0 THEN '"domain_age_days": null' WHEN 1 THEN '"domain_age_days": "3"' ELSE '"created": "2024-01-0' || CAST(event_id % 9 AS STRING) || '", "domain_age_days": ' || CAST(user_id % 60 AS STRING) END
+               WHEN 2 THEN '"malicious": ' || CAST(event_id % 9 AS STRING) || CASE WHEN event_id % 2 = 0 THEN ', "suspicious": ' || CAST(user_id % 3 AS STRING) ELSE '' END
+               WHEN 3 THEN '"listed_count": ' || CAST(event_id % 3 AS STRING) || ', "listed_on": [' || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '"a.example"' ELSE '"a.example", "b.example"' END || ']'
+               WHEN 4 THEN '"notes": [' || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '"no SPF record"' ELSE '"no SPF record", "no DMARC record"' END || ']'
+               WHEN 5 THEN '"ptr": [' || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '"h1.example"' ELSE '"h1.example", "h2.example", "h3.example"' END || '], "forward_confirmed": ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END ELSE '"x": 1' END || '}' AS data
+      FROM events""",
+    "v_networks": """
+      SELECT s_suppkey AS ord, CASE s_suppkey % 6 WHEN 0 THEN CAST(20 + s_suppkey % 200 AS STRING) || '.7.0.0/16' WHEN 1 THEN CAST(20 + s_suppkey % 200 AS STRING) || '.7.' || CAST(s_suppkey % 250 AS STRING) || '.0/24' WHEN 2 THEN CAST(20 + s_suppkey % 200 AS STRING) || '.0.0.0/9' WHEN 3 THEN CAST(20 + s_suppkey % 200 AS STRING) || '.7.' || CAST(s_suppkey % 250 AS STRING) || '.' || CAST(s_suppkey % 7 AS STRING) || '/32'
+             WHEN 4 THEN '2001:db8:' || CAST(s_suppkey % 90 AS STRING) || '::/48' ELSE CASE WHEN s_suppkey % 5 = 0 THEN '0.0.0.0/0' WHEN s_suppkey % 5 = 1 THEN '::/0' ELSE '2001:db8::/32' END END AS cidr
+      FROM supplier""",
+    "v_addresses": """
+      SELECT l_orderkey AS id, CASE WHEN l_partkey % 9 = 0 THEN '2001:db8:' || CAST(l_suppkey % 99 AS STRING) || '::' || CAST(l_partkey % 50 AS STRING) WHEN l_partkey % 9 = 1 THEN '2A00:1450:4001:81b::200' || CAST(l_suppkey % 9 AS STRING) ELSE CAST(20 + l_suppkey % 200 AS STRING) || '.7.' || CAST(l_suppkey % 250 AS STRING) || '.' || CAST(l_partkey % 7 AS STRING) END AS ip
+      FROM lineitem WHERE l_linenumber = 1""",
     "v_lookups": """
       SELECT event_id AS lookup_id, CASE event_id % 3 WHEN 0 THEN 'abuseipdb' WHEN 1 THEN 'virustotal' ELSE 'whois' END AS provider, user_id AS subject, EPOCH(ts) AS at_s
       FROM events WHERE event_type = 'click'""",
@@ -153,6 +169,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One adapter view over the tables in ``sf_dir``."""
     text = resolve(VIEWS[name], duck=False)
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", text)}
+    text = text.replace("{", "{{").replace("}", "}}")
     for t in used:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
     return spark.sql(text, **used)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from mailspark.plans import expected as E
 
 _TECHNIQUE_ROWS = [(signal, t) for signal, techniques in E.SIGNAL_TECHNIQUES.items() for t in techniques]
@@ -161,8 +163,25 @@ SQL = {
     "intel_asof": """WITH r AS (SELECT l.lookup_id, l.provider, l.subject, l.at_s, i.score, i.queried_s FROM v_lookups AS l LEFT JOIN v_intel AS i ON i.provider = l.provider AND i.subject = l.subject AND i.queried_s BETWEEN l.at_s - 604800 AND l.at_s
       QUALIFY row_number() OVER (PARTITION BY l.lookup_id ORDER BY i.queried_s DESC NULLS LAST, i.event_id DESC) = 1)
       SELECT lookup_id, provider, subject, score, at_s - queried_s AS age_s, CASE WHEN queried_s IS NULL THEN 'unavailable' ELSE 'cache' END AS source FROM r""",
-    "intel_signals": """SELECT subject, CASE WHEN provider = 'abuseipdb' AND score >= 50 THEN 'intel.abuse_reports' WHEN provider = 'virustotal' AND score >= 25 THEN 'intel.url_malicious' ELSE 'intel.new_domain' END AS signal_id,
-      CASE WHEN provider = 'abuseipdb' THEN 130 WHEN provider = 'virustotal' THEN 210 ELSE 160 END AS w100, event_id FROM v_intel WHERE (provider = 'abuseipdb' AND score >= 50) OR (provider = 'virustotal' AND score >= 25) OR (provider = 'whois' AND score <= 5)""",
+    "intel_signals": f"""WITH a AS (SELECT event_id, provider, subject, source, summary, json(data) AS d FROM v_answers WHERE status = 'ok'),
+      x AS (SELECT *, CAST(coalesce(CAST(json_extract(d, '$.abuse_confidence_score') AS BIGINT), 0) AS BIGINT) AS score, coalesce(CAST(json_extract(d, '$.malicious') AS BIGINT), 0) + coalesce(CAST(json_extract(d, '$.suspicious') AS BIGINT), 0) AS bad, CAST(json_extract(d, '$.listed_count') AS BIGINT) AS listed,
+        CASE WHEN json_type(d, '$.domain_age_days') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract(d, '$.domain_age_days') AS BIGINT) END AS age FROM a),
+      f AS (
+        SELECT event_id, provider, subject, source, 'intel.abuse.' || subject AS signal_id, 'Sending IP has abuse reports' AS title, score || '% confidence, ' || json_extract(d, '$.total_reports') || ' report(s)' AS result, 0.9 + least(1.3, score * 0.013) AS weight, CASE WHEN score >= 60 THEN 'high' ELSE 'medium' END AS severity, summary AS evidence FROM x WHERE provider = 'abuseipdb' AND score >= 25
+        UNION ALL SELECT event_id, provider, subject, source, 'intel.tor.' || subject, 'Sending IP is a known Tor node', 'tor exit', 1.5, 'high', 'AbuseIPDB flags this address as Tor infrastructure' FROM x WHERE provider = 'abuseipdb' AND json_extract_string(d, '$.is_tor') = 'true'
+        UNION ALL SELECT event_id, provider, subject, source, 'intel.newdomain.' || subject, 'Sender domain registered very recently', age || ' day(s) old', CASE WHEN age <= 7 THEN 2.0 ELSE 1.5 END, CASE WHEN age <= 7 THEN 'critical' ELSE 'high' END,
+          'Registered ' || coalesce(json_extract_string(d, '$.created'), '') || '. Phishing domains are typically used within days of registration.' FROM x WHERE provider = 'whois' AND age <= 30
+        UNION ALL SELECT event_id, provider, subject, source, 'intel.vt.' || substr(subject, 1, 60), 'URL flagged by URL-reputation engines', bad || ' engine(s)', least(2.3, 0.8 + bad * 0.25), CASE WHEN bad >= 5 THEN 'critical' ELSE 'high' END, summary FROM x WHERE provider = 'virustotal' AND bad > 0
+        UNION ALL SELECT event_id, provider, subject, source, 'intel.dnsbl.' || subject, 'Sending IP is on a public blocklist', array_to_string(from_json(json_extract(d, '$.listed_on'), '["VARCHAR"]'), ', '), 0.9 + 0.5 * listed, 'high', summary FROM x WHERE provider = 'dnsbl' AND listed > 0
+        UNION ALL SELECT event_id, provider, subject, source, 'intel.rdns.' || subject, 'Reverse DNS does not forward-confirm', array_to_string(from_json(json_extract(d, '$.ptr'), '["VARCHAR"]')[1:2], ', '), 0.8, 'medium', summary FROM x WHERE provider = 'rdns' AND json_array_length(d, '$.ptr') > 0 AND json_extract_string(d, '$.forward_confirmed') = 'false'
+        UNION ALL SELECT event_id, provider, subject, source, 'intel.dns.' || subject || '.' || CASE note WHEN 'no SPF record' THEN {crc32(b'no SPF record') % 9999} ELSE {crc32(b'no DMARC record') % 9999} END, 'Sender-domain DNS weakness', note, 0.7, 'medium', 'Structural DNS check on ' || subject FROM (SELECT *, unnest(from_json(json_extract(d, '$.notes'), '["VARCHAR"]')) AS note FROM x WHERE provider = 'dns'))
+      SELECT event_id, provider, subject, source, signal_id, title, result, round(CAST(weight AS DOUBLE), 4) AS weight, severity, evidence FROM f""",
+    "ip_prefix_join": """WITH n AS (SELECT ord, cidr, split_part(cidr, '/', 1) AS ip, CAST(split_part(cidr, '/', 2) AS INT) AS len FROM v_networks), every AS (SELECT ip FROM n UNION SELECT ip FROM v_addresses),
+      g AS (SELECT ip, contains(ip, ':') AS six, CASE WHEN contains(ip, '::') THEN list_filter(string_split(split_part(ip, '::', 1), ':'), lambda x: x <> '') || list_transform(range(8 - len(list_filter(string_split(ip, ':'), lambda x: x <> ''))), lambda x: '0') || list_filter(string_split(split_part(ip, '::', 2), ':'), lambda x: x <> '') ELSE string_split(ip, ':') END AS groups, string_split(ip, '.') AS four FROM every),
+      b AS (SELECT ip, six, array_to_string(CASE WHEN six THEN list_transform(groups, lambda x: lpad(bin(CAST('0x' || x AS BIGINT)), 16, '0')) ELSE list_transform(four, lambda x: lpad(bin(CAST(x AS BIGINT)), 8, '0')) END, '') AS bits FROM g),
+      p AS (SELECT ord, cidr, len, six, substr(bits, 1, len) AS prefix FROM n JOIN b USING (ip)), a AS (SELECT id, v.ip, six, bits FROM v_addresses AS v JOIN b ON v.ip = b.ip),
+      h AS (SELECT a.id, a.ip, arg_min(cidr, ord) AS first, arg_min(cidr, (-len, ord)) AS longest FROM (SELECT DISTINCT id, ip, six, bits FROM a) AS a LEFT JOIN p ON p.six = a.six AND starts_with(a.bits, p.prefix) GROUP BY a.id, a.ip)
+      SELECT a.id, a.ip, 'first' AS rule, h.first AS cidr FROM a JOIN h ON a.id = h.id AND a.ip = h.ip UNION ALL SELECT a.id, a.ip, 'longest', h.longest FROM a JOIN h ON a.id = h.id AND a.ip = h.ip""",
     "intel_plan": """WITH u AS (SELECT value, row_number() OVER (PARTITION BY case_id ORDER BY pos, value) AS nth FROM v_iocs WHERE ioc_type = 'url')
       SELECT 'domain' AS kind, from_domain AS subject FROM v_cases UNION SELECT 'domain', value FROM u WHERE nth <= 3 UNION SELECT 'url', value FROM u WHERE nth <= 2 UNION SELECT 'ip', ip FROM v_hops WHERE hop_index < 2 AND NOT is_private""",
     "ip_range_join": """WITH w AS (SELECT s_suppkey + 1000000 AS ord, (20 + s_suppkey % 200) * 16777216 + 458752 AS f, 20479 AS w, 'wide-' || s_suppkey % 200 AS net FROM supplier

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailspark.functions.network import network_prefix
 from mailspark.operators import campaigns, custody, exposure, intel, links, relay, scoring, store
 from mailspark.plans.adapters import given, view
 
@@ -306,7 +307,7 @@ def intel_asof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def intel_signals(spark: SparkSession, d: str) -> DataFrame:
-    return intel.intel_signals(view(spark, d, "v_intel"))
+    return intel.intel_signals(view(spark, d, "v_answers"))
 
 
 def intel_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -326,6 +327,14 @@ def ip_range_join(spark: SparkSession, d: str) -> DataFrame:
     return intel.range_join(view(spark, d, "v_hops").where("not is_private").select("case_id", "hop_index", "ip"), wide.unionByName(narrow), "ip").select("case_id", "hop_index", "ip", "net")
 
 
+def ip_prefix_join(spark: SparkSession, d: str) -> DataFrame:
+    """IPv4 and IPv6 addresses in networks of /0 to /48: the first that holds each, and the narrowest."""
+    networks = view(spark, d, "v_networks").withColumn("prefix", network_prefix(F.col("cidr")))
+    rows = view(spark, d, "v_addresses")
+    first = intel.prefix_join(rows, networks, "ip").select("id", "ip", F.lit("first").alias("rule"), "cidr")
+    return first.unionByName(intel.prefix_join(rows, networks, "ip", "longest").select("id", "ip", F.lit("longest").alias("rule"), "cidr"))
+
+
 def next_actions(spark: SparkSession, d: str) -> DataFrame:
     c = view(spark, d, "v_cases")
     radius = exposure.blast_radius(_exposed(spark, d)).select("wave", "clicked", "submitted")
@@ -353,6 +362,6 @@ resubmission_join stats_counters stats_breakdowns top_techniques top_origins cam
 evidence_coverage relay_signals ml_signal case_techniques signal_techniques technique_coverage attribution threat_class top_rationale exposure_directory blast_radius
 containment_priority wave_lookup recipients_complete hop_index relay_path earliest_reliable_hop origin_summary case_numbering campaign_assign campaign_siblings custody_append
 custody_verify queue_sorted_page relate_cases case_clusters artefact_intersect graph_nodes graph_edges new_indicators extract_iocs sink_case_upsert case_upsert sla_report apply_decisions
-geo_resolve intel_asof intel_signals intel_plan ip_range_join next_actions campaign_risk_reach""".split()
+geo_resolve intel_asof intel_signals intel_plan ip_range_join ip_prefix_join next_actions campaign_risk_reach""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}

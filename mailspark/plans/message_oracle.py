@@ -292,6 +292,8 @@ SQL = {
     "corpus_union": "SELECT msg_id, source AS origin FROM v_mail",
     "exact_dedupe": "SELECT msg_id, source FROM v_mail QUALIFY row_number() OVER (PARTITION BY body ORDER BY source, msg_id) = 1",
     "train_test_leakage": "SELECT msg_id AS id FROM v_mail WHERE msg_id % 5 = 0 AND body IN (SELECT body FROM v_mail WHERE msg_id % 5 <> 0)",
+    "train_test_containment": """WITH t AS (SELECT msg_id AS id, body AS text FROM v_mail WHERE msg_id % 5 = 0 UNION ALL SELECT -1 - item_id, text FROM benchmark)
+      SELECT id FROM t WHERE text <> '' AND EXISTS (SELECT 1 FROM v_mail AS m WHERE m.msg_id % 5 <> 0 AND contains(m.body, t.text))""",
     "near_dup_pairs": f"""WITH {LAB}, {tc('la', 'id', 'body', 1)}, vo AS (SELECT term, ln((1 + (SELECT count(*) FROM la)) / (1e0 + count(*))) + 1 AS idf FROM tc GROUP BY 1), {VEC}, tg AS (SELECT tv.*, label FROM tv JOIN la USING (id))
       SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 4) AS cosine FROM tg AS x JOIN tg AS y ON x.term = y.term AND x.label = y.label AND x.id < y.id GROUP BY ALL HAVING round(sum(x.w * y.w), 6) >= 0.82e0""",
     "feature_means": f"WITH {FIT(1)}, {VEC} SELECT term, round(sum(w) / (SELECT n FROM nn), 6) AS mean FROM tv GROUP BY 1",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailspark.functions import headers, network, privacy, text, urls
-from mailspark.operators import corpus, features, models, scoring, signals
+from mailspark.operators import corpus, features, leakage, models, scoring, signals
 from mailspark.plans.adapters import given, view
 
 NOW_S = 1_041_379_200
@@ -322,6 +322,13 @@ def train_test_leakage(spark: SparkSession, d: str) -> DataFrame:
     return corpus.leakage(m.where("id % 5 <> 0"), m.where("id % 5 = 0")).select("id")
 
 
+def train_test_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and benchmark items (ids under 0) that stand in other documents, whole or as a part."""
+    m = _docs(spark, d).select("id", "text")
+    items = given(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("id"), "text")
+    return leakage.contained(m.where("id % 5 <> 0"), m.where("id % 5 = 0").unionByName(items)).select("id")
+
+
 def _dup_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = _labelled(spark, d).select("id", "text", F.col("label").alias("grp"))
     counts = features.term_counts(rows, 1)
@@ -417,6 +424,6 @@ NAMES = """content_hash address_split registrable_domain url_normalise url_extra
 campaign_fingerprint confusable_skeleton lookalike_brand brand_in_name ip_class infra_indicators domain_age pii_inventory pii_mask pii_mask_full pii_leak_scan pii_leak_scan_full redact_nested
 text_obfuscation mail_text_normalise ngram_tokens text_document meta_features structural_features tfidf_fit tfidf_transform anchor_similarity bigram_lm_fit bigram_perplexity
 sentence_burstiness ai_text_score spearphish_score rule_signals message_risk takedown_draft stratified_split stratified_kfold corpus_class_report corpus_stats corpus_union exact_dedupe
-train_test_leakage near_dup_pairs near_dup_keep feature_means shap_top_features batch_predict classification_metrics confusion_matrix roc_auc_ovr train_logreg calibrate_isotonic cross_validate""".split()
+train_test_leakage train_test_containment near_dup_pairs near_dup_keep feature_means shap_top_features batch_predict classification_metrics confusion_matrix roc_auc_ovr train_logreg calibrate_isotonic cross_validate""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}
