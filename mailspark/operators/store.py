@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -77,12 +78,20 @@ def alert_candidates(cases: DataFrame, threshold: float = 40.0, suppress_duplica
     return cases.where(test & ~F.col("is_duplicate") if suppress_duplicates else test)
 
 
-def enrichment_gate(cases: DataFrame, signals: DataFrame, low: float = 20.0, high: float = 80.0) -> DataFrame:
-    """Per case: whether costly look-ups are worth it, and why."""
-    marks = signals.where("triggered").groupBy("case_id").agg(
-        F.max(F.col("signal_id").isin("intel.tor_exit")).alias("anonymised"), F.max(F.col("signal_id").startswith("id.")).alias("doubt")
-    )
-    both = cases.join(marks, "case_id", "left")
+#: Signals (by beginning) that leave a sender's identity in doubt.
+IDENTITY_DOUBT = ("id.lookalike", "id.brand", "id.confusable", "id.punycode", "id.suspicious_tld")
+
+
+def enrichment_gate(cases: DataFrame, signals: DataFrame, hops: DataFrame, low: float = 20.0, high: float = 80.0) -> DataFrame:
+    """Per case: whether costly look-ups are worth it, and why.
+
+    hops (case_id, host, reasons): an origin counts as anonymised where a hop's reasons name Tor or its host a proxy.
+    """
+    doubts = signals.where(F.col("triggered") & reduce(or_, [F.col("signal_id").startswith(p) for p in IDENTITY_DOUBT]))
+    doubt = doubts.groupBy("case_id").agg(F.lit(True).alias("doubt"))
+    hidden = hops.where(F.lower(F.array_join("reasons", " ")).contains("tor") | F.lower("host").contains("proxy"))
+    anonymised = hidden.groupBy("case_id").agg(F.lit(True).alias("anonymised"))
+    both = cases.join(doubt, "case_id", "left").join(anonymised, "case_id", "left")
     open_ = (F.col("risk") > low) & (F.col("risk") < high)
     reason = F.when(open_, "not conclusive").when(F.coalesce("anonymised", F.lit(False)), "anonymised origin").when(F.coalesce("doubt", F.lit(False)), "identity doubt").otherwise("conclusive")
     return both.select("case_id", reason.alias("reason"), (reason != "conclusive").alias("enrich"))
@@ -107,7 +116,7 @@ def upsert_iocs(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 def upsert_cases(stored: DataFrame, fresh: DataFrame, key: str, version: str) -> DataFrame:
     """Latest row of each case; of equal versions the fresh one."""
     rows = stored.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("_new"), F.desc(version)))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(version), F.desc("_new")))
     return rows.withColumn("_n", rank).where("_n = 1").drop("_n", "_new")
 
 

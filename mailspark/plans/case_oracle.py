@@ -68,8 +68,9 @@ SQL = {
     "ioc_pivot": "SELECT case_id, created_s FROM v_cases WHERE case_id IN (SELECT case_id FROM v_iocs WHERE lower(value) = 'd7.example.org') ORDER BY created_s DESC, case_id LIMIT 20",
     "audit_trail": "SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth FROM events QUALIFY nth <= 5",
     "alert_candidates": "SELECT case_id, verdict, threat_class, risk FROM v_cases WHERE verdict IN ('phishing', 'suspicious', 'bec', 'malware') OR threat_class IN ('phishing', 'fraud', 'impersonated') OR risk >= 40",
-    "enrichment_gate": """WITH m AS (SELECT case_id, bool_or(signal_id = 'intel.tor_exit') AS anon, bool_or(starts_with(signal_id, 'id.')) AS doubt FROM v_signals WHERE triggered GROUP BY 1),
-      r AS (SELECT case_id, CASE WHEN risk > 20 AND risk < 80 THEN 'not conclusive' WHEN anon THEN 'anonymised origin' WHEN doubt THEN 'identity doubt' ELSE 'conclusive' END AS reason FROM v_cases LEFT JOIN m USING (case_id))
+    "enrichment_gate": """WITH m AS (SELECT case_id, bool_or(regexp_matches(signal_id, '^id\\.(lookalike|brand|confusable|punycode|suspicious_tld)')) AS doubt FROM v_signals WHERE triggered GROUP BY 1),
+      h AS (SELECT case_id, bool_or(lower(indicators) LIKE '%tor%' OR lower(hop_hosts) LIKE '%proxy%') AS anon FROM v_context GROUP BY 1),
+      r AS (SELECT case_id, CASE WHEN risk > 20 AND risk < 80 THEN 'not conclusive' WHEN anon THEN 'anonymised origin' WHEN doubt THEN 'identity doubt' ELSE 'conclusive' END AS reason FROM v_cases LEFT JOIN m USING (case_id) LEFT JOIN h USING (case_id))
       SELECT case_id, reason, reason <> 'conclusive' AS enrich FROM r""",
     "retention_redact": "SELECT msg_id, CASE WHEN received_s < 1704067200 + 86400 THEN 0 ELSE length(body) END::BIGINT AS body_chars, sha256(body) AS body_sha256, CASE WHEN received_s < 1704067200 + 86400 THEN '[redacted]' ELSE subject END AS subject, received_s < 1704067200 + 86400 AS redacted FROM v_messages",
     "retention_preview": "SELECT age_days, count(*) AS messages, CAST(sum(strlen(body)) AS BIGINT) AS bytes FROM (SELECT (1704067200 + 400 * 86400 - received_s) // 86400 AS age_days, body FROM v_messages) WHERE age_days >= 399 GROUP BY 1",
@@ -145,7 +146,7 @@ SQL = {
       sh AS (SELECT a, string_agg(kind || ':' || value, ',' ORDER BY r) AS shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY nth, k, value) AS r FROM ki) WHERE r <= 12 GROUP BY 1)
       SELECT a AS case_id, 'cl-' || substr(sha256(array_to_string(list_sort(list_transform(list_append(near, a), lambda x: CAST(x AS VARCHAR))), '|')), 1, 16) AS cluster_id, CAST(len(near) + 1 AS BIGINT) AS cluster_size, array_to_string(near[1:10], ',') AS related, summaries, shared FROM n JOIN sh USING (a)""",
     "artefact_intersect": f"""WITH {_PAIRS} SELECT a, b, kind, array_to_string(list_sort(list(value))[1:3], ',') AS shared FROM (SELECT rl.a, rl.b, x.kind, x.value FROM rl JOIN v_links AS x ON x.case_id = rl.a JOIN v_links AS y ON y.case_id = rl.b AND y.kind = x.kind AND y.value = x.value WHERE w100 >= 80) GROUP BY ALL""",
-    "case_upsert": "SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'benign' ELSE verdict END AS verdict, risk, CAST(CASE WHEN case_id % 3 <> 0 THEN 0 WHEN case_id % 2 = 0 THEN 2 ELSE 1 END AS INT) AS version FROM v_cases",
+    "case_upsert": "SELECT case_id, CASE WHEN case_id % 3 = 0 AND case_id % 5 <> 0 THEN 'benign' ELSE verdict END AS verdict, risk, CAST(CASE WHEN case_id % 5 = 0 THEN 3 WHEN case_id % 3 <> 0 THEN 0 WHEN case_id % 2 = 0 THEN 2 ELSE 1 END AS INT) AS version FROM v_cases",
     "graph_nodes": "SELECT kind || ':' || value AS id, kind, count(*) AS weight FROM v_links GROUP BY ALL UNION ALL SELECT 'case:' || case_id, 'case', count(*) FROM v_links GROUP BY ALL",
     "graph_edges": "SELECT DISTINCT 'case:' || case_id AS source, kind || ':' || value AS target, kind AS link FROM v_links",
     "new_indicators": "SELECT DISTINCT ioc_type, lower(value) AS value FROM v_iocs WHERE first_seen_s >= 946684800 EXCEPT SELECT ioc_type, lower(value) FROM v_iocs WHERE first_seen_s < 946684800",

@@ -44,7 +44,8 @@ def alert_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def enrichment_gate(spark: SparkSession, d: str) -> DataFrame:
-    return store.enrichment_gate(view(spark, d, "v_cases"), view(spark, d, "v_signals"))
+    hops = view(spark, d, "v_context").select("case_id", F.col("hop_hosts").alias("host"), F.array("indicators").alias("reasons"))
+    return store.enrichment_gate(view(spark, d, "v_cases"), view(spark, d, "v_signals"), hops)
 
 
 def retention_redact(spark: SparkSession, d: str) -> DataFrame:
@@ -273,8 +274,8 @@ def sink_case_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def case_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Cases saved again replace the stored row of the same id: every third case comes back with another verdict, some twice."""
-    stored = view(spark, d, "v_cases").select("case_id", "verdict", "risk", F.lit(0).alias("version"))
+    """Cases saved again replace the stored row of the same id: every third case comes back with another verdict, some twice, and every fifth too late."""
+    stored = view(spark, d, "v_cases").select("case_id", "verdict", "risk", F.when(F.col("case_id") % 5 == 0, 3).otherwise(0).alias("version"))
     fresh = stored.where("case_id % 3 = 0").select("case_id", F.lit("benign").alias("verdict"), "risk", F.explode(F.when(F.col("case_id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("version"))
     return store.upsert_cases(stored, fresh, "case_id", "version")
 

@@ -118,5 +118,5 @@ def sla_timer(cases: DataFrame, minutes: int = 20, late: str = "1 hour") -> Data
 
 
 def alerts(cases: DataFrame, at: str, late: str = "1 hour") -> DataFrame:
-    """Every threat case once per verdict."""
-    return cases.where(F.col("event_type").isin("error", "purchase")).withWatermark(at, late).dropDuplicates(["user_id", "event_type"])
+    """Every threat case once per verdict; one that stays silent for longer than ``late`` may be alerted again, so state stays bounded."""
+    return cases.where(F.col("event_type").isin("error", "purchase")).withWatermark(at, late).dropDuplicatesWithinWatermark(["user_id", "event_type"])
