@@ -3,9 +3,9 @@
 Voters are lexicon words and word-beginning patterns: a short general lexicon
 plus terms mined from the labelled rows (words and 4- to 7-letter beginnings
 that stand, or stand densely, mostly in toxic texts).  A generative label model, fitted by
-expectation-maximisation, estimates each voter's accuracies and how voters
+expectation-maximisation over word lists of these terms, estimates each list's accuracies and how lists
 correlate within a class; correlated voters share their weight, and the given
-label is one more, fallible voter.  A linear classifier over the voters'
+label is one more voter, whose rates are estimated like theirs.  A linear classifier over the voters'
 presence and density is trained on the posterior labels.
 
 The fit uses a bounded sample of the labelled rows (``max_rows``: those whose
@@ -23,6 +23,7 @@ them).
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from mailspark.llm.storage import sampled
 
 MAX_ROWS, MAX_VOTERS, THRESHOLD = 12_000, 300, 0.7
-#: A word in so many makes a term dense; how often the given label says toxic in toxic and in clean texts.
-DENSE, LABEL_RATES = 100, (0.95, 0.02)
+#: A word in so many makes a term dense; from this correlation within a class on, voters share their weight; word lists that vote.
+DENSE, CORRELATED, LISTS = 100, 0.3, 4
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = range(4, 8)
 #: Common abusive words of four languages.
@@ -105,32 +106,46 @@ def features(hits: list[int], hit_words: int, words: int, n: int) -> np.ndarray:
     return x
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """votes (rows x voters, 0/1), given labels (0/1) -> posterior probability of the toxic class.
+def list_votes(votes: np.ndarray, voters: list[str]) -> np.ndarray:
+    """Terms dealt into LISTS word lists by their first four letters; a list votes if one of its terms does.
 
-    Each round estimates class prior, each voter's rate of voting within either
-    class, and the correlations of voters within the classes; a voter's weight
-    is one over its summed correlation with all voters (itself counts as one).
-    The given label's own rates (LABEL_RATES) are fixed: they anchor the classes.
+    A toxic text calls up only some terms (those of its language), so single terms exclude each other within the
+    class, and their silence says little; every list spans all languages, and its silence counts.
     """
-    post = np.where(given > 0, 0.9, 0.02)
+    dealt = np.array([zlib.crc32(t[:4].encode()) % LISTS for t in voters])
+    return np.column_stack([votes[:, dealt == k].max(1, initial=0.0) for k in range(LISTS)])
+
+
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """votes (rows x voters, 0/1), given labels (0/1) -> posterior probability of the toxic class; and of each voter,
+    the given label last, its rate of voting within the toxic class, within the clean one, and its weight.
+
+    The first guess comes from the votes alone: the rows with most votes, rare
+    voters counting more, as many as the given labels call toxic.  Each round
+    estimates class prior, every voter's rates, and the correlations of voters
+    within the classes; a voter's weight is one over its summed correlation with
+    all voters (itself counts as one).  The given label votes like the others,
+    with rates estimated like theirs, so it can be outvoted.
+    """
+    votes = np.column_stack([votes, given])
+    strength = votes @ (1 / np.maximum(votes.mean(0), 1e-3))
+    post = np.where(strength > np.quantile(strength, 1 - np.clip(given.mean(), 0.02, 0.5)), 0.8, 0.1)
     for _ in range(rounds):
-        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
-        rate1 = (post @ votes + 0.5) / (post.sum() + 1)
-        rate0 = ((1 - post) @ votes + 0.05) / ((1 - post).sum() + 1)
+        prior = np.clip(post.mean(), 0.01, 0.99)
+        rate1 = np.clip((post @ votes + 0.5) / (post.sum() + 1), 1e-3, 1 - 1e-3)
+        rate0 = np.clip(((1 - post) @ votes + 0.05) / ((1 - post).sum() + 1), 1e-4, 1 - 1e-3)
         within = votes - np.outer(post, rate1) - np.outer(1 - post, rate0)
         spread = np.sqrt((within**2).mean(0)) + 1e-9
         corr = np.abs((within.T @ within) / len(votes) / np.outer(spread, spread))
-        weight = 1 / np.maximum(1.0, np.where(corr > 0.1, corr, 0).sum(1))
+        weight = 1 / np.maximum(1.0, np.where(corr > CORRELATED, corr, 0).sum(1))
         on, off = np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))
-        label = np.where(given > 0, np.log(LABEL_RATES[0] / LABEL_RATES[1]), np.log((1 - LABEL_RATES[0]) / (1 - LABEL_RATES[1])))
-        logit = np.log(prior / (1 - prior)) + label + votes @ (weight * on) + (1 - votes) @ (weight * off)
+        logit = np.log(prior / (1 - prior)) + votes @ (weight * on) + (1 - votes) @ (weight * off)
         fresh = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        done = np.abs(fresh - post).max() < 1e-4
+        done = np.abs(fresh - post).max() < 1e-5
         post = fresh
         if done:
             break
-    return post
+    return post, rate1, rate0, weight
 
 
 def train(x: np.ndarray, target: np.ndarray, ridge: float = 0.3, steps: int = 40) -> np.ndarray:
@@ -181,7 +196,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_voters: int = MAX_VOT
     if not any(r["label"] for r in seen):
         return voters, np.array(prior)
     x = np.array([features(r["voters"], r["hit_words"], r["words"], n) for r in seen])
-    target = label_model(x[:, :n], np.array([r["label"] for r in seen], float))
+    target, *_ = label_model(list_votes(x[:, :n], voters), np.array([r["label"] for r in seen], float))
     return voters, train(x, target)
 
 

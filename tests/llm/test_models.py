@@ -3,6 +3,7 @@
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from mailspark.llm import decontaminate, language_id, queries, sentencepiece_codec, sharding, toxicity, url_filter
@@ -52,6 +53,35 @@ def test_language_without_letters():
     assert language_id.score_text(None, [], None, None) == ("und", 0.0)
 
 
+def test_label_model_recovers_planted_voters():
+    draw = np.random.default_rng(3)
+    truth = (draw.random(4000) < 0.2).astype(float)
+    planted = [(0.8, 0.05), (0.6, 0.1), (0.5, 0.02), (0.4, 0.15)]
+    single = [np.where(truth > 0, draw.random(4000) < a, draw.random(4000) < b).astype(float) for a, b in planted]
+    votes = np.column_stack([*single, single[3]])  # the last two are one voter, heard twice
+    given = np.where(draw.random(4000) < 0.1, 1 - truth, truth)
+    post, rate1, rate0, weight = toxicity.label_model(votes, given)
+    for j, (a, b) in enumerate([*planted, planted[3], (0.9, 0.1)]):
+        assert abs(rate1[j] - a) < 0.05 and abs(rate0[j] - b) < 0.05
+    assert abs(weight[3] + weight[4] - 1) < 0.1 and min(weight[:3]) > 0.9
+    flipped = given != truth
+    assert ((post > 0.5) == truth).mean() > 0.96 and ((post > 0.5) == truth)[flipped].mean() > 0.7
+
+
+def test_label_model_outvotes_random_labels():
+    draw = np.random.default_rng(5)
+    truth = (draw.random(4000) < 0.2).astype(float)
+    votes = np.column_stack([np.where(truth > 0, draw.random(4000) < a, draw.random(4000) < b).astype(float) for a, b in [(0.8, 0.05), (0.6, 0.1), (0.5, 0.02), (0.4, 0.15)]])
+    post, rate1, rate0, _ = toxicity.label_model(votes, (draw.random(4000) < 0.5).astype(float))
+    assert ((post > 0.5) == truth).mean() > 0.9 and abs(rate1[-1] - rate0[-1]) < 0.1
+
+
+def test_lists_vote_if_a_term_does():
+    votes = np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 0.0]])
+    got = toxicity.list_votes(votes, ["idio*", "idiot@", "moron"])
+    assert got.shape == (3, toxicity.LISTS) and (got[0] == got[1]).all() and got.sum(1).tolist() == [1.0, 1.0, 0.0]
+
+
 def test_toxicity_held_out(spark):
     got = {r.doc_id: r for r in queries.op4_toxicity(spark, FOLDER).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
