@@ -1,20 +1,23 @@
 """Shards by balanced label propagation.
 
 Documents that share a link key are linked.  Every linked document starts with
-a label (shard) of its own by hash; the state is the count of documents by unit
-and label, a unit being the documents of one key, or a shard-sized part of them
-where the key has more than a shard holds.  In each round every document asks
-for the label that most of its unit holds, and of the requests from one label
-to another only as many are granted as the other direction and the free
-capacity allow; labels over capacity send documents to the freest one.  The
-label that most of a unit ends with is its home.
-
-Sizes are made exact by packing: the units of more than a 64th of a shard (a
-bounded list) are placed whole, largest first, at home or else where they fit;
-small ones follow in buckets by home and range of keys.  Documents without
-links, ranked, fill the rest.  A unit is cut only if it fits into no shard's
-room; of small units, those of a bucket that fits nowhere whole are ranked
-before the unlinked documents and may be cut at a shard's border.
+a label (shard) of its own by hash; the state is the count of documents by unit,
+first label and present label, a unit being the documents of one key, or a
+shard-sized part of them where the key has more than a shard holds.  In each
+round every document asks for the label that most of its unit holds, and of the
+requests from one label to another only as many are granted as leave no label
+with more coming in than going out plus its free capacity; labels over capacity
+send documents to the freest one.  A document's place is its label after the rounds: without
+rounds, linked documents stay where their hash put them, apart.
+
+What quotas held back in the last round is mended: stragglers follow the most
+frequent label of their unit.  Sizes are then made exact by
+packing: blocks (documents of a unit with one label) of keys with more than a
+64th of a shard (a bounded list) are placed whole, largest first, at their label
+or else where they fit; small ones follow in buckets by label and range of keys.
+Documents without links, ranked, fill the rest.  A block is cut only if it fits
+into no shard's room; of small ones, those of a bucket that fits nowhere whole
+are ranked before the unlinked documents and may be cut at a shard's border.
 
 Every step is a join or an aggregation with partial sums: a link key held by a
 third of all rows is 24 counts after the map side.  Ranks come from windows
@@ -45,27 +48,56 @@ SMALL, FILL = 1_000_000, -1
 
 
 def propagate(nodes: DataFrame, shards: int, capacity: int, rounds: int) -> DataFrame:
-    """nodes (key, part, label, n): documents of a unit (key, part) by their label.  Returns them after ``rounds`` rounds."""
+    """nodes (key, part, label, n, ...): documents of a unit (key, part) by their label.  Returns them after ``rounds`` rounds.
+
+    Other columns, such as the documents' first label, are kept apart and carried along.
+    """
     spark, labels = nodes.sparkSession, nodes
+    own = [c for c in nodes.columns if c != "n"]
     for turn in range(rounds):
         # The favourite label of each unit: what a document of it asks for.
-        wish = labels.groupBy("key", "part").agg(F.max_by("label", F.struct("n", F.xxhash64("key", "part", "label"))).alias("wish"))
-        asked = labels.join(wish, ["key", "part"])
+        asked = labels.join(favourites(labels), ["key", "part"])
         flow = asked.groupBy("label", "wish").agg(F.sum("n").alias("n")).collect()  # at most shards * shards rows
         moves = {(r["label"], r["wish"]): r["n"] for r in flow if r["label"] != r["wish"]}
         size = {s: sum(r["n"] for r in flow if r["label"] == s) for s in range(shards)}
         free = {s: max(0, capacity - size[s]) for s in range(shards)}
-        into = {s: sum(n for (_, b), n in moves.items() if b == s) or 1 for s in range(shards)}
-        grant = [(a, b, b, min(1.0, (min(n, moves.get((b, a), 0)) + free[b] * n / into[b]) / n)) for (a, b), n in moves.items()]
+        grant = [(a, b, b, n / moves[a, b]) for (a, b), n in granted(moves, free).items()]
         freest = max(free, key=free.get)
         grant += [(s, s, freest, min(size[s] - capacity, free[freest]) / size[s]) for s in range(shards) if size[s] > capacity and free[freest]]
         quota = spark.createDataFrame(grant or [(-1, -1, -1, 0.0)], "label int, wish int, goal int, share double")
         luck = F.pmod(F.xxhash64("key", "part", F.lit(turn)), F.lit(1_000_000)) / 1_000_000
         moved = asked.join(F.broadcast(quota), ["label", "wish"], "left").withColumn("label", F.when(luck < F.coalesce("share", F.lit(0.0)), F.col("goal")).otherwise(F.col("label")))
-        labels = stash(moved.groupBy("key", "part", "label").agg(F.sum("n").alias("n")), "labels")
+        labels = stash(moved.groupBy(*own).agg(F.sum("n").alias("n")), "labels")
     return labels
 
 
+def granted(moves: dict[tuple[int, int], int], free: dict[int, int]) -> dict[tuple[int, int], float]:
+    """Of the requests (from, to) -> n as many as leave no label with more coming in than going out plus its free room."""
+    flow = {move: float(n) for move, n in moves.items()}
+    for _ in range(8 * len(free)):
+        room = dict(free)
+        asked = dict.fromkeys(free, 0.0)
+        for (a, b), n in flow.items():
+            room[a] += n
+            asked[b] += n
+        tight = {s: room[s] / asked[s] for s in free if asked[s] > room[s] + 0.5}
+        if not tight:
+            break
+        flow = {(a, b): n * tight.get(b, 1.0) for (a, b), n in flow.items()}
+    return flow
+
+
+def favourites(labels: DataFrame) -> DataFrame:
+    """(key, part, wish): the label that most documents of each unit hold, ties by hash."""
+    held = labels.groupBy("key", "part", "label").agg(F.sum("n").alias("n"))
+    return held.groupBy("key", "part").agg(F.max_by("label", F.struct("n", F.xxhash64("key", "part", "label"))).alias("wish"))
+
+
+def mended(labels: DataFrame) -> DataFrame:
+    """Labels after the rounds, the stragglers of each unit joined to its favourite."""
+    return labels.join(favourites(labels), ["key", "part"]).select("key", "part", "start", F.col("wish").alias("label"), "n")
+
+
 def pack(units: list[tuple[int, int, int]], room: list[int], at_home: bool = True) -> tuple[list[tuple[int, int, int]], list[int], int]:
     """units (queue, n, home), largest first -> pieces (queue, shard, n), room left, number of documents in cut units.
 
@@ -98,7 +130,7 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 2, id_col: str = "do
         docs.select(
             F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(8)).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("crc"),
             F.xxhash64(text, F.octet_length(text)).alias("key"), F.xxhash64(F.col(id_col)).alias("salt"),
-        ),
+        ).withColumn("start", F.pmod(F.hash("salt", F.lit(11)), F.lit(shards))),
         "rows",
     )
     total = rows.count()
@@ -108,25 +140,32 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 2, id_col: str = "do
     keys = stash(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "keys")
     # A key with more documents than a shard holds is placed in parts; at most shards such keys.
     parts = keys.where(F.col("members") > capacity).select("key", F.ceil(F.col("members") / capacity).cast("int").alias("parts"))
-    started = rows.join(F.broadcast(parts), "key", "left").select("key", F.pmod(F.hash("salt"), F.coalesce("parts", F.lit(1))).alias("part"), F.pmod(F.hash("salt", F.lit(11)), F.lit(shards)).alias("label"))
-    nodes = started.groupBy("key", "part", "label").agg(F.count("*").alias("n")).join(keys.select("key"), "key", "left_semi")
+    started = rows.join(F.broadcast(parts), "key", "left").select("key", F.pmod(F.hash("salt"), F.coalesce("parts", F.lit(1))).alias("part"), "start", F.col("start").alias("label"))
+    nodes = started.groupBy("key", "part", "start", "label").agg(F.count("*").alias("n")).join(keys.select("key"), "key", "left_semi")
     labels = propagate(stash(nodes, "nodes"), shards, capacity, rounds)
-    homes = labels.groupBy("key", "part").agg(F.max_by("label", F.struct("n", F.xxhash64("key", "part", "label"))).alias("home"), F.sum("n").alias("n"))
-    homes = stash(homes.join(keys, "key"), "homes")
+    labels = stash((mended(labels) if rounds else labels).join(keys, "key"), "mended")
 
     large = F.col("members") > capacity / RANGES
-    listed = defaultdict(list)
-    for r in homes.where(large).select("key", "part", "home", "members").collect():  # at most shards * RANGES keys
-        listed[r["key"], r["members"]].append(r["home"])
-    queues, units = {}, []
-    for queue, (key, members) in enumerate(sorted(listed)):
-        queues[key] = queue
-        # A key larger than a shard goes in equal parts, as few as hold it; its parts' homes are used in turn.
-        count, own = -(-members // capacity), listed[key, members]
+    blocks, over = defaultdict(list), defaultdict(lambda: defaultdict(int))
+    # At most shards * RANGES keys, each with a row for every first label and part.
+    for r in labels.where(large).orderBy("key", "part", "start").collect():
+        if r["members"] > capacity:
+            over[r["key"], r["members"]][r["label"]] += r["n"]
+        else:
+            blocks[r["key"], r["label"]].append((r["start"], r["n"]))
+    named_rows, units = [], []
+    for queue, (key, label) in enumerate(sorted(blocks)):
+        held = blocks[key, label]
+        named_rows += [(key, start, queue) for start, _ in held]
+        units.append((queue, sum(n for _, n in held), label))
+    for queue, (key, members) in enumerate(sorted(over), len(blocks)):
+        # A key larger than a shard goes in equal parts, as few as hold it; the labels most held are used in turn.
+        count, own = -(-members // capacity), sorted(over[key, members], key=lambda s: (-over[key, members][s], s))
+        named_rows += [(key, start, queue) for start in range(shards)]
         units += [(queue, members // count + (i < members % count), own[i % len(own)]) for i in range(count)]
     span = F.pmod(F.shiftrightunsigned("key", 32), F.lit(RANGES)).cast("int")
-    small = homes.where(~large).select("key", F.col("home").alias("label"), span.alias("span"))
-    counted = homes.where(~large).groupBy(F.col("home").alias("label"), span.alias("span")).agg(F.sum("n").alias("n")).collect()  # at most shards * RANGES rows
+    small = labels.where(~large).select("key", "start", "label")
+    counted = labels.where(~large).groupBy("label", span.alias("span")).agg(F.sum("n").alias("n")).collect()  # at most shards * RANGES rows
     pieces, room, cut = pack(units, target)
     if cut:
         tight = pack(units, target, at_home=False)
@@ -151,13 +190,13 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 2, id_col: str = "do
 
     dealt = 1 + F.pmod(F.hash("salt", F.lit(7)), F.lit(SUBS))
     columns = ["id", "size", "crc", "key", "salt"]
-    named = spark.createDataFrame(list(queues.items()), "key bigint, queue int")
-    known = rows.join(F.broadcast(named), "key", "left")
+    named = spark.createDataFrame(named_rows, "key bigint, start int, queue int")
+    known = rows.join(F.broadcast(named), ["key", "start"], "left")
     hot = known.where("queue is not null").select(*columns, "queue", F.lit(1).alias("tier"), F.lit(0).alias("label"), F.lit(0).alias("span"), dealt.cast("int").alias("sub"))
     home = F.col("label").isNotNull()
-    bucket_queue = (F.lit(SMALL) + F.col("label") * RANGES + F.col("span")).cast("int")
+    bucket_queue = (F.lit(SMALL) + F.col("label") * RANGES + span).cast("int")
     rest = (
-        known.where("queue is null").drop("queue").join(small, "key", "left")
+        known.where("queue is null").drop("queue").join(small, ["key", "start"], "left")
         .withColumn("queue", F.when(home & ~bucket_queue.isin(loose), bucket_queue).otherwise(F.lit(FILL)))
         .select(*columns, "queue", F.when(home, 0).otherwise(1).alias("tier"), F.coalesce("label", F.pmod("key", F.lit(shards)).cast("int")).alias("label"), span.alias("span"), F.lit(0).alias("sub"))
     )

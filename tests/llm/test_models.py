@@ -162,6 +162,41 @@ def test_propagation_moves_documents_within_quotas(spark):
     assert moved[0] < 120 and sum(moved.values()) == 200
 
 
+def _groups_cut(got, texts):
+    shards = {}
+    for r in got:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    return sum(len(s) > 1 for s in shards.values())
+
+
+def test_placement_follows_the_rounds(spark):
+    # A third in one text, groups of two to forty, and rows without links.
+    texts = ["hot"] * 1000 + [f"g{k}" for k in range(150) for _ in range(2 + k % 39)]
+    texts = (texts + [f"alone {i}" for i in range(3000)])[:6000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {n: sharding.assign(docs, shards=8, rounds=n).collect() for n in (0, 1, 2)}
+    for rows in got.values():
+        sizes = Counter(r.shard for r in rows)
+        assert len(rows) == len(texts) and max(sizes.values()) - min(sizes.values()) <= 1 and len({(r.shard, r.slot) for r in rows}) == len(texts)
+    # Without rounds linked documents lie apart; with them only the text larger than a shard is cut.
+    assert _groups_cut(got[0], texts) > 100 and _groups_cut(got[1], texts) == _groups_cut(got[2], texts) == 1
+    place = {n: {r.doc_id: r.shard for r in rows} for n, rows in got.items()}
+    linked = [i for i, t in enumerate(texts) if not t.startswith("alone")]
+    assert all(sum(place[a][i] != place[b][i] for i in linked) > 0 for a, b in ((0, 1), (0, 2), (1, 2)))
+
+
+def test_rounds_unite_units_before_any_mending(spark):
+    nodes = [(k, 0, (7 * k + 5 * i) % 8, (7 * k + 5 * i) % 8, 1 + (i == 0)) for k in range(400) for i in range(3)]
+    frame = spark.createDataFrame(nodes, "key long, part int, start int, label int, n long")
+    cut = []
+    for n in (0, 1, 2):
+        held = {}
+        for r in sharding.propagate(frame, 8, 220, n).collect():
+            held.setdefault(r.key, set()).add(r.label)
+        cut.append(sum(len(s) > 1 for s in held.values()))
+    assert cut[0] == 400 and cut[1] < 200 and cut[2] <= cut[1]
+
+
 def test_toxicity_scores_scattered_dense_words(spark):
     voters, weights = ["zork@"], toxicity.np.array([1.0, 6.0, 4.0, 0.5, -3.0])
     text = " ".join("zork" if i % 125 == 0 else "plain" for i in range(2000))
