@@ -27,9 +27,10 @@ def tfidf_fit(counts: DataFrame, n_docs: int, min_df: int = 2, max_df_ratio: flo
 def tfidf_transform(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, term, w): (1 + ln c) * idf, each document's weights of norm 1.
 
-    The vocabulary is bounded by max_features, so it may be broadcast.
+    The vocabulary may be as large as max_features lets it: Spark broadcasts it only if its measured size is under
+    the session's threshold, else it is shuffled by term.
     """
-    raw = counts.join(F.broadcast(vocabulary.select("term", "idf")), "term").select("id", "term", ((1 + F.log("c")) * F.col("idf")).alias("w"))
+    raw = counts.join(vocabulary.select("term", "idf"), "term").select("id", "term", ((1 + F.log("c")) * F.col("idf")).alias("w"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 

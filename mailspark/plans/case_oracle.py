@@ -150,9 +150,17 @@ SQL = {
     "graph_nodes": "SELECT kind || ':' || value AS id, kind, count(*) AS weight FROM v_links GROUP BY ALL UNION ALL SELECT 'case:' || case_id, 'case', count(*) FROM v_links GROUP BY ALL",
     "graph_edges": "SELECT DISTINCT 'case:' || case_id AS source, kind || ':' || value AS target, kind AS link FROM v_links",
     "new_indicators": "SELECT DISTINCT ioc_type, lower(value) AS value FROM v_iocs WHERE first_seen_s >= 946684800 EXCEPT SELECT ioc_type, lower(value) FROM v_iocs WHERE first_seen_s < 946684800",
-    "extract_iocs": """WITH c AS (SELECT *, CAST(greatest(30, least(90, floor(risk))) AS INT) AS base FROM v_cases), r AS (SELECT case_id, 'email-addr' AS ioc_type, sender AS value, base AS confidence, 0 AS ord FROM c
-      UNION ALL SELECT case_id, 'domain-name', from_domain, greatest(30, base - 10), 1 FROM c UNION ALL SELECT case_id, ioc_type, value, confidence, pos + 2 FROM v_iocs WHERE ioc_type <> 'registry-key')
-      SELECT case_id, ioc_type, value, confidence FROM r QUALIFY row_number() OVER (PARTITION BY case_id, ioc_type, lower(value) ORDER BY ord, value, confidence) = 1""",
+    "extract_iocs": """WITH c AS (SELECT *, CAST(floor(greatest(30, least(90, risk))) AS INT) AS base FROM v_cases), r AS (
+      SELECT case_id, 'email-addr' AS ioc_type, sender AS value, base AS confidence, 'From address on ' || case_number AS context, 0 AS ord, 0 AS pos FROM c
+      UNION ALL SELECT case_id, 'domain-name', from_domain, greatest(30, base - 10), 'sender-side domain', 1, 0 FROM c
+      UNION ALL SELECT case_id, 'domain-name', value, CASE kind WHEN 'domain' THEN greatest(30, base - 10) ELSE base END, CASE kind WHEN 'domain' THEN 'sender-side domain' ELSE 'link destination' END, CASE kind WHEN 'domain' THEN 1 ELSE 3 END, 0 FROM v_links JOIN c USING (case_id) WHERE kind IN ('domain', 'url_host')
+      UNION ALL SELECT case_id, 'ipv4-addr', ip, CASE WHEN first = 0 THEN base ELSE greatest(30, base - 20) END, CASE WHEN first = 0 THEN 'relay hop (origin)' ELSE 'relay hop' END, 2, first FROM (SELECT case_id, ip, min(hop_index) AS first FROM v_hops WHERE NOT is_private GROUP BY ALL) JOIN c USING (case_id)
+      UNION ALL SELECT case_id, 'url', left(value, 400), base, 'embedded link', 4, pos FROM (SELECT case_id, value, pos FROM v_iocs WHERE ioc_type = 'url' QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY pos, value) <= 20) JOIN c USING (case_id)
+      UNION ALL SELECT case_id, 'file-hash', md5(value), least(95, base + 10), 'attachment ' || value || '.bin (unknown)', 5, 0 FROM v_links JOIN c USING (case_id) WHERE kind = 'attachment')
+      SELECT case_id, ioc_type, value, confidence, context FROM r QUALIFY row_number() OVER (PARTITION BY case_id, ioc_type, lower(value) ORDER BY ord, pos, value) = 1""",
+    "case_store": """WITH n AS (SELECT case_id, count(*) AS whole, count(*) FILTER (w100 >= 150) AS heavy FROM v_signals GROUP BY 1)
+      SELECT case_id, CASE WHEN case_id % 3 = 0 AND case_id % 5 <> 0 THEN 'benign' ELSE verdict END AS verdict, CAST(CASE WHEN case_id % 5 = 0 THEN 3 WHEN case_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS version,
+        coalesce(CASE WHEN case_id % 3 = 0 AND case_id % 5 <> 0 THEN heavy ELSE whole END, 0) AS n_signals FROM v_cases LEFT JOIN n USING (case_id)""",
     "sink_case_upsert": "SELECT ioc_type, lower(value) AS key, max(confidence) AS confidence, arg_min(context, (first_seen_s, case_id, pos, context)) AS context, min(first_seen_s) AS first_seen_s, count(DISTINCT case_id) AS cases FROM v_iocs GROUP BY 1, 2",
     "sla_report": "SELECT case_id, e - created_s AS elapsed_s, created_s + 1200 - e AS remaining_s, created_s + 1200 - e < 0 AS breached FROM (SELECT case_id, created_s, CASE WHEN status = 'closed' THEN created_s + case_id % 3600 ELSE 1041379200 END AS e FROM v_cases)",
     "apply_decisions": """WITH x AS (SELECT event_id, event_id * 3 AS case_id, (epoch_us(ts) // 1000000) AS at_s, CASE event_type WHEN 'click' THEN 'approve' WHEN 'view' THEN 'override' WHEN 'error' THEN 'escalate' ELSE 'ignore' END AS d, CASE WHEN event_id % 2 = 0 THEN 'benign' ELSE '' END AS nv, event_id % 7 <> 0 AS named FROM events),
@@ -190,9 +198,19 @@ SQL = {
       h AS (SELECT case_id, hop_index, ip, split_part(ip, '.', 1)::BIGINT * 16777216 + split_part(ip, '.', 2)::BIGINT * 65536 + split_part(ip, '.', 3)::BIGINT * 256 + split_part(ip, '.', 4)::BIGINT AS n FROM v_hops WHERE NOT is_private),
       d AS (SELECT DISTINCT ip, n FROM h), b AS (SELECT d.ip, arg_min(net, ord) AS net FROM d JOIN w ON n BETWEEN f AND f + w.w GROUP BY 1)
       SELECT case_id, hop_index, h.ip, net FROM h LEFT JOIN b ON h.ip = b.ip""",
-    "next_actions": f"""WITH {_RADIUS}, s AS (SELECT case_id, list_filter([CASE WHEN verdict IN ('phishing', 'suspicious') THEN 'quarantine' END, CASE WHEN submitted > 0 THEN 'reset passwords' WHEN clicked > 0 THEN 'reset clickers' END,
-        CASE actor_type WHEN 'compromised-account' THEN 'notify sender' WHEN 'spoofed-domain' THEN 'raise dmarc' END, CASE WHEN threat_class = 'fraud' THEN 'freeze payment' END, 'preserve evidence'], lambda x: x IS NOT NULL) AS l FROM v_cases LEFT JOIN br ON wave = case_id % 40)
-      SELECT case_id, array_to_string(l, '; ') AS steps, len(l) AS n_steps FROM s""",
+    "next_actions": f"""WITH {_RADIUS}, u AS (SELECT case_id, array_to_string(list_slice(list_sort(list(DISTINCT value)), 1, 6), ', ') AS hosts FROM v_links WHERE kind = 'url_host' GROUP BY 1),
+      o AS (SELECT case_id, ip FROM v_hops WHERE hop_index = 0),
+      k AS (SELECT c.*, clicked, submitted, hosts, ip, sha256(c.case_id::VARCHAR) AS raw FROM v_cases AS c LEFT JOIN br ON wave = c.case_id % 40 LEFT JOIN u ON u.case_id = c.case_id LEFT JOIN o ON o.case_id = c.case_id),
+      s AS (SELECT case_id, 1 AS ord, 'Quarantine estate-wide' AS action, 'purge by Message-ID ' || CASE WHEN case_id % 6 = 0 THEN '(absent)' ELSE '<' || case_id || '@' || from_domain || '>' END || ' and by raw SHA-256 ' || left(raw, 16) AS detail, 'immediate' AS urgency FROM k WHERE verdict IN ('phishing', 'suspicious')
+        UNION ALL SELECT case_id, 2, 'Force password reset and revoke sessions', submitted || ' recipient(s) submitted credentials', 'immediate' FROM k WHERE submitted > 0
+        UNION ALL SELECT case_id, 2, 'Reset credentials for users who clicked', clicked || ' click(s) recorded', 'immediate' FROM k WHERE NOT coalesce(submitted > 0, FALSE) AND clicked > 0
+        UNION ALL SELECT case_id, 3, 'Block link domains at the proxy and DNS', hosts, 'today' FROM k WHERE hosts IS NOT NULL
+        UNION ALL SELECT case_id, 4, 'Block the origin IP at the mail gateway', ip, 'today' FROM k WHERE ip <> ''
+        UNION ALL SELECT case_id, 5, 'Notify the sending organisation of a suspected account compromise', 'authentication aligned for ' || from_domain || ', so the mailbox itself is likely in attacker hands', 'today' FROM k WHERE actor_type = 'compromised-account'
+        UNION ALL SELECT case_id, 6, 'Raise DMARC enforcement / add a spoofing rule', 'inbound mail claiming ' || from_domain || ' failed alignment', 'this week' FROM k WHERE actor_type = 'spoofed-domain'
+        UNION ALL SELECT case_id, 7, 'Freeze and re-verify the payment instruction out of band', 'call the known-good number on file; do not reply to the thread', 'immediate' FROM k WHERE threat_class = 'fraud'
+        UNION ALL SELECT case_id, 8, 'Preserve evidence', 'custody chain head ' || CASE WHEN anchored THEN left(sha256(case_number), 18) || '...' ELSE 'not recorded' END || '; retention 30 days', 'record' FROM k)
+      SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY ord) AS nth, action, detail, urgency FROM s""",
     "campaign_risk_reach": f"""WITH {_DEDUPE}, {_SCORE}, {_RADIUS}, r AS (SELECT fingerprint, custkey % 40 AS wave, count(*) AS cases, max(rk.risk) AS risk FROM v_cases JOIN rk USING (case_id) GROUP BY 1, 2)
       SELECT fingerprint, wave, cases, risk, recipients, clicked, submitted, high_value, {_PRIORITY} AS priority FROM r JOIN br USING (wave)""",
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailspark.functions.network import network_prefix
-from mailspark.operators import campaigns, custody, exposure, intel, links, relay, scoring, store
+from mailspark.operators import campaigns, casefiles, custody, exposure, intel, links, relay, scoring, store, triage
 from mailspark.plans.adapters import given, view
+from mailspark.sources.shared import new_path
 
 NOW_S = 1_041_379_200  # the "now" of the store's reports
 DAY = 86_400
@@ -257,15 +260,17 @@ def new_indicators(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract_iocs(spark: SparkSession, d: str) -> DataFrame:
-    """Unique by (type, lower value) within a case, the first kept; confidence from the case's risk."""
-    base = F.greatest(F.lit(30), F.least(F.lit(90), F.floor("risk"))).cast("int")
-    c = view(spark, d, "v_cases")
-    mail = c.select("case_id", F.lit("email-addr").alias("ioc_type"), F.col("sender").alias("value"), base.alias("confidence"), F.lit(0).cast("bigint").alias("ord"))
-    dom = c.select("case_id", F.lit("domain-name").alias("ioc_type"), F.col("from_domain").alias("value"), F.greatest(F.lit(30), base - 10).alias("confidence"), F.lit(1).cast("bigint").alias("ord"))
-    rest = view(spark, d, "v_iocs").where("ioc_type <> 'registry-key'").select("case_id", "ioc_type", "value", "confidence", (F.col("pos") + 2).alias("ord"))
-    rows = mail.unionByName(dom).unionByName(rest)
-    first = rows.groupBy("case_id", "ioc_type", F.lower("value").alias("key")).agg(F.min_by(F.struct("value", "confidence"), F.struct("ord", "value", "confidence")).alias("f"))
-    return first.select("case_id", "ioc_type", "f.value", "f.confidence")
+    """Senders, domains, relays, link hosts, URLs and files of each case."""
+    c, links, none = view(spark, d, "v_cases"), view(spark, d, "v_links"), F.lit(None).cast("string").alias("note")
+    at = F.lit(0).cast("bigint").alias("pos")
+    hops = view(spark, d, "v_hops").where("not is_private").groupBy("case_id", F.col("ip").alias("value")).agg(F.min("hop_index").cast("bigint").alias("pos"))
+    parts = [
+        c.select("case_id", F.lit("sender").alias("kind"), F.col("sender").alias("value"), at, F.col("case_number").alias("note")), c.select("case_id", F.lit("domain").alias("kind"), F.col("from_domain").alias("value"), at, none),
+        links.where("kind in ('domain', 'url_host')").select("case_id", "kind", "value", at, none), hops.select("case_id", F.lit("ip").alias("kind"), "value", "pos", none),
+        view(spark, d, "v_iocs").where("ioc_type = 'url'").select("case_id", F.lit("url").alias("kind"), "value", "pos", none),
+        links.where("kind = 'attachment'").select("case_id", F.lit("file").alias("kind"), F.md5("value").alias("value"), at, F.concat("value", F.lit(".bin (unknown)")).alias("note")),
+    ]
+    return triage.extract_iocs(c, reduce(DataFrame.unionByName, parts))
 
 
 def sink_case_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -280,6 +285,18 @@ def case_upsert(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert_cases(stored, fresh, "case_id", "version")
 
 
+def case_store(spark: SparkSession, d: str) -> DataFrame:
+    """All cases saved on disk with their signals; then every third again, some too late, with its heavy signals only."""
+    folder, c, signals = new_path(spark, "casestore"), F.col("case_id"), view(spark, d, "v_signals").select("case_id", "signal_id", "w100", "pos")
+    stored = view(spark, d, "v_cases").select("case_id", "verdict", F.when(c % 5 == 0, 3).otherwise(0).alias("version"))
+    fresh = stored.where(c % 3 == 0).select("case_id", F.lit("benign").alias("verdict"), F.lit(1).alias("version"))
+    casefiles.save_cases(folder, stored, {"signals": signals}, buckets=16)
+    casefiles.save_cases(folder, fresh, {"signals": signals.where((c % 3 == 0) & (F.col("w100") >= 150))}, buckets=16)
+    n = casefiles.read_part(spark, folder, "signals", signals.schema).groupBy("case_id").agg(F.count("*").alias("n_signals"))
+    cases = casefiles.read_part(spark, folder, "cases", stored.schema)
+    return cases.join(n, "case_id", "left").select("case_id", "verdict", "version", F.coalesce("n_signals", F.lit(0)).alias("n_signals"))
+
+
 def sla_report(spark: SparkSession, d: str) -> DataFrame:
     closed = F.when(F.col("status") == "closed", F.col("created_s") + F.col("case_id") % 3600)
     return store.sla_report(view(spark, d, "v_cases").withColumn("closed_s", closed), NOW_S)
@@ -337,16 +354,13 @@ def ip_prefix_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def next_actions(spark: SparkSession, d: str) -> DataFrame:
-    c = view(spark, d, "v_cases")
+    c, key = view(spark, d, "v_cases"), F.col("case_id").cast("string")
     radius = exposure.blast_radius(_exposed(spark, d)).select("wave", "clicked", "submitted")
-    both = c.withColumn("wave", F.col("case_id") % 40).join(radius, "wave", "left")
-    steps = F.array_compact(
-        F.array(
-            F.when(F.col("verdict").isin("phishing", "suspicious"), F.lit("quarantine")), F.when(F.col("submitted") > 0, F.lit("reset passwords")).when(F.col("clicked") > 0, F.lit("reset clickers")),
-            F.when(F.col("actor_type") == "compromised-account", F.lit("notify sender")).when(F.col("actor_type") == "spoofed-domain", F.lit("raise dmarc")), F.when(F.col("threat_class") == "fraud", F.lit("freeze payment")), F.lit("preserve evidence"),
-        )
-    )
-    return both.select("case_id", F.array_join(steps, "; ").alias("steps"), F.size(steps).cast("bigint").alias("n_steps"))
+    hosts = view(spark, d, "v_links").where("kind = 'url_host'").groupBy("case_id").agg(F.collect_set("value").alias("link_domains"))  # of one message
+    origin = view(spark, d, "v_hops").where("hop_index = 0").select("case_id", F.col("ip").alias("origin_ip"))
+    known = c.withColumn("wave", F.col("case_id") % 40).join(radius, "wave", "left").join(hosts, "case_id", "left").join(origin, "case_id", "left")
+    facts = known.withColumn("message_id", F.when(F.col("case_id") % 6 != 0, F.concat(F.lit("<"), key, F.lit("@"), F.col("from_domain"), F.lit(">")))).withColumn("raw_sha256", F.sha2(key, 256)).withColumn("custody_head", F.when(F.col("anchored"), F.sha2("case_number", 256)))
+    return triage.next_actions(facts)
 
 
 def campaign_risk_reach(spark: SparkSession, d: str) -> DataFrame:
@@ -362,7 +376,7 @@ NAMES = """queue_filter case_summary search_prefix search_contains ioc_pivot aud
 resubmission_join stats_counters stats_breakdowns top_techniques top_origins campaign_rollup signal_dedupe logodds_score verdict_confidence class_risk verdict_assembly
 evidence_coverage relay_signals ml_signal case_techniques signal_techniques technique_coverage attribution threat_class top_rationale exposure_directory blast_radius
 containment_priority wave_lookup recipients_complete hop_index relay_path earliest_reliable_hop origin_summary case_numbering campaign_assign campaign_siblings custody_append
-custody_verify queue_sorted_page relate_cases case_clusters artefact_intersect graph_nodes graph_edges new_indicators extract_iocs sink_case_upsert case_upsert sla_report apply_decisions
+custody_verify queue_sorted_page relate_cases case_clusters artefact_intersect graph_nodes graph_edges new_indicators extract_iocs sink_case_upsert case_upsert case_store sla_report apply_decisions
 geo_resolve intel_asof intel_signals intel_plan ip_range_join ip_prefix_join next_actions campaign_risk_reach""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}
