@@ -205,7 +205,7 @@ def attribution(signals: DataFrame, context: DataFrame) -> DataFrame:
     """The strongest hypothesis of each case and the ranked others, gated by the malicious weight.
 
     context: case_id, indicators, hop_hosts (texts), aligned, dmarc_pass, manipulated, unplaced (booleans), domain_age (days or
-    null).  A case's signal ids are a small set.  Confidence is the winner's share times a factor of how much there is.
+    null).  A case's signal ids are a small set.  Confidence is the winner's share times a factor of how much there is; its band is high from 70 on, moderate from 40.
     """
     seen = signals.where("triggered").groupBy("case_id").agg(F.collect_set(canonical(F.col("signal_id"))).alias("ids"), F.sum(F.greatest(F.col("w100"), F.lit(0))).alias("malicious"))
     both = seen.join(context, "case_id", "left")
@@ -215,11 +215,12 @@ def attribution(signals: DataFrame, context: DataFrame) -> DataFrame:
     scored = both.select("case_id", "malicious", ranked.alias("ranked")).withColumn("total", F.aggregate("ranked", F.lit(0), lambda n, x: n - x["minus"]))
     top = -F.col("ranked")[0]["minus"]
     known = (F.col("malicious") >= LEAST_MALICIOUS) & (F.col("total") > 0)
-    confidence = F.round(100.0 * top / F.col("total") * (0.55 + 0.45 * F.least(F.lit(1.0), top / 400.0)), 1)
+    confidence = F.round(100.0 * top / F.nullif("total", F.lit(0)) * (0.55 + 0.45 * F.least(F.lit(1.0), top / 400.0)), 1)
     others = F.filter(F.slice("ranked", 2, len(ACTORS)), lambda x: x["minus"] < 0)
     shown = F.array_join(F.transform(others, lambda x: F.concat(x["actor"], F.lit(":"), (-x["minus"]).cast("string"))), ";")
     return scored.select(
-        "case_id", F.when(known, F.col("ranked")[0]["actor"]).otherwise("unknown").alias("actor_type"), F.when(known, F.least(F.lit(95.0), confidence)).otherwise(0.0).alias("confidence"), F.when(known, shown).otherwise("").alias("alternatives")
+        "case_id", F.when(known, F.col("ranked")[0]["actor"]).otherwise("unknown").alias("actor_type"), F.when(known, F.least(F.lit(95.0), confidence)).otherwise(0.0).alias("confidence"),
+        F.when(known & (confidence >= 70), "high").when(known & (confidence >= 40), "moderate").otherwise("low").alias("band"), F.when(known, shown).otherwise("").alias("alternatives")
     )
 
 

@@ -111,7 +111,8 @@ SQL = {
       al AS (SELECT case_id, string_agg(actor || ':' || pts, ';' ORDER BY r) AS alternatives FROM rk WHERE r > 1 AND pts > 0 GROUP BY 1)
       SELECT case_id, CASE WHEN malicious >= 150 AND total > 0 THEN actor ELSE 'unknown' END AS actor_type,
         CASE WHEN malicious >= 150 AND total > 0 THEN least(95e0, round(100e0 * pts / total * (0.55e0 + 0.45e0 * least(1e0, pts / 400e0)), 1)) ELSE 0e0 END AS confidence,
-        CASE WHEN malicious >= 150 AND total > 0 THEN coalesce(alternatives, '') ELSE '' END AS alternatives FROM rk LEFT JOIN al USING (case_id) WHERE r = 1""",
+        CASE WHEN malicious >= 150 AND total > 0 THEN coalesce(alternatives, '') ELSE '' END AS alternatives,
+        CASE WHEN malicious < 150 OR total = 0 OR confidence < 40 THEN 'low' WHEN confidence < 70 THEN 'moderate' ELSE 'high' END AS band FROM rk LEFT JOIN al USING (case_id) WHERE r = 1""",
     "threat_class": f"""WITH i AS (SELECT case_id, list(DISTINCT {_CANON}) AS ids FROM v_signals WHERE triggered GROUP BY 1), b AS (SELECT case_id, verdict AS v, coalesce(ids, []) AS ids FROM v_cases LEFT JOIN i USING (case_id)),
       x AS (SELECT *, list_has_any(ids, ['nlp.credential_lure', 'url.credential_path', 'sandbox.credential_form']) AS cr, list_has_any(ids, ['nlp.payment_diversion', 'nlp.bec_no_payload', 'nlp.secrecy']) AS fr,
         list_has_any(ids, ['id.brand_impersonation', 'id.lookalike_domain', 'id.confusable_chars', 'id.punycode_sender', 'id.name_contains_other_address', 'auth.spf_unaligned']) AS im FROM b)
