@@ -5,6 +5,13 @@ and lexsorted by start; the running maximum of the ends (``maximum.accumulate``)
 tells where groups break: at a start that has reached it.  Within a group,
 overlapping tokens are expanded pair by pair; those that end together are links.
 
+Where both vocabularies allow it, texts are cut before single spaces that stand
+between two characters other than white space: side A's pattern starts a new
+token there, and no piece of side B holds a space after another character, so
+both sides' tokens end there in any text, and neither groups nor links cross.
+A word that comes again is then looked up instead of being aligned again.  A
+worker knows words within a bound: beyond it, the half that was met least goes.
+
 A pair can only end together if one token's bytes are a suffix of the other's.
 So the pairs that can occur follow from the two vocabularies alone: they are
 numbered once, counts over the corpus are vectors of that length, summed within
@@ -20,9 +27,12 @@ named like a result column give way to it; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +43,10 @@ from mailspark.llm.storage import fresh, stash
 
 #: Text bytes that one numpy step takes (a longer text is a step of its own).
 STEP = 1 << 21
+#: Characters of known words (each counted with WORD more for its entries) beyond which words are dropped.
+KEPT, WORD = 16_000_000, 50
 A, B = 0, 1
+BETWEEN = re.compile(r" (?<=\S )(?=\S)")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -53,6 +66,10 @@ class ByteLevel:
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
         letters = _byte_letters()
+        with open(path, encoding="utf-8") as file:
+            plan = json.load(file)
+        before = plan.get("pre_tokenizer") or {}
+        self.by_words = not plan.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True)
         vocabulary = self.coder.get_vocab(with_added_tokens=True)
         self.pieces = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
@@ -73,6 +90,7 @@ class Pieces:
         for i in range(self.coder.get_piece_size()):
             piece = self.coder.id_to_piece(i)
             self.pieces.append(bytes([int(piece[1:-1], 16)]) if self.coder.is_byte(i) else piece.replace("▁", " ").encode())
+        self.by_words = not any(b" " in piece.lstrip(b" ") for piece in self.pieces)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.coder.encode(texts, num_threads=1)
@@ -96,7 +114,7 @@ def possible_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 class Aligner:
-    """Both tokenizers, their tables, and the alignment of batches of texts; made once in each Python worker."""
+    """Both tokenizers, their tables, the words aligned so far, and the alignment of batches of texts; made once in each Python worker."""
 
     _made: dict[tuple[str, str], Aligner] = {}
 
@@ -107,6 +125,8 @@ class Aligner:
         self.b_of_pair = self.pairs % len(self.sides[B].pieces)
         # each id's decimals with what follows: another token of its side, or the end of its side in the group
         self.written = tuple(tuple(np.array([f"{i}{mark}" for i in range(len(s.pieces))], dtype=object) for mark in (",", end)) for s, end in zip(self.sides, "|;"))
+        self.by_words = all(s.by_words for s in self.sides)
+        self._forget()
 
     @classmethod
     def of(cls, paths: tuple[str, str]) -> Aligner:
@@ -114,24 +134,58 @@ class Aligner:
             cls._made[paths] = cls(*paths)
         return cls._made[paths]
 
-    def _whole(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Both sides' ids; none where the bytes don't give back space + text."""
-        at = [i for i, t in enumerate(texts) if t]
-        ids: tuple[list, list] = ([[] for _ in texts], [[] for _ in texts])
-        coded = [s.encode([texts[i] for i in at]) for s in self.sides]
-        for k, i in enumerate(at):
-            raw = b" " + texts[i].encode("utf-8")
-            if all(b"".join([s.pieces[x] for x in c[k]]) == raw for s, c in zip(self.sides, coded)):
-                ids[A][i], ids[B][i] = coded[A][k], coded[B][k]
-        return ids
-
-    def align(self, texts: list[str | None], written: bool) -> dict[str, pa.Array]:
-        """For each text: its tokens on both sides, its groups (in writing, or their digest) and links, its linked pairs (numbers in ``pairs``) and how often each stands."""
-        n, ids = len(texts), self._whole(texts)
-        flat = [np.fromiter((x for one in side for x in one), dtype=np.int64) for side in ids]
+    def _forget(self) -> None:
+        """No word is known: their numbers, counts (n_a, n_b, n_groups, n_links), groups in writing, linked pairs one after another, uses, and size."""
+        self.words: dict[str, int] = {}
+        self.counts = np.zeros((0, 4), dtype=np.int64)
+        self.groups: list[str] = []
+        self.links = np.zeros(0, dtype=np.int32)
+        self.uses = np.zeros(0, dtype=np.int64)
+        self.kept = 0
+
+    def _drop_rare(self) -> None:
+        """Keeps the half of the known words that was met most; none if these alone are beyond the bound."""
+        stay = np.argsort(-self.uses, kind="stable")[: len(self.uses) // 2]
+        names = list(self.words)
+        self.links = self.links[self._places(stay)]
+        self.counts, self.uses = self.counts[stay], self.uses[stay] // 2
+        stay = stay.tolist()
+        self.groups = [self.groups[k] for k in stay]
+        self.words = {names[k]: i for i, k in enumerate(stay)}
+        self.kept = sum(map(len, self.words)) + WORD * len(stay)
+        if self.kept > KEPT:
+            self._forget()
+
+    def _places(self, number: np.ndarray) -> np.ndarray:
+        """Where in ``links`` these words' links stand, word by word."""
+        width = self.counts[number, 3]
+        first = (np.cumsum(self.counts[:, 3]) - self.counts[:, 3])[number]
+        return np.arange(width.sum()) + np.repeat(first - (np.cumsum(width) - width), width)
+
+    def _whole(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Both sides' ids; none where the bytes don't give back space + word."""
+        coded = [s.encode(words) for s in self.sides]
+        raws = [b" " + w.encode("utf-8") for w in words]
+        joined, sizes = b"".join(raws), [len(r) for r in raws]
+        if any(b"".join(map(s.pieces.__getitem__, chain.from_iterable(c))) != joined for s, c in zip(self.sides, coded)) or any(self._sizes(side, coded[side]) != sizes for side in (A, B)):
+            for k, raw in enumerate(raws):
+                if not all(b"".join([s.pieces[x] for x in c[k]]) == raw for s, c in zip(self.sides, coded)):
+                    coded[A][k] = coded[B][k] = []
+        return coded[A], coded[B]
+
+    def _sizes(self, side: int, ids: list[list[int]]) -> list[int]:
+        """How many bytes each word's tokens have."""
+        upto = np.cumsum([0, *map(len, ids)])
+        total = np.concatenate(([0], np.cumsum(self.lengths[side][np.fromiter(chain.from_iterable(ids), dtype=np.int64)])))
+        return (total[upto[1:]] - total[upto[:-1]]).tolist()
+
+    def _learn(self, words: list[str]) -> None:
+        """Aligns words that aren't known yet."""
+        n, ids = len(words), self._whole(words)
+        flat = [np.fromiter(chain.from_iterable(side), dtype=np.int64) for side in ids]
         count = [np.array([len(one) for one in side], dtype=np.int64) for side in ids]
-        doc = [np.repeat(np.arange(n), c) for c in count]
-        # one axis for all texts, since each covers the same bytes on both sides
+        word = [np.repeat(np.arange(n), c) for c in count]
+        # one axis for all words, since each covers the same bytes on both sides
         end = [np.cumsum(length[f]) for length, f in zip(self.lengths, flat)]
         start = [e - length[f] for e, length, f in zip(end, self.lengths, flat)]
         starts, ends, side = np.concatenate(start), np.concatenate(end), np.repeat([A, B], [len(flat[A]), len(flat[B])])
@@ -140,31 +194,63 @@ class Aligner:
         breaks[1:] = starts[order][1:] >= np.maximum.accumulate(ends[order])[:-1]
         group = np.empty(len(order), dtype=np.int64)
         group[order] = np.cumsum(breaks) - 1
-        group_of = (group[: len(flat[A])], group[len(flat[A]) :])
-        n_groups = np.bincount(np.concatenate(doc)[order][breaks], minlength=n)
-        keys, times = np.unique(self._linked(start, end, flat, doc[A]), return_counts=True)
+        n_groups = np.bincount(np.concatenate(word)[order][breaks], minlength=n)
+        at_a, pair = self._linked(start, end, flat)
+        n_links = np.bincount(word[A][at_a], minlength=n)
+        self.words.update(zip(words, range(len(self.words), len(self.words) + n)))
+        self.counts = np.concatenate([self.counts, np.stack([*count, n_groups, n_links], axis=1)])
+        self.groups += self._written(flat, count, (group[: len(flat[A])], group[len(flat[A]) :]))
+        self.links = np.concatenate([self.links, pair.astype(np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(n, dtype=np.int64)])
+        self.kept += sum(map(len, words)) + WORD * n
+
+    def _numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the texts' words, and how many words each text has (null and empty ones none)."""
+        if self.kept > KEPT:
+            self._drop_rare()
+        cut = BETWEEN.split if self.by_words else lambda text: [text]
+        parts = [cut(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(parts))
+        if unknown := [w for w in dict.fromkeys(flat) if w not in self.words]:
+            self._learn(unknown)
+        number = np.fromiter(map(self.words.__getitem__, flat), dtype=np.int64, count=len(flat))
+        self.uses += np.bincount(number, minlength=len(self.uses))
+        return number, np.array([len(part) for part in parts], dtype=np.int64)
+
+    def align(self, texts: list[str | None], written: bool) -> dict[str, pa.Array]:
+        """For each text: its tokens on both sides, its groups (in writing, or their digest) and links, its linked pairs (numbers in ``pairs``) and how often each stands."""
+        n = len(texts)
+        number, size = self._numbers(texts)
+        doc = np.repeat(np.arange(n), size)
+        # a word without tokens takes its whole text's
+        whole = np.bincount(doc[self.counts[number, 0] == 0], minlength=n) == 0
+        number, doc, size = number[whole[doc]], doc[whole[doc]], size * whole
+        counts = self.counts[number]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        sums = np.concatenate((np.zeros((1, 4), dtype=np.int64), np.cumsum(counts, axis=0)))[upto]
+        n_a, n_b, n_groups, n_links = (sums[1:] - sums[:-1]).T
+        keys, times = np.unique(np.repeat(doc, counts[:, 3]) * len(self.pairs) + self.links[self._places(number)], return_counts=True)
         cuts = np.searchsorted(keys, np.arange(n + 1) * len(self.pairs))
-        total = np.concatenate(([0], np.cumsum(times)))
         lists = lambda values: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int32()))
-        groups = self._written(flat, count, group_of)
+        number, upto = number.tolist(), upto.tolist()
+        groups = (";".join(map(self.groups.__getitem__, number[i:j])) for i, j in zip(upto, upto[1:]))
         return {
-            "n_a": pa.array(count[A]), "n_b": pa.array(count[B]), "n_groups": pa.array(n_groups), "n_links": pa.array(total[cuts[1:]] - total[cuts[:-1]]),
-            "groups": pa.array(groups if written else [sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string()), "pairs": lists(keys % len(self.pairs)), "times": lists(times),
+            "n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(n_groups), "n_links": pa.array(n_links),
+            "groups": pa.array(list(groups) if written else [sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string()), "pairs": lists(keys % len(self.pairs)), "times": lists(times),
         }
 
-    def _linked(self, start: list, end: list, flat: list, doc: np.ndarray) -> np.ndarray:
-        """For each link ``text * number of pairs + pair``: overlapping tokens are expanded, those that end together stay."""
+    def _linked(self, start: list, end: list, flat: list) -> tuple[np.ndarray, np.ndarray]:
+        """For each link its A token's place and its pair: overlapping tokens are expanded, those that end together stay."""
         low, high = np.searchsorted(end[B], start[A], "right"), np.searchsorted(start[B], end[A], "left")
         width = high - low
         at_a = np.repeat(np.arange(len(flat[A])), width)
         at_b = np.arange(len(at_a)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
         together = end[A][at_a] == end[B][at_b]
         at_a, at_b = at_a[together], at_b[together]
-        pair = np.searchsorted(self.pairs, flat[A][at_a] * len(self.sides[B].pieces) + flat[B][at_b])
-        return doc[at_a] * len(self.pairs) + pair
+        return at_a, np.searchsorted(self.pairs, flat[A][at_a] * len(self.sides[B].pieces) + flat[B][at_b])
 
     def _written(self, flat: list, count: list, group: tuple) -> list[str]:
-        """``a1,a2|b1;a3|b2,b3`` for each text."""
+        """``a1,a2|b1;a3|b2,b3`` for each word."""
         token = [[], []]
         for side in (A, B):
             last = np.ones(len(flat[side]), dtype=bool)  # of its side in its group

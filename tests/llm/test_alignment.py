@@ -1,9 +1,11 @@
 """Cross-tokenizer alignment against a plain reading of the rules with both libraries."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import public_tokenizers as P
+import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -95,3 +97,43 @@ def test_edge_cases(spark):
 def test_possible_pairs_cover_what_can_end_together():
     a, b = [b"he", b"the", b"", b"x"], [b" the", b"e", b"y", b"he"]
     assert [divmod(int(k), 4) for k in token_alignment.possible_pairs(a, b)] == [(0, 0), (0, 1), (0, 3), (1, 0), (1, 1), (1, 3)]
+
+
+def test_a_word_that_comes_again_is_encoded_once(monkeypatch):
+    aligner = token_alignment.Aligner(*PATHS)
+    sent = []
+    for side in aligner.sides:
+        monkeypatch.setattr(side, "encode", lambda texts, encode=side.encode: sent.extend(texts) or encode(texts))
+    for _ in range(3):
+        got = aligner.align(["the same words again " * 500 + "end", "words again"], True)
+    assert sorted(sent) == sorted(["the", "same", "words", "again", "end"] * 2)
+    assert [tuple(got[k][i].as_py() for k in ("n_a", "n_b", "n_groups", "n_links", "groups")) for i in range(2)] == [(w[0], w[1], w[2], w[3], w[6]) for w in brute(["the same words again " * 500 + "end", "words again"])]
+
+
+@pytest.mark.parametrize("kept", [12_000_000, 3_000, 0])
+def test_words_against_whole_texts(kept, monkeypatch):
+    """Cut texts, with words dropped on the way or not, give what whole texts give, whatever white space and signs stand together."""
+    monkeypatch.setattr(token_alignment, "KEPT", kept)
+    draw = random.Random(11)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\u200b", "\u180e", "\x1c", "\x85", "\ufeff", "word", "Ünï", "中文", "🙂", "12", "'s", "'", "...", "|", "<s>", "<|endoftext|>", "e\u0301", "\x00", "▁"]
+    texts = ["".join(draw.choices(parts, weights=[4] * 3 + [1] * (len(parts) - 4) + [0.5], k=draw.randint(1, 40))) for _ in range(600)] + AWKWARD
+    cut, uncut = token_alignment.Aligner(*PATHS), token_alignment.Aligner(*PATHS)
+    uncut.by_words = False
+    want = brute(texts)
+    assert cut.by_words and 100 < sum(w[0] > 0 for w in want) < len(texts) - 50
+    for low in range(0, len(texts), 50):
+        found = [a.align(texts[low : low + 50], True) for a in (cut, uncut)]
+        assert all(found[0][k].equals(found[1][k]) for k in found[0])
+        assert [tuple(found[0][k][i].as_py() for k in ("n_a", "n_b", "n_groups", "n_links", "groups")) for i in range(len(found[0]["n_a"]))] == [(w[0], w[1], w[2], w[3], w[6]) for w in want[low : low + 50]]
+
+
+def test_dropped_words_are_the_ones_met_least(monkeypatch):
+    aligner = token_alignment.Aligner(*PATHS)
+    monkeypatch.setattr(token_alignment, "KEPT", 200)
+    aligner.align(["one two two three three three four"], True)
+    aligner._drop_rare()
+    assert list(aligner.words) == ["three", "two"] and aligner.groups == [w[6] for w in brute(["three", "two"])]
+    assert aligner.align(["two three"], True)["groups"].to_pylist() == [brute(["two three"])[0][6]]
+    monkeypatch.setattr(token_alignment, "KEPT", 10)
+    aligner._drop_rare()
+    assert not aligner.words and not aligner.groups and not len(aligner.links)
