@@ -122,12 +122,16 @@ def macro_auc(scores: DataFrame) -> DataFrame:
 
 
 def batch_predict(vectors: DataFrame, weights: DataFrame) -> DataFrame:
-    """(id, prediction, p_benign, p_phishing): softmax of sparse dot products, a join and two aggregations.  weights (term, class, weight)."""
+    """(id, prediction, p_benign, p_phishing): softmax of sparse dot products, a join and two aggregations.  weights (term, class, weight).
+
+    Of classes with equal products the first counts, as numpy's argmax has it; products are compared to nine decimals, so
+    that the order in which a sum was taken decides nothing.
+    """
     logits = vectors.join(weights, "term").groupBy("id", "class").agg(F.sum(F.col("w") * F.col("weight")).alias("z"))
     top = logits.groupBy("id").agg(F.max("z").alias("m"))
     e = logits.join(top, "id").withColumn("e", F.exp(F.col("z") - F.col("m")))
     of = lambda k: F.coalesce(F.max(F.when(F.col("class") == k, F.col("e"))), F.lit(0.0)) / F.sum("e")
-    return e.groupBy("id").agg(F.max_by("class", F.struct("z", -F.col("class"))).alias("prediction"), of(0).alias("p_benign"), of(2).alias("p_phishing"))
+    return e.groupBy("id").agg(F.max_by("class", F.struct(F.round("z", 9), -F.col("class"))).alias("prediction"), of(0).alias("p_benign"), of(2).alias("p_phishing"))
 
 
 #: The class that spear phishing is raised to, and the least malicious probability then.

@@ -92,3 +92,11 @@ def test_registered_training_queries(spark):
         folds[r.fold][r.measure] = r
         assert 0 <= r.val <= 1 and r.gap == pytest.approx(r.train - r.val, abs=1e-5)
     assert set(folds) == set(range(5)) and all(set(f) == {"accuracy", "macro_f1"} for f in folds.values())
+
+
+def test_classes_with_equal_products(spark):
+    """0.3 and 0.1 + 0.2 are one product whatever the order of the sum: the first class counts."""
+    vectors = spark.createDataFrame([(i, t, 1.0) for i in range(8) for t in ("s", "t")], "id long, term string, w double").repartition(4)
+    weights = spark.createDataFrame([("s", 0, 0.3), ("t", 0, 0.0), ("s", 2, 0.1), ("t", 2, 0.2), ("s", 1, -1.0), ("t", 1, 0.0)], "term string, class int, weight double")
+    got = models.batch_predict(vectors, weights).collect()
+    assert [r.prediction for r in got] == [0] * 8 and {round(r.p_benign - r.p_phishing, 9) for r in got} == {0.0}
