@@ -40,6 +40,7 @@ def save_cases(folder: str, cases: DataFrame, children: dict[str, DataFrame], ve
     save costs what it touches.  Each table is merged into a table of its own first; saving the same again, also after
     a save that was cut short between two tables, gives the same store.  Fresh children of cases that are not saved
     are left out.  Columns must be orderable (no maps); all saves into a folder must use the same number of buckets.
+    Ids meet by sorted shuffles: as compressed files they look small enough to broadcast, but there is one for each case.
     """
     spark = cases.sparkSession
     bucket = F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int").alias("bucket")
@@ -49,9 +50,9 @@ def save_cases(folder: str, cases: DataFrame, children: dict[str, DataFrame], ve
     touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most as many as buckets
     mine = F.col("bucket").isin(touched)
     stored = read_part(spark, folder, "cases", fresh.schema).where(mine)
-    have = stored.select("case_id", F.col(version).alias("_have"))
+    have = stored.select("case_id", F.col(version).alias("_have")).hint("merge")
     won = saved(fresh.join(have, "case_id", "left").where(F.col("_have").isNull() | (F.col(version) >= F.col("_have"))).select(*fresh.columns), "won")
-    ids = won.select("case_id")
+    ids = won.select("case_id").hint("merge")
     for name, rows in children.items():
         new = rows.select(*rows.columns, bucket).join(ids, "case_id", "left_semi")
         old = read_part(spark, folder, name, new.schema).where(mine).join(ids, "case_id", "left_anti")

@@ -67,3 +67,19 @@ def test_cases_saved_by_partition_and_again(spark):
     assert state() == ([(i, "benign", 3) for i in range(40)], [])
     casefiles.save_cases(folder, case([]), {"signals": signal([])}, buckets=16)
     assert len(state()[0]) == 40
+
+
+def test_saving_broadcasts_no_ids(spark, monkeypatch):
+    """One id for each case: however small its compressed file looks, it doesn't pass through the driver."""
+    plans, keep = [], casefiles.saved
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(casefiles, "saved", spy)
+    folder = new_path(spark, "plans")
+    for version in (1, 2):
+        cases = spark.range(50).selectExpr("id AS case_id", "'bec' AS verdict", f"{version} AS version")
+        casefiles.save_cases(folder, cases, {"signals": cases.selectExpr("case_id", "'s' AS signal_id")}, buckets=4)
+    assert sum("Join" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
