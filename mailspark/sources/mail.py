@@ -24,6 +24,19 @@ def read_raw(spark: SparkSession, folder: str, pattern: str = "*.eml") -> DataFr
     return files.select("path", "modificationTime", "length", F.sha2("content", 256).alias("sha256"), "content")
 
 
+def pack(messages: DataFrame, folder: str, most: int = 50_000) -> None:
+    """Messages (name, content) put into archives: Parquet files of up to ``most`` messages, as many as their bytes need
+    and not one for each, so that writing and listing them doesn't grow with the number of messages."""
+    messages.select("name", "content").write.option("maxRecordsPerFile", most).option("compression", "zstd").parquet(folder)
+
+
+def read_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """All messages of the archives in a folder, as ``read_raw`` has them of files; those of no bytes too."""
+    rows = spark.read.schema("name string, content binary").parquet(folder)
+    path, changed = F.concat_ws("/", "_metadata.file_path", "name"), F.col("_metadata.file_modification_time")
+    return rows.select(path.alias("path"), changed.alias("modificationTime"), F.length("content").cast("bigint").alias("length"), F.sha2("content", 256).alias("sha256"), "content")
+
+
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

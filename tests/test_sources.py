@@ -3,6 +3,8 @@
 import base64
 import email
 import email.policy
+import hashlib
+import os
 import quopri
 import re
 
@@ -13,7 +15,7 @@ from mailspark.operators import corpus, links
 from mailspark.plans import message_queries as q
 from mailspark.plans import registry
 from mailspark.plans.adapters import view
-from mailspark.sources import mail, sinks
+from mailspark.sources import mail, shared, sinks
 from mailspark.streaming import streams
 
 FOLDER = "/root/testdata/sf0.001"
@@ -77,6 +79,22 @@ def test_raw_files(spark, tmp_path):
     assert got == {"a.eml": (len(MAILS[3]), MAILS[3]), "b.eml": (1, b"x")}
 
 
+def test_messages_in_archives(spark, tmp_path):
+    """As many files as the bound asks for, and every message as it was, the one of no bytes included."""
+    rows = spark.createDataFrame([(f"{i}.eml", bytearray(m)) for i, m in enumerate(MAILS)], "name string, content binary").coalesce(1)
+    mail.pack(rows, f"{tmp_path}/packed", most=4)
+    assert len(list((tmp_path / "packed").glob("*.parquet"))) == -(-len(MAILS) // 4)
+    got = {r.path.rsplit("/", 1)[1]: r for r in mail.read_packed(spark, f"{tmp_path}/packed").collect()}
+    assert {k: (r.length, bytes(r.content), r.sha256) for k, r in got.items()} == {f"{i}.eml": (len(m), m, hashlib.sha256(m).hexdigest()) for i, m in enumerate(MAILS)}
+
+
+def test_raw_messages_are_not_a_file_each(spark, monkeypatch):
+    paths, keep = [], shared.new_path
+    monkeypatch.setattr(shared, "new_path", lambda s, name: paths.append(keep(s, name)) or paths[-1])
+    assert registry.queries()["src_messages_raw"](spark, FOLDER).count() == 200
+    assert sum(len(names) for _, _, names in os.walk(paths[0].removeprefix("file://"))) < 20
+
+
 def test_full_masks_equal_ordered_substitution(spark):
     """Every kind in its order, each match by a plain rule, against the vectorised masks of the documents."""
     texts = {r.id: r.text for r in q._docs(spark, FOLDER).collect()}
